@@ -7,12 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .exact_dedup import OP9_SQL, op9_exact_dedup
+from .langid import op8_langid
 from .pieces import op6_sentencepiece
+from .quality import op2_quality
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_quality": op2_quality,
         "op6_sentencepiece": op6_sentencepiece,
+        "op8_langid": op8_langid,
         "op9_exact_dedup": op9_exact_dedup,
     }
 
