@@ -43,8 +43,28 @@ def drop_saved(df: DataFrame) -> None:
 
 
 def ascii_lower(col: Column) -> Column:
-    """Lower-case A-Z only.  ``lower`` is faster and the same for pure ASCII, so it is used there."""
-    return F.when(F.octet_length(col) == F.length(col), F.lower(col)).otherwise(F.translate(col, ascii_uppercase, ascii_lowercase))
+    """Lower-case A-Z only."""
+    return F.translate(col, ascii_uppercase, ascii_lowercase)
+
+
+def plain_words(col: Column) -> Column:
+    """The words of a lower-cased text: runs of letters, digits and all characters beyond ASCII; null gives none."""
+    return F.array_remove(F.split(ascii_lower(F.coalesce(col.cast("string"), F.lit(""))), r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"), "")
+
+
+def gram_hashes(words: Column, k: int) -> Column:
+    """The hash of each run of k neighbouring words, in order; none if there are fewer words.
+
+    ``words`` must be a plain column: an expression would be evaluated anew for each run.
+    """
+    starts = F.when(F.size(words) >= k, F.sequence(F.lit(0), F.size(words) - k)).otherwise(F.array().cast("array<int>"))
+    return F.transform(starts, lambda i: F.xxhash64(*[F.get(words, i + j) for j in range(k)]))
+
+
+def gram_texts(words: Column, k: int) -> Column:
+    """The runs of k neighbouring words themselves, joined by a space."""
+    starts = F.when(F.size(words) >= k, F.sequence(F.lit(1), F.size(words) - k + 1)).otherwise(F.array().cast("array<int>"))
+    return F.transform(starts, lambda i: F.array_join(F.slice(words, i, k), " "))
 
 
 def fold(id_col: str | Column, buckets: int) -> Column:

@@ -6,20 +6,26 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .decontaminate import OP10_SQL, op10_decontaminate
 from .exact_dedup import OP9_SQL, op9_exact_dedup
 from .langid import op8_langid
+from .licenses import OP7_SQL, op7_licenses
 from .pieces import op6_sentencepiece
 from .quality import op2_quality
+from .simhash import op4_simhash
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_quality": op2_quality,
+        "op4_simhash": op4_simhash,
         "op6_sentencepiece": op6_sentencepiece,
+        "op7_licenses": op7_licenses,
         "op8_langid": op8_langid,
         "op9_exact_dedup": op9_exact_dedup,
+        "op10_decontaminate": op10_decontaminate,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_exact_dedup": OP9_SQL}
+    return {"op7_licenses": OP7_SQL, "op9_exact_dedup": OP9_SQL, "op10_decontaminate": OP10_SQL}
