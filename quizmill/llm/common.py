@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import os
 import uuid
+from pathlib import Path
 from string import ascii_lowercase, ascii_uppercase
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -13,9 +15,17 @@ SPACE = r"[\x20\x09-\x0D]+"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    _importable(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _importable(spark: SparkSession) -> None:
+    """Local workers find this package wherever the driver was started; a cluster has it installed."""
+    here, env = str(Path(__file__).parents[2]), spark.sparkContext.environment
+    if here not in env.get("PYTHONPATH", os.environ.get("PYTHONPATH", "")).split(":"):
+        env["PYTHONPATH"] = ":".join(filter(None, [here, env.get("PYTHONPATH", os.environ.get("PYTHONPATH", ""))]))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, as the session names it; a local one only where none is named."""
     named = spark.conf.get("spark.checkpoint.dir", None)

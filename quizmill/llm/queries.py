@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .decontaminate import OP10_SQL, op10_decontaminate
 from .exact_dedup import OP9_SQL, op9_exact_dedup
+from .hmm import op5_hmm_lm
 from .langid import op8_langid
 from .licenses import OP7_SQL, op7_licenses
 from .pieces import op6_sentencepiece
@@ -19,6 +20,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_quality": op2_quality,
         "op4_simhash": op4_simhash,
+        "op5_hmm_lm": op5_hmm_lm,
         "op6_sentencepiece": op6_sentencepiece,
         "op7_licenses": op7_licenses,
         "op8_langid": op8_langid,
