@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .chat import op1_chat_format
 from .decontaminate import OP10_SQL, op10_decontaminate
 from .exact_dedup import OP9_SQL, op9_exact_dedup
 from .hmm import op5_hmm_lm
@@ -18,6 +19,7 @@ from .simhash import op4_simhash
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_chat_format": op1_chat_format,
         "op2_quality": op2_quality,
         "op4_simhash": op4_simhash,
         "op5_hmm_lm": op5_hmm_lm,
