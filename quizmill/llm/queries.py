@@ -15,12 +15,14 @@ from .licenses import OP7_SQL, op7_licenses
 from .pieces import op6_sentencepiece
 from .quality import op2_quality
 from .simhash import op4_simhash
+from .suffix_dedup import op3_suffix_dedup
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_chat_format": op1_chat_format,
         "op2_quality": op2_quality,
+        "op3_suffix_dedup": op3_suffix_dedup,
         "op4_simhash": op4_simhash,
         "op5_hmm_lm": op5_hmm_lm,
         "op6_sentencepiece": op6_sentencepiece,
