@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import combinations
-from math import comb
+from math import acos, comb, pi
 
 import numpy as np
 import pyarrow as pa
@@ -17,6 +17,8 @@ from .components import connected_components
 
 #: Rows of a bucket that one task compares with one another; larger buckets are compared chunk by chunk.
 CHUNK = 2048
+#: Points in a bucket on average, above which fingerprints are cut into more blocks.
+BUCKET = 256
 #: Pairs of (row, word of 64 rows) that are compared at once.
 SLAB = 1 << 17
 
@@ -142,7 +144,7 @@ def link(points: DataFrame, radius: int = 4) -> DataFrame:
     every two chunks meet in one task.  Inside a task the links are reduced to a spanning forest.
     """
     n = points.count()
-    agree = next((g for g in range(1, 5) if n <= 8 << (64 * g // (radius + g))), 5)
+    agree = next((g for g in range(1, 5) if n <= BUCKET << (64 * g // (radius + g))), 5)
     blocks = radius + agree
     borders = [round(64 * i / blocks) for i in range(blocks + 1)]
     masks = []
@@ -202,5 +204,20 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, radius: int = 4) -> DataF
     return marked.join(home, "fp", "left").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def radius_for(similarity: float) -> int:
+    """The distance at which 64 bits estimate this Jaccard similarity of two shingle sets of equal size."""
+    return int(64 * acos(2 * similarity / (1 + similarity)) / pi)
+
+
+def drop_near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """The rows of ``docs``, with all their columns: of each component the documents with the smallest doc_id stay.
+
+    Documents link if their SimHash fingerprints estimate a similarity of word shingles of ``similarity`` or more.
+    Texts without a word are not compared; they stay, as rows with a null doc_id do.
+    """
+    named = near_duplicates(docs.where(F.col("text").rlike(r"[^\x20\x09-\x0D]")), shingle, radius_for(similarity))
+    return docs.join(named.where("doc_id <> component_id").select("doc_id"), "doc_id", "left_anti").select(docs.columns)
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
