@@ -3,14 +3,21 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import window as W
 
 from quizmill.functions import text as T
+from quizmill.operators import bank as B
+from quizmill.operators import chat as C
+from quizmill.operators import model_io as M
 from quizmill.operators import practice as K
 from quizmill.operators import reports as R
+from quizmill.operators import segment as S
 from quizmill.plans.fixtures import WITH, Tables
+from quizmill.sources import ingest as I
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -279,3 +286,430 @@ def r16(t: Tables) -> DataFrame:
 @query("r17_recent_sessions", " select session_id, bank_id, status, b.name as bank_name from progress join bank b on b.id = bank_id order by session_id desc limit 20")
 def r17(t: Tables) -> DataFrame:
     return R.recent_sessions(t.progress, t.bank, 50).select("session_id", "bank_id", "status", "bank_name")
+
+
+# ---- scalar functions over derived columns
+
+
+@query(
+    "f_answer_functions",
+    """ select id, upper(answer) as letters_in, array_to_string(list_sort(list_distinct(regexp_extract_all(regexp_extract(answer, '[A-Za-z](?:[、,，;；/ 　和与及]*[A-Za-z])*'), '[A-Za-z]'))), '') as letters_raw,
+    case when trim(answer) in ('A', 'B') then trim(answer) end as tf, case when length(stem) > 12 then substr(stem, 1, 12) || '…' else stem end as short, substr(stem, 1, 20) as title from question""",
+)
+def f_answers(t: Tables) -> DataFrame:
+    q = t.question
+    plain = F.array_join(F.array_sort(F.array_distinct(F.regexp_extract_all(T.letter_part(F.col("answer")), F.lit("([A-Za-z])"), 1))), "")
+    return q.select("id", F.upper("answer").alias("letters_in"), plain.alias("letters_raw"), F.when(T.tf_key(F.col("answer")).isNotNull() & F.length(T.trim(F.col("answer"))).eqNullSafe(1), T.tf_key(F.col("answer"))).alias("tf"), T.truncate(F.col("stem"), 12).alias("short"), T.title_from(F.col("stem")).alias("title"))
+
+
+@query(
+    "f_failure_classes",
+    """, m as (select event_id, case event_id % 5 when 0 then 'HTTP 401 Unauthorized' when 1 then '429: insufficient balance' when 2 then 'Rate limit reached' when 3 then '连接超时' else '账户欠费' end as message from events)
+    select event_id, case when event_id % 5 in (1, 4) then 'AI 账户余额不足或配额已用完，请充值后重试' when event_id % 5 = 0 then 'AI 账号鉴权失败，请到「设置」页检查 API Key 是否填写正确' when event_id % 5 = 2 then 'AI 请求过于频繁被限流，请稍等几分钟再重试' end as reason,
+    '[' || replace(message, '401', '***') || ']' as masked from m""",
+)
+def f_failures(t: Tables) -> DataFrame:
+    e = F.col("event_id") % 5
+    m = F.when(e == 0, "HTTP 401 Unauthorized").when(e == 1, "429: insufficient balance").when(e == 2, "Rate limit reached").when(e == 3, "连接超时").otherwise("账户欠费")
+    rows = t.read("events").select("event_id", m.alias("m"))
+    return rows.select("event_id", T.classify_failure(F.col("m")).alias("reason"), F.concat(F.lit("["), T.mask_secret(F.col("m"), F.lit("401"), F.lit("")), F.lit("]")).alias("masked"))
+
+
+@query("f_fingerprints", " select id, sha256(lower(regexp_replace(stem, '[\\s\\p{Z}\\p{P}]+', '', 'g')) || '||' || coalesce(array_to_string(list_transform(options, lambda o: o.key || '=' || lower(regexp_replace(o.text, '[\\s\\p{Z}\\p{P}]+', '', 'g'))), ';'), '') || '||' || lower(regexp_replace(answer, '[\\s\\p{Z}\\p{P}]+', '', 'g'))) as fingerprint from question")
+def f_fingerprints(t: Tables) -> DataFrame:
+    return t.question.select("id", T.fingerprint(F.col("stem"), F.col("options"), F.col("answer")).alias("fingerprint"))
+
+
+@query(
+    "f_json_repair",
+    r""" select id, '{"answer": "A", "analysis": "\\\\frac{1}{2} of ' || stem || '"}' as repaired from question""",
+)
+def f_json_repair(t: Tables) -> DataFrame:
+    raw = F.concat(F.lit('```json\n{"answer": "A", "analysis": "\\\\\\frac{1}{2} of '), "stem", F.lit('"}\n```'))
+    return t.question.select("id", T.repair_backslashes(T.strip_to_json(raw)).alias("repaired"))
+
+
+# ---- sources
+
+
+@query("s02_upload_gate", " select user_id, event_id, case when coalesce(octet_length(encode(props)), 0) = 0 then 40001 when event_id % 4 = 3 then 40002 end as reject_code from events")
+def s02(t: Tables) -> DataFrame:
+    e = t.read("events")
+    ext = F.when(F.col("event_id") % 4 == 0, "a.TXT").when(F.col("event_id") % 4 == 1, "b.pdf").when(F.col("event_id") % 4 == 2, "c.d.docx").otherwise("e.exe")
+    return I.gate_uploads(e.select("user_id", "event_id", ext.alias("file_name"), F.octet_length("props").alias("size"))).select("user_id", "event_id", "reject_code")
+
+
+@query("s03_clean_text", " select doc_id, md5(replace(replace(coalesce(text, ''), chr(13) || chr(10), chr(10)), chr(13), chr(10))) as digest from documents")
+def s03(t: Tables) -> DataFrame:
+    d = t.read("documents").select("doc_id", F.lit("txt").alias("ext"), F.coalesce("text", F.lit("")).alias("text"))
+    return I.normalize_extracted_text(d).select("doc_id", F.md5("text").alias("digest"))
+
+
+@query("s04_scanned", " select doc_id, coalesce(length(text) // (doc_id % 40 + 1) < 30, true) as scanned from documents")
+def s04(t: Tables) -> DataFrame:
+    d = t.read("documents").select("doc_id", "text", (F.col("doc_id") % 40 + 1).alias("pages"))
+    return I.flag_scanned(d).select("doc_id", "scanned")
+
+
+@query("s05_json_columns", " select id, options, case when id % 7 = 0 then [] else coalesce(knowledge_points, []) end as points from question")
+def s05(t: Tables) -> DataFrame:
+    q = t.question.select("id", F.to_json("options").alias("o"), F.when(F.col("id") % 7 == 0, "{broken").otherwise(F.to_json("knowledge_points")).alias("p"))
+    return q.select("id", I.parse_options(F.col("o")).alias("options"), I.parse_string_list(F.col("p"), empty=True).alias("points"))
+
+
+@query("s07_distinct_files", " select min(doc_id) as doc_id, md5(coalesce(text, '')) as digest from documents group by 2")
+def s07(t: Tables) -> DataFrame:
+    d = t.read("documents").select("doc_id", F.format_string("%020d", "doc_id").alias("path"), F.coalesce("text", F.lit("")).cast("binary").alias("content"))
+    return I.dedup_files(d).select("doc_id", F.md5("content").alias("digest"))
+
+
+# ---- documents to questions
+
+
+def bank_documents(t: Tables) -> DataFrame:
+    """One document per bank from its questions, in three styles; answers at the end of the third."""
+    q = t.question.where("type <> 'LEGACY'").select("id", "bank_id", "chapter_id", "type", "stem", "options", "answer")
+    per = W.Window.partitionBy("bank_id")
+    q = q.withColumn("n", F.row_number().over(per.orderBy("chapter_id", "id"))).withColumn("in_chapter", F.row_number().over(W.Window.partitionBy("bank_id", "chapter_id").orderBy("id")))
+    name = F.concat(F.lit("章节"), F.col("chapter_id").cast("string"))
+    n, style = F.col("n").cast("string"), F.col("bank_id") % 3
+    option_lines = F.array_join(F.transform("options", lambda o: F.concat(o["key"], F.lit(". "), o["text"], F.lit("\n"))), "")
+    inline = F.array_join(F.transform("options", lambda o: F.concat(F.lit(" "), o["key"], F.lit(". "), o["text"])), "")
+    label, answer = T.type_label(F.col("type")), F.col("answer")
+    head = F.when(F.col("in_chapter") == 1, F.when(style == 1, F.concat(F.lit("第一章 "), name, F.lit("\n"))).otherwise(F.concat(F.lit("【第 1 章】"), name, F.lit("\n")))).otherwise("")
+    said = F.when(answer == "", "").otherwise(F.concat(F.lit("正确答案："), answer, F.lit("\n")))
+    style0 = F.concat(F.lit("【第 "), n, F.lit(" 题】题型："), label, F.lit("\n题目："), "stem", F.lit("\n选项：\n"), option_lines, F.lit("我的答案：Z\n"), said)
+    style1 = F.concat(F.lit("1．"), label, F.lit("\n（"), n, F.lit("）"), "stem", inline, F.lit("\n"), said)
+    style2 = F.concat(n, F.lit(". "), "stem", F.lit("\n"), option_lines)
+    rows = q.withColumn("part", F.concat(head, F.when(style == 0, style0).when(style == 1, style1).otherwise(style2)))
+    rows = rows.withColumn("tail", F.when((style == 2) & (answer != ""), F.concat(n, F.lit(".【答案】"), answer, F.when(F.col("n") % 5 == 0, "\n\n").otherwise("\n"))).otherwise(""))
+    joined = lambda c: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", c))), lambda x: x[c]), "")
+    return rows.groupBy(F.col("bank_id").alias("doc_id")).agg(F.concat(joined("part"), F.lit("\n"), joined("tail")).alias("text"))
+
+
+_PARSED = ", z as (select *, row_number() over (partition by bank_id order by chapter_id, id) as no from question where type <> 'LEGACY')"
+
+
+@query(
+    "p10_round_trip",
+    _PARSED + " select bank_id as doc_id, no, stem as raw_stem, options as raw_options, nullif(trim(answer), '') as raw_answer, '章节' || chapter_id as chapter_name, case when bank_id % 3 < 2 then " + _TYPE_NAME.format("type") + " end as raw_type from z",
+)
+def p10(t: Tables) -> DataFrame:
+    return S.parse_documents(bank_documents(t)).select("doc_id", "no", "raw_stem", "raw_options", "raw_answer", "chapter_name", "raw_type")
+
+
+@query("p11_no_questions", " select doc_id, 0 as questions, false as usable from documents")
+def p11(t: Tables) -> DataFrame:
+    d = t.read("documents").select("doc_id", "text")
+    return S.route_documents(d, S.parse_documents(d))
+
+
+@query("p12_chunks")
+def p12(t: Tables) -> DataFrame:
+    return S.chunk_documents(t.read("documents").select("doc_id", "text"))
+
+
+# ---- building banks
+
+
+def raw_questions(t: Tables) -> DataFrame:
+    """Raw questions of each bank as the parser gives them, some without stem, answer or type, some odd."""
+    k = F.expr("id div 25")
+    stem = F.when(k % 17 == 0, " ").otherwise(F.concat(F.lit(" "), "stem", F.lit("\t")))
+    kind = F.when(k % 13 == 0, None).otherwise(T.type_label(F.col("type")))
+    odd = F.when(k % 19 == 0, F.array(F.lit("odd  line"), F.col("stem"))).otherwise(F.array().cast("array<string>"))
+    chapter = F.when(k % 6 == 0, "  ").otherwise(F.concat(F.lit("章 "), (F.col("chapter_id") % 10).cast("string")))
+    return t.question.select("bank_id", (k + 1).cast("int").alias("pos"), kind.alias("raw_type"), stem.alias("raw_stem"), F.col("options").alias("raw_options"), F.nullif("answer", F.lit("")).alias("raw_answer"), chapter.alias("chapter_name"), (k * 7 + 1).cast("int").alias("start_line"), odd.alias("suspicious"))
+
+
+_RAW = """, raw as (select bank_id, (id // 25 + 1)::int as pos, case when id // 25 % 13 = 0 then null else type end as raw_type, case when id // 25 % 17 = 0 then '' else stem end as raw_stem, type, options, answer,
+    case when id // 25 % 6 = 0 then '默认章节' else '章 ' || chapter_id % 10 end as name, id // 25 % 19 = 0 as odd, id // 25 * 7 + 1 as start_line, stem from question),
+kinds as (select *, case when raw_type is not null and raw_type <> 'LEGACY' then raw_type when type = 'TRUE_FALSE' then 'TRUE_FALSE' when len(options) > 0 then case when len(list_distinct(regexp_extract_all(answer, '[A-Z]'))) > 1 then 'MULTIPLE' else 'SINGLE' end
+    when answer <> '' then case when length(answer) <= 20 then 'FILL_BLANK' else 'ESSAY' end end as t from raw),
+ch as (select bank_id, name, row_number() over (partition by bank_id order by min(pos)) as sort from raw group by 1, 2)"""
+
+
+@query("b01_chapters", _RAW + " select * from ch")
+def b01(t: Tables) -> DataFrame:
+    return B.build_chapters(raw_questions(t))
+
+
+@query(
+    "b02_questions",
+    _RAW + """ select kinds.bank_id, pos, name as chapter_name, sort as chapter_sort, t as type, raw_stem as stem, options,
+    case when answer = '' then '' when t = 'SINGLE' then array_to_string(list_sort(list_distinct(regexp_extract_all(answer, '[A-Z]'))), '')[1] when t = 'MULTIPLE' then array_to_string(list_sort(list_distinct(regexp_extract_all(answer, '[A-Z]'))), '') else answer end as answer
+    from kinds join ch using (bank_id, name) where raw_stem <> '' and t is not null""",
+)
+def b02(t: Tables) -> DataFrame:
+    raw = raw_questions(t)
+    return B.build_questions(raw, B.build_chapters(raw)).drop("ai_status", "ai_retry_count", "answer_source")
+
+
+@query(
+    "b03_import_report",
+    _RAW + """ select bank_id, count(*) as total, count(*) filter (raw_stem <> '' and t is not null) as inserted, count(*) filter (raw_stem = '') as skipped_no_stem, count(*) filter (raw_stem <> '' and t is null) as skipped_no_type,
+    coalesce(list(pos order by pos) filter (raw_stem = '' or t is null), []) as skipped, count(*) filter (raw_stem <> '' and t is not null) = 0 as failed from kinds group by 1""",
+)
+def b03(t: Tables) -> DataFrame:
+    return B.import_report(raw_questions(t)).drop("message")
+
+
+@query("b04_ids", " select bank_id, id as question_id, row_number() over (order by bank_id, id) as new_id from question")
+def b04(t: Tables) -> DataFrame:
+    return B.assign_ids(t.question.select("bank_id", F.col("id").alias("question_id")), "bank_id", ["question_id"], name="new_id")
+
+
+_LIST = "('[' || array_to_string({0}, ', ') || ']')"
+_BAD = "list_filter(regexp_extract_all(upper(regexp_extract(answer, '^[A-Za-z,，、/;；]*')), '[A-Z]'), lambda x: not list_contains(list_transform(options, lambda o: o.key), x))"
+
+
+@query(
+    "b05_quality_issues",
+    _RAW + f""", i as (
+    select bank_id, pos as seq, '有可疑行' as kind, '原文第 ' || start_line || ' 行起的这道题里，有 2 行没被识别（可能是被截断的题干或异常选项）：odd line' as detail from raw where odd
+    union all select bank_id, pos, '无题干', '没有提取到题干，入库时会被跳过' from raw where raw_stem = ''
+    union all select bank_id, pos, '缺答案', '没提取到答案，不开 AI 时无法判分' from raw where raw_stem <> '' and answer = ''
+    union all select bank_id, pos, '答案越界', '答案字母 ' || {_LIST.format(_BAD)} || ' 不在选项 ' || {_LIST.format("list_transform(options, lambda o: o.key)")} || ' 里（多半是切题切错了）' from raw where raw_stem <> '' and answer <> '' and len(options) > 0 and len({_BAD}) > 0
+    union all select bank_id, pos, '选项不足', '题型判定为「' || case raw_type when 'SINGLE' then '单选题' else '多选题' end || '」但只有 ' || len(options) || ' 个选项' from raw where raw_stem <> '' and raw_type in ('SINGLE', 'MULTIPLE') and len(options) < 2)
+    select * from i""",
+)
+def b05(t: Tables) -> DataFrame:
+    return B.quality_issues(raw_questions(t))
+
+
+@query(
+    "b06_quality_summary",
+    _RAW + """ select bank_id, count(*) filter (odd) as odd, count(*) filter (raw_stem = '') as no_stem, count(*) filter (raw_stem <> '' and answer = '') as no_answer from raw group by 1 having count(*) filter (odd or raw_stem = '' or answer = '') > 0""",
+)
+def b06(t: Tables) -> DataFrame:
+    s = B.quality_summary(B.quality_issues(raw_questions(t)))
+    return s.select("bank_id", F.col("有可疑行").alias("odd"), F.col("无题干").alias("no_stem"), F.col("缺答案").alias("no_answer"))
+
+
+def _repeated(t: Tables) -> DataFrame:
+    """Questions that repeat across banks: the stem without the bank's share of it."""
+    return t.question.select("id", F.concat(F.lit("Stem, "), F.expr("cast(id % 50 as string)")).alias("stem"), "options", "answer")
+
+
+_REP = ", rep as (select *, row_number() over (partition by id % 50, options, answer order by id) as copy from question)"
+
+
+@query("b07_dedup_questions", _REP + " select id from rep where copy = 1")
+def b07(t: Tables) -> DataFrame:
+    return B.dedup_questions(_repeated(t), "id").select("id")
+
+
+@query("b08_merge_corpora", _REP + " select id from rep where copy = 1")
+def b08(t: Tables) -> DataFrame:
+    r = _repeated(t)
+    return B.merge_corpora(r, r, "id").select("id")
+
+
+@query(
+    "b09_task_status",
+    """, s as (select user_id, arg_max(event_type, event_id) as status, arg_max((event_id % 100)::int, event_id) as progress from events where event_type <> 'click' group by 1), ids as (select distinct user_id from events),
+    st as (select user_id, count(*) as n from events group by 1)
+    select ids.user_id::varchar as task_id, coalesce(s.status, case when ids.user_id % 2 = 0 then 'SUCCESS' end, 'FAILED') as status, coalesce(s.progress, case when ids.user_id % 2 = 0 then 100 end, 0) as progress,
+    case when s.user_id is null and ids.user_id % 2 = 1 then '任务不存在' end as error_message from ids left join s using (user_id)""",
+)
+def b09(t: Tables) -> DataFrame:
+    e = t.read("events").withColumn("task_id", F.col("user_id").cast("string"))
+    snaps = e.where("event_type <> 'click'").select("task_id", F.col("event_id").alias("at"), F.col("event_type").alias("status"), (F.col("event_id") % 100).cast("int").alias("progress"))
+    stored = e.where("user_id % 2 = 0").select("task_id").distinct().select("task_id", F.lit("SUCCESS").alias("status"), F.lit(100).alias("progress"))
+    return B.task_status(e.select("task_id").distinct(), snaps, stored)
+
+
+@query("b10_enrich_counts", " select bank_id, count(*) filter (ai_status = 'DONE') as done, count(*) filter (ai_status = 'FAILED') as failed, count(*) filter (ai_status = 'PENDING') as pending from question group by 1")
+def b10(t: Tables) -> DataFrame:
+    return B.enrich_counts(t.question)
+
+
+@query(
+    "b11_delete_banks",
+    """, gone as (select id from bank where file_name like '%.pdf') select 'bank' as name, count(*) as n from bank where id not in (from gone) union all select 'question', count(*) from question where bank_id not in (from gone)
+    union all select 'practice_session', count(*) from session where bank_id not in (from gone) union all select 'practice_record', count(*) from record join session using (session_id) where bank_id not in (from gone)""",
+)
+def b11(t: Tables) -> DataFrame:
+    tables = {"bank": t.bank, "chapter": t.chapter, "question": t.question, "practice_session": t.session, "practice_record": t.record, "practice_session_question": t.listed, "wrong_question": t.wrong}
+    left = B.delete_banks(tables, t.bank.where(F.col("file_name").endswith(".pdf")))
+    return reduce(DataFrame.unionByName, [left[n].agg(F.count(F.lit(1)).alias("n")).select(F.lit(n).alias("name"), "n") for n in ("bank", "question", "practice_session", "practice_record")])
+
+
+@query(
+    "b11_delete_chapters",
+    """, gone as (select id from chapter where sort = 2) select session_id, question_id, is_correct from record join question q on q.id = question_id where chapter_id not in (from gone)""",
+)
+def b11_chapters(t: Tables) -> DataFrame:
+    left = B.delete_chapters({"chapter": t.chapter, "question": t.question, "practice_record": t.record}, t.chapter.where("sort = 2"))
+    return left["practice_record"].select("session_id", "question_id", "is_correct")
+
+
+# ---- model material and results
+
+
+@query(
+    "m01_summary_material",
+    f""", n as (select *, row_number() over (partition by bank_id order by id) as n, count(*) over (partition by bank_id) as total from question)
+    select bank_id, string_agg(n || '. [' || {_TYPE_NAME.format("type")} || '] ' || stem || case when answer = '' then '（本题未提供答案）' else '　答案：' || answer end || chr(10), '' order by n) as material, count(*) as used, total, total > count(*) as cut from n where n <= 300 group by bank_id, total""",
+)
+def m01(t: Tables) -> DataFrame:
+    return M.summary_material(t.question)
+
+
+@query(
+    "m02_mistake_material",
+    f""", r as (select *, row_number() over (partition by bank_id order by wrong_count desc, id) as n from wrong where resolved = 0)
+    select r.bank_id, string_agg(n || '. [' || {_TYPE_NAME.format("type")} || '] ' || stem || '　正确答案：' || case when answer = '' then '（空）' else answer end || '　学生答案：' || user_answer || '　答错 ' || wrong_count || ' 次' || chr(10), '' order by n) as material, count(*) as used
+    from r join question q on q.id = question_id where n <= 100 group by 1""",
+)
+def m02(t: Tables) -> DataFrame:
+    return M.mistake_material(t.wrong, t.question)
+
+
+_RULE = "case type when 'SINGLE' then 'answer 必须是单个大写字母，例如 A。' when 'MULTIPLE' then 'answer 必须是多个大写字母、用英文逗号分隔并升序，例如 A,C。' when 'TRUE_FALSE' then 'answer 只能是 A（正确）或 B（错误）。' when 'FILL_BLANK' then 'answer 是各空答案，多个空用中文分号「；」分隔。' else 'answer 是参考答案文本。' end"
+
+
+@query(
+    "m03_enrich_prompts",
+    f""" select id as question_id, '题型：' || type || chr(10) || '题干：' || stem || chr(10) || case when len(options) > 0 then '选项：[' || array_to_string(list_transform(options, lambda o: '{{"key":"' || o.key || '","text":"' || o.text || '"}}'), ',') || ']' || chr(10) else '' end || '标准答案：' || case when answer = '' then '（题目文件里没有提供，请你解出来）' else answer end || chr(10) || {_RULE} as prompt from question where ai_status <> 'DONE'""",
+)
+def m03(t: Tables) -> DataFrame:
+    return M.enrich_prompts(t.question)
+
+
+def model_outputs(t: Tables) -> DataFrame:
+    """What a model might say about the questions that are not enriched: mostly good JSON, some broken, some errors."""
+    k = F.expr("id div 25")
+    good = F.concat(F.lit('{"answer": "'), F.when(F.col("type") == "TRUE_FALSE", "对").when(F.col("type") == "MULTIPLE", "c,a").otherwise("b"), F.lit('", "analysis": " about '), F.when(k % 5 == 3, F.lit("\\frac ")).otherwise(""), "stem", F.lit(' "}'))
+    raw = F.when(k % 7 == 0, F.lit('{"answer": "A", "analy')).otherwise(good)
+    error = F.when(k % 9 == 0, F.when(F.col("bank_id") % 4 == 0, "HTTP 401").when(F.col("bank_id") % 4 == 1, "429 insufficient quota").when(F.col("bank_id") % 4 == 2, "429 rate limit").otherwise("connection reset"))
+    return t.question.where("ai_status <> 'DONE'").select(F.col("id").alias("question_id"), raw.alias("raw_text"), error.alias("error"))
+
+
+_RES = """, o as (select *, id // 25 as k from question where ai_status <> 'DONE'),
+res as (select id as question_id, bank_id, case when k % 9 <> 0 and k % 7 <> 0 then 'about ' || case when k % 5 = 3 then '\\frac ' else '' end || stem end as analysis,
+    case when k % 9 <> 0 and k % 7 <> 0 and answer = '' then case type when 'TRUE_FALSE' then 'A' when 'MULTIPLE' then 'A,C' when 'SINGLE' then 'B' else 'b' end end as answer,
+    case when k % 9 = 0 then case bank_id % 4 when 0 then 'HTTP 401' when 1 then '429 insufficient quota' when 2 then '429 rate limit' else 'connection reset' end when k % 7 = 0 then 'AI 没有返回可用的解析内容' end as error from o)"""
+
+
+@query("m07_enrich_results", _RES + " select *, answer is not null as answer_from_ai from res")
+def m07(t: Tables) -> DataFrame:
+    return M.parse_enrich_results(model_outputs(t), t.question)
+
+
+@query(
+    "m08_apply_enrichment",
+    _RES + """ select id, case when r.question_id is not null and error is null then r.analysis else q.analysis end as analysis, coalesce(r.answer, q.answer) as answer, case when r.answer is not null then 'AI' end as answer_source,
+    case when r.question_id is null then ai_status when error is null then 'DONE' else 'FAILED' end as ai_status, case when r.question_id is null then ai_error else error end as ai_error, ai_retry_count + (error is not null)::int as ai_retry_count from question q left join res r on r.question_id = q.id""",
+)
+def m08(t: Tables) -> DataFrame:
+    r = M.parse_enrich_results(model_outputs(t), t.question)
+    return M.apply_enrichment(t.question, r, F.lit("2024-06-01").cast("timestamp")).select("id", "analysis", "answer", "answer_source", "ai_status", "ai_error", "ai_retry_count")
+
+
+_OUT = _RES + """, oc as (select bank_id, count(*) as total, count(*) filter (error is not null) as failed, case when count(*) filter (error like 'HTTP%' or error like '429%') > 0 then case bank_id % 4 when 0 then 'AI 账号鉴权失败，请到「设置」页检查 API Key 是否填写正确' when 1 then 'AI 账户余额不足或配额已用完，请充值后重试' else 'AI 请求过于频繁被限流，请稍等几分钟再重试' end end as systemic_reason from res group by 1)"""
+
+
+@query("m09_enrich_outcome", _OUT + " select *, 'AI 解析中断：' || systemic_reason || '。已完成 ' || (total - failed) || ' 道题的解析（可正常使用），还有 ' || failed || ' 道未解析，处理后重新上传即可补齐。' as message from oc")
+def m09(t: Tables) -> DataFrame:
+    return M.enrich_outcome(M.parse_enrich_results(model_outputs(t), t.question))
+
+
+@query(
+    "m09_back_to_pending",
+    _OUT + """ select q.id, case when res.question_id is null then ai_status when error is null then 'DONE' when systemic_reason is not null then 'PENDING' else 'FAILED' end as ai_status from question q left join res on res.question_id = q.id left join oc on oc.bank_id = q.bank_id""",
+)
+def m09_pending(t: Tables) -> DataFrame:
+    r = M.parse_enrich_results(model_outputs(t), t.question)
+    return M.unmark_retryable(M.apply_enrichment(t.question, r, F.lit("2024-06-01").cast("timestamp")), r, M.enrich_outcome(r)).select("id", "ai_status")
+
+
+def extracted(t: Tables) -> DataFrame:
+    """Model outputs that hold questions, one per bank: an object with an array after other fields, in a code fence."""
+    q = F.struct(F.concat(F.lit(" "), F.lit("c1")).alias("chapter"), F.lit("单选题").alias("type"), F.when(F.col("id") % 3 == 0, " ").otherwise(F.col("stem")).alias("stem"), F.transform("options", lambda o: F.struct(F.lower(o["key"]).alias("key"), o["text"].alias("content"))).alias("options"), F.when(F.col("id") % 4 == 1, "Z").otherwise(F.col("answer")).alias("answer"))
+    rows = t.question.groupBy("bank_id").agg(F.array_sort(F.collect_list(F.struct("id", q.alias("q")))).alias("all"))
+    return rows.select(F.col("bank_id").alias("id"), F.concat(F.lit('Here:\n{"note": "x", "n": 2, "items": '), F.to_json(F.transform("all", lambda x: x["q"])), F.lit("}\n```")).alias("raw_text"))
+
+
+@query(
+    "m05_model_questions",
+    """, x as (select bank_id as id, row_number() over (partition by bank_id order by id) - 1 as place, id as qid, stem, options, case when id % 4 = 1 then 'Z' else answer end as a from question),
+    y as (select *, len(options) > 0 and length(a) <= 20 and regexp_full_match(a, '[A-Za-z、,，;；/ ]*') and len(regexp_extract_all(upper(a), '[A-Z]')) > 0 and len(list_filter(regexp_extract_all(upper(a), '[A-Z]'), lambda c: not list_contains(['A', 'B', 'C', 'D'][1:len(options)], c))) > 0 as bad from x)
+    select id, place, '单选题' as raw_type, stem as raw_stem, options as raw_options, case when not bad then nullif(trim(a), '') end as raw_answer, 'c1' as chapter_name, count(*) filter (qid % 3 = 0) over (partition by id) as no_stem, 0 as bad_option, count(*) filter (bad and qid % 3 <> 0) over (partition by id) as bad_answer from y qualify qid % 3 <> 0""".replace("from y qualify", "from (select * from y) qualify"),
+)
+def m05(t: Tables) -> DataFrame:
+    return M.validate_model_questions(M.parse_model_questions(extracted(t)))
+
+
+@query("m06_chunk_status", " select id, case when id % 5 = 0 then 'AI 输出被截断' when id % 7 = 1 then 'AI 返回了空内容' end as reason from bank")
+def m06(t: Tables) -> DataFrame:
+    i = F.col("id")
+    parsed = M.parse_model_questions(extracted(t)).where((i % 7 != 1) | (i % 5 == 0)).withColumn("finish_reason", F.when(i % 5 == 0, "LENGTH").otherwise("stop"))
+    chunks = bank_documents(t).select(F.col("doc_id").alias("id"), "doc_id", F.lit(1).alias("start_line"), F.lit(9).alias("end_line"), "text")
+    return M.chunk_status(chunks, parsed, M.validate_model_questions(parsed)).select("id", "reason")
+
+
+@query(
+    "m10_summary_plan",
+    """, r as (select case when id = 3 then 99 else id end as bank_id, id % 4 = 0 as force, id from bank) select bank_id, force, case when bank_id = 99 then 40401 end as reject_code, bank_id <> 99 and bank_id % 2 = 0 and not force as from_cache, bank_id <> 99 and not (bank_id % 2 = 0 and not force) as needs_model from r""",
+)
+def m10(t: Tables) -> DataFrame:
+    r = t.bank.select(F.when(F.col("id") == 3, 99).otherwise(F.col("id")).cast("long").alias("bank_id"), (F.col("id") % 4 == 0).alias("force"))
+    return M.summary_plan(r, t.bank, t.bank.where("id % 2 = 0").select(F.col("id").alias("bank_id")), t.question)
+
+
+@query(
+    "m11_upsert_summaries",
+    """ select case when id % 2 = 0 then id + 100 end as id, id as bank_id, name as bank_name, case when id % 3 = 0 then ['new'] when id % 2 = 0 then ['old'] end as highlights, case when id % 2 = 0 then timestamp '2024-01-01' else timestamp '2024-06-01' end as created_at, case when id % 3 = 0 then timestamp '2024-06-01' else timestamp '2024-02-01' end as generated_at from bank where id % 2 = 0 or id % 3 = 0""",
+)
+def m11(t: Tables) -> DataFrame:
+    b = t.bank
+    none = F.lit(None).cast("array<string>")
+    lists = lambda v: [F.array(F.lit(v)).alias("highlights"), *[none.alias(c) for c in M.SUMMARY_LISTS[1:]]]
+    old = b.where("id % 2 = 0").select((F.col("id") + 100).alias("id"), F.col("id").alias("bank_id"), *lists("old"), F.lit("2024-01-01").cast("timestamp").alias("created_at"), F.lit("2024-02-01").cast("timestamp").alias("updated_at"))
+    new = b.where("id % 3 = 0").select(F.col("id").alias("bank_id"), *lists("new"))
+    return M.upsert_summaries(old, new, b, F.lit("2024-06-01").cast("timestamp")).select("id", "bank_id", "bank_name", "highlights", "created_at", "generated_at")
+
+
+# ---- chat
+
+
+@query(
+    "c01_context",
+    """, r as (select *, row_number() over w as rn, sum(length(content)) over (w rows unbounded preceding) as total from chat window w as (partition by session_id order by created_at desc, id desc))
+    select session_id, id, role, content, row_number() over (partition by session_id order by created_at, id) as place from r where rn <= 5 and (rn = 1 or total <= 1500) and content <> '' and role in ('user', 'assistant')""".replace(
+        "(w rows unbounded preceding)", "(partition by session_id order by created_at desc, id desc rows unbounded preceding)"
+    ),
+)
+def c01(t: Tables) -> DataFrame:
+    return C.context_messages(t.chat, max_messages=5, max_chars=1500).select("session_id", "id", "role", "content", "place")
+
+
+@query("c02_message_page", ", f as (select *, count(*) over () as matches from chat where session_id = 3) select id, role, content, matches from f order by created_at, id limit 3 offset 3")
+def c02(t: Tables) -> DataFrame:
+    return C.message_page(t.chat, 3, page=2, size=3).select("id", "role", "content", "matches")
+
+
+_CHAT_ROLL = """, u as (select session_id, count(*) as message_count, max(created_at) as updated_at, arg_min(content, id) filter (role = 'user') as first from chat group by 1),
+roll as (select session_id as id, case when session_id % 2 = 0 then 'kept ' || session_id else coalesce(substr(regexp_replace(first, '^[\\x00-\\x20]+|[\\x00-\\x20]+$', '', 'g'), 1, 20), ' ') end as title, message_count, updated_at from u)"""
+
+
+def chat_sessions(t: Tables) -> DataFrame:
+    s = F.col("session_id")
+    return t.chat.select("session_id").distinct().select(s.alias("id"), F.when(s % 2 == 0, F.concat(F.lit("kept "), s.cast("string"))).otherwise(" ").alias("title"), F.lit("2020-01-01").cast("timestamp").alias("updated_at"))
+
+
+@query("c03_chat_rollup", _CHAT_ROLL + " select * from roll")
+def c03(t: Tables) -> DataFrame:
+    return C.rollup_chat_sessions(chat_sessions(t), t.chat)
+
+
+@query("c04_chat_sessions", _CHAT_ROLL + " select id, updated_at from roll")
+def c04(t: Tables) -> DataFrame:
+    return C.list_chat_sessions(C.rollup_chat_sessions(chat_sessions(t), t.chat)).select("id", "updated_at")
+
+
+@query("c05_delete_chats", " select id from chat where session_id not in (select session_id from chat where role = 'system')")
+def c05(t: Tables) -> DataFrame:
+    gone = t.chat.where("role = 'system'").select(F.col("session_id").alias("id")).distinct()
+    return C.delete_chat_sessions(chat_sessions(t), t.chat, gone)[1].select("id")
