@@ -22,7 +22,10 @@ def normal_text(c: Column) -> Column:
 
 
 def read_bank_texts(spark: SparkSession, path: str) -> DataFrame:
-    """(path, ext, size, content, text): strict UTF-8, else GBK.  Sets the session flag that GBK decoding needs."""
+    """(path, ext, size, content, text): strict UTF-8, else GBK.  Sets the session flag that GBK decoding needs.
+
+    Empty files give no row: Spark's reader passes over them.
+    """
     spark.conf.set("spark.sql.legacy.javaCharsets", "true")
     files = spark.read.format("binaryFile").load(path)
     raw = F.col("content").cast("string")
