@@ -47,7 +47,8 @@ class Lattice:
         self.ids = np.full((PIECE, total), -1, np.int32)
         h = np.zeros(total, np.uint64)
         for n in range(1, PIECE + 1):
-            h[: total - n] = h[: total - n] * vocabulary.base + chars[n - 1 :]
+            have = max(0, total - n)
+            h[:have] = h[:have] * vocabulary.base + chars[n - 1 :]
             keys, ids = vocabulary.by_length[n]
             ok = np.flatnonzero(self.left >= n)
             if len(keys) and len(ok):
