@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from functools import reduce
 
@@ -18,6 +19,7 @@ from quizmill.operators import reports as R
 from quizmill.operators import segment as S
 from quizmill.plans.fixtures import WITH, Tables
 from quizmill.sources import ingest as I
+from quizmill.streaming import attempts as A
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -161,9 +163,10 @@ def r01(t: Tables) -> DataFrame:
     return R.count_by_bank_type(t.question, t.bank.where(F.col("file_name").endswith(".txt")))
 
 
-@query("r02_count_chapters", " select bank_id, count(*) as cnt from chapter group by 1")
+@query("r02_count_chapters", " select o_custkey as bank_id, count(*) as cnt from orders join customer on c_custkey = o_custkey where c_acctbal > 0 group by 1")
 def r02(t: Tables) -> DataFrame:
-    return R.count_chapters(t.chapter, t.bank)
+    """Customers as banks and their orders as chapters."""
+    return R.count_chapters(t.read("orders").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("bank_id")), t.read("customer").where("c_acctbal > 0").select(F.col("c_custkey").alias("id")))
 
 
 _CHAPTERS = "select c.bank_id, c.id as chapter_id, name, sort, count(q.id) as question_count from chapter c left join question q on q.chapter_id = c.id group by all"
@@ -660,10 +663,11 @@ def m10(t: Tables) -> DataFrame:
 
 @query(
     "m11_upsert_summaries",
-    """ select case when id % 2 = 0 then id + 100 end as id, id as bank_id, name as bank_name, case when id % 3 = 0 then ['new'] when id % 2 = 0 then ['old'] end as highlights, case when id % 2 = 0 then timestamp '2024-01-01' else timestamp '2024-06-01' end as created_at, case when id % 3 = 0 then timestamp '2024-06-01' else timestamp '2024-02-01' end as generated_at from bank where id % 2 = 0 or id % 3 = 0""",
+    """ select case when id % 2 = 0 then id + 100 end as id, id as bank_id, name as bank_name, case when id % 3 = 0 then ['new'] when id % 2 = 0 then ['old'] end as highlights, case when id % 2 = 0 then timestamp '2024-01-01' else timestamp '2024-06-01' end as created_at, case when id % 3 = 0 then timestamp '2024-06-01' else timestamp '2024-02-01' end as generated_at from (select c_custkey as id, c_name as name from customer) where id % 2 = 0 or id % 3 = 0""",
 )
 def m11(t: Tables) -> DataFrame:
-    b = t.bank
+    """Customers as banks."""
+    b = t.read("customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"))
     none = F.lit(None).cast("array<string>")
     lists = lambda v: [F.array(F.lit(v)).alias("highlights"), *[none.alias(c) for c in M.SUMMARY_LISTS[1:]]]
     old = b.where("id % 2 = 0").select((F.col("id") + 100).alias("id"), F.col("id").alias("bank_id"), *lists("old"), F.lit("2024-01-01").cast("timestamp").alias("created_at"), F.lit("2024-02-01").cast("timestamp").alias("updated_at"))
@@ -713,3 +717,56 @@ def c04(t: Tables) -> DataFrame:
 def c05(t: Tables) -> DataFrame:
     gone = t.chat.where("role = 'system'").select(F.col("session_id").alias("id")).distinct()
     return C.delete_chat_sessions(chat_sessions(t), t.chat, gone)[1].select("id")
+
+
+# ---- streams, run to the end of what is there
+
+
+class StreamRun:
+    """The attempts in three sets of files, read as a stream of as many batches, and folders for its results."""
+
+    def __init__(self, t: Tables):
+        self.t, self.spark = t, t.spark
+        base = t.spark.conf.get("spark.checkpoint.dir", None) or f"file:///tmp/checkpoints/{t.spark.sparkContext.applicationId}"
+        self.dir = f"{base}/stream-{uuid.uuid4().hex}"
+        t.attempt.withColumn("part", F.col("seq") % 3).write.partitionBy("part").parquet(f"{self.dir}/in")
+        attempts = A.read_attempts(t.spark, f"{self.dir}/in/*", 1_000_000)
+        self.graded = A.graded_stream(attempts, t.requests, t.question, t.listed)
+
+    def updates(self, stream: DataFrame, mode: str = "update") -> DataFrame:
+        """What the stream gave, with the number of the batch."""
+        out = f"{self.dir}/out"
+        write = lambda df, i: df.withColumn("batch", F.lit(i)).write.mode("append").parquet(out)
+        stream.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", f"{self.dir}/cp").trigger(availableNow=True).start().awaitTermination()
+        return self.spark.read.parquet(out)
+
+    def latest(self, stream: DataFrame, keys: list[str]) -> DataFrame:
+        rows = self.updates(stream)
+        rest = F.struct(*[c for c in rows.columns if c not in (*keys, "batch")])
+        return rows.groupBy(*keys).agg(F.max_by(rest, "batch").alias("r")).select(*keys, "r.*")
+
+
+@query("t01_graded_stream", " select seq, session_id, question_id, is_correct from graded")
+def t01(t: Tables) -> DataFrame:
+    run = StreamRun(t)
+    return run.updates(run.graded, "append").select("seq", "session_id", "question_id", "is_correct")
+
+
+@query("t02_record_stream", " select * from record")
+def t02(t: Tables) -> DataFrame:
+    run = StreamRun(t)
+    store = A.RecordStore(t.spark, f"{run.dir}/records")
+    A.record_stream(run.graded, store, f"{run.dir}/cp").start().awaitTermination()
+    return store.records().drop("last_seq")
+
+
+@query("t03_progress_stream", " select session_id, answered_count, correct_count, total_count, completed_at from progress where answered_count > 0")
+def t03(t: Tables) -> DataFrame:
+    run = StreamRun(t)
+    return run.latest(A.session_progress(run.graded, t.session), ["session_id"]).select("session_id", "answered_count", "correct_count", "total_count", "completed_at")
+
+
+@query("t04_wrong_book_stream", " select * from wrong")
+def t04(t: Tables) -> DataFrame:
+    run = StreamRun(t)
+    return run.latest(A.wrong_book_stream(run.graded), ["bank_id", "question_id"]).withColumnRenamed("first_wrong_seq", "id")

