@@ -18,19 +18,32 @@ from .common import fold, sample_key, table
 #: Hash buckets; words, their character n-grams and pairs of words share them.
 BUCKETS = 1 << 17
 GRAMS = (1, 2, 3, 4)
-#: Words longer than this give n-grams of their first and last halves of this many characters; the word itself counts whole.
-LONG = 40
-CACHE_WORDS = 500_000
-SAME, START = zlib.crc32(b"\0same") % BUCKETS, 7
+CACHE_WORDS = 200_000
+SAME = zlib.crc32(b"\0same") % BUCKETS
 
 
-def word_features(word: str) -> list[int]:
-    """Buckets of the word and of its character n-grams, with border marks."""
-    raw = f"<{word}>" if len(word) <= LONG else f"<{word[: LONG // 2]}{word[-LONG // 2 :]}>"
-    out = [zlib.crc32(word.encode("utf-8", "replace"), 1) % BUCKETS]
-    for n in GRAMS:
-        out += [zlib.crc32(raw[i : i + n].encode("utf-8", "replace"), n + 1) % BUCKETS for i in range(len(raw) - n + 1)]
-    return out
+def word_heads(words: list[str]) -> np.ndarray:
+    """Each word's own bucket."""
+    return np.array([zlib.crc32(w.encode("utf-8", "replace"), 1) % BUCKETS for w in words], np.int64)
+
+
+def word_grams(words: list[str]) -> tuple[list[tuple[np.ndarray, np.ndarray]], np.ndarray, np.ndarray]:
+    """Character n-grams of words with border marks, all words at once.
+
+    For each length: the bucket of the n-gram at each character and whether it fits in the word; then each word's first
+    character and its number of n-grams.
+    """
+    codes = np.frombuffer("".join([f"<{w}>" for w in words]).encode("utf-32-le", "replace"), "<u4").astype(np.uint64)
+    sizes = np.array([len(w) + 2 for w in words], np.int64)
+    stops = np.cumsum(sizes)
+    left = np.repeat(stops, sizes) - np.arange(len(codes))
+    h, out = np.zeros(len(codes), np.uint64), []
+    for n in range(1, max(GRAMS) + 1):
+        h[: len(codes) - n + 1] = h[: len(codes) - n + 1] * np.uint64(0x9E3779B97F4A7C15) + codes[n - 1 :]
+        if n in GRAMS:
+            mixed = (h + np.uint64(n)) * np.uint64(0xBF58476D1CE4E5B9)
+            out.append(((mixed >> np.uint64(40)).astype(np.int64) % BUCKETS, left >= n))
+    return out, stops - sizes, sum(np.maximum(sizes - n + 1, 0) for n in GRAMS)
 
 
 def pair_features(heads: np.ndarray) -> np.ndarray:
@@ -42,13 +55,14 @@ def pair_features(heads: np.ndarray) -> np.ndarray:
 
 def features(text: str | None) -> np.ndarray:
     words = (text or "").split()
-    parts = [word_features(w) for w in words]
-    pairs = pair_features(np.array([p[0] for p in parts], np.int64)) if parts else np.zeros(0, np.int64)
-    return np.concatenate([np.array([i for p in parts for i in p], np.int64), pairs])
+    if not words:
+        return np.zeros(0, np.int64)
+    heads = word_heads(words)
+    return np.concatenate([heads, pair_features(heads), *(at[fits] for at, fits in word_grams(words)[0])])
 
 
-def train(texts: list[str | None], labels: np.ndarray, priors: np.ndarray, dims: int = 12, epochs: int = 6, rate: float = 0.5, seed: int = 7) -> dict:
-    """Gradient descent, one document a step.  ``priors``: shares of the classes where the model will be used."""
+def train(texts: list[str | None], labels: np.ndarray, priors: np.ndarray, dims: int = 12, steps: int = 20_000, rate: float = 0.5, seed: int = 7) -> dict:
+    """Gradient descent, one document a step, ``steps`` in all.  ``priors``: shares of the classes where the model will be used."""
     rng = np.random.default_rng(seed)
     embed = rng.uniform(-1 / dims, 1 / dims, (BUCKETS, dims)).astype(np.float32)
     out, bias = np.zeros((dims, 2), np.float32), np.zeros(2, np.float32)
@@ -56,12 +70,12 @@ def train(texts: list[str | None], labels: np.ndarray, priors: np.ndarray, dims:
     for t in texts:
         at, n = np.unique(features(t), return_counts=True)
         bags.append((at, (n / max(1, n.sum())).astype(np.float32)))
-    steps, k = max(1, epochs * len(bags)), 0
-    for _ in range(epochs):
-        for i in rng.permutation(len(bags)):
+    done = 0
+    while done < steps and bags:
+        for i in rng.permutation(len(bags))[: steps - done]:
             at, share = bags[i]
-            lr = rate * (1 - k / steps)
-            k += 1
+            lr = rate * (1 - done / steps)
+            done += 1
             hidden = share @ embed[at]
             z = hidden @ out + bias
             p = np.exp(z - z.max())
@@ -114,23 +128,31 @@ def score_quality(docs: DataFrame, model: dict, threshold: float = 0.3) -> DataF
             _cache[id(model)] = (model, {})
         known: dict[str, bytes] = _cache[id(model)][1]
 
-        def look(w: str) -> bytes:
-            if len(known) >= CACHE_WORDS:
-                known.clear()
-            at = word_features(w)
-            known[w] = got = np.array([at[0], len(at), weights[at].sum()]).tobytes()
-            return got
-
-        for b in batches:
-            scores = []
-            for text in b.column(1).to_pylist():
-                words = (text or "").split()
-                rows = np.frombuffer(b"".join([known.get(w) or look(w) for w in words]), np.float64).reshape(-1, 3)
-                pairs = pair_features(rows[:, 0].astype(np.int64))
-                n = rows[:, 1].sum() + len(pairs)
-                z = bias + (rows[:, 2].sum() + weights[pairs].sum()) / max(1.0, n)
-                scores.append(float(1 / (1 + np.exp(-np.clip(z, -50, 50)))))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(scores, pa.float64())], names=["doc_id", "score"])
+        def learn(words: list[str]) -> None:
+            """Remember each word's bucket, number of features and sum of their weights."""
+            heads = word_heads(words)
+            grams, first, n = word_grams(words)
+            total = weights[heads]
+            for at, fits in grams:
+                total = total + np.add.reduceat(np.where(fits, weights[at], 0.0), first)
+            known.update(zip(words, map(bytes, np.stack([heads, n + 1, total], 1).astype(np.float64)), strict=True))
+
+        for whole in batches:
+            for part in range(0, whole.num_rows, 1000):
+                b = whole.slice(part, 1000)
+                texts = [(t or "").split() for t in b.column(1).to_pylist()]
+                if len(known) > CACHE_WORDS:
+                    known.clear()
+                if new := list({w for words in texts for w in words if w not in known}):
+                    learn(new)
+                scores = []
+                for words in texts:
+                    rows = np.frombuffer(b"".join(map(known.__getitem__, words)), np.float64).reshape(-1, 3)
+                    pairs = pair_features(rows[:, 0].astype(np.int64))
+                    n = rows[:, 1].sum() + len(pairs)
+                    z = bias + (rows[:, 2].sum() + weights[pairs].sum()) / max(1.0, n)
+                    scores.append(float(1 / (1 + np.exp(-np.clip(z, -50, 50)))))
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(scores, pa.float64())], names=["doc_id", "score"])
 
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(run, "doc_id long, score double").withColumn("predicted", (F.col("score") >= threshold).cast("int"))
