@@ -39,9 +39,16 @@ _STEP = 0xD6E8FEB86659FD93
 
 def pair(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """The rank of two strings in a row from the ranks of both."""
-    x = (x ^ (x >> np.uint64(31))) * _C[0] + y
-    x = (x ^ (x >> np.uint64(29))) * _C[1]
-    return x ^ (x >> np.uint64(32))
+    out = x >> np.uint64(31)
+    out ^= x
+    out *= _C[0]
+    out += y
+    high = out >> np.uint64(29)
+    out ^= high
+    out *= _C[1]
+    np.right_shift(out, np.uint64(32), out=high)
+    out ^= high
+    return out
 
 
 class Block:
@@ -53,17 +60,22 @@ class Block:
         self.sizes = np.array(sizes, np.int64)
         n = len(data)
         self.stops = np.cumsum(self.sizes)
-        raw = np.frombuffer(data + bytes(ANCHOR + 8), np.uint8)
-        eight = np.zeros(n + ANCHOR, np.uint64)
+        words = (n + ANCHOR) // 8 + 1
+        padded = data + bytes(8 * words + 8 - n)
+        eight = np.empty(8 * words, np.uint64)
         for k in range(8):
-            eight |= raw[k : k + n + ANCHOR].astype(np.uint64) << np.uint64(8 * k)
+            eight[k::8] = np.frombuffer(padded, "<u8", words, k)
         sixteen = pair(eight[: n + 8], eight[8 : n + 16])
         self.rank = pair(sixteen[:n], eight[16 : n + 16])
-        self.doc_of = np.repeat(np.arange(len(self.sizes)), self.sizes)
-        inside = self.stops[self.doc_of] - np.arange(n) >= window if n else np.zeros(0, bool)
-        anchors = self._anchors(window - ANCHOR + 1)
+        self.doc_of = np.repeat(np.arange(len(self.sizes), dtype=np.int32), self.sizes)
+        inside = np.ones(n, bool)
+        tails = self.stops[:, None] - np.arange(1, window)  # too near to the document's end
+        inside[tails[tails >= (self.stops - self.sizes)[:, None]]] = False
+        anchors = np.zeros(n, np.int64)
+        found = self._anchors(window - ANCHOR + 1)
+        anchors[: len(found)] = found
         new = inside.copy()
-        new[1:] &= ~(inside[:-1] & (anchors[1:] == anchors[:-1]) & (self.doc_of[1:] == self.doc_of[:-1]))
+        new[1:] &= ~(inside[:-1] & (anchors[1:] == anchors[:-1]))
         self.start = np.flatnonzero(new)
         self.inside = inside
         stop = np.flatnonzero(inside & ~np.append(inside[1:] & ~new[1:], False)) if n else self.start
@@ -74,44 +86,37 @@ class Block:
 
     def _anchors(self, width: int) -> np.ndarray:
         """For each position the place of the leftmost lowest rank among the ``width`` from it on."""
-        low, at, have = self.rank.copy(), np.arange(len(self.rank)), 1
-        while have < width and len(low):
+        low, ahead, have = self.rank, np.zeros(len(self.rank), np.uint8), 1
+        while have < width and have < len(low):
             s = min(have, width - have)
-            if s >= len(low):
-                break
             better = low[s:] < low[:-s]
-            low[:-s][better] = low[s:][better]
-            at[:-s][better] = at[s:][better]
+            ahead = np.where(better, ahead[s:] + np.uint8(s), ahead[:-s])
+            low = np.minimum(low[s:], low[:-s])
             have += s
-        return at
-
-    def long_ranks(self) -> np.ndarray:
-        """The rank of the window at each position (of no meaning where none fits)."""
-        n, w = len(self.rank), self.window
-        if n < w:
-            return np.zeros(n, np.uint64)
-        padded = np.append(self.rank, np.zeros(w, np.uint64))
-        out, at = padded[:n], ANCHOR
-        while at < w:
-            step = min(at, w - ANCHOR)
-            out = pair(out, padded[step : step + n])
-            at += ANCHOR
+        return np.arange(len(ahead)) + ahead
+
+    def windows_of(self, runs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The window positions of some runs, run by run, and the number of windows of each."""
+        sizes = self.stop[runs] - self.start[runs]
+        return np.repeat(self.start[runs] - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum()), sizes
+
+    def long_ranks(self, at: np.ndarray) -> np.ndarray:
+        """The ranks of the windows at some positions."""
+        out, have = self.rank[at], ANCHOR
+        while have < self.window:
+            step = min(have, self.window - ANCHOR)
+            out = pair(out, self.rank[at + step])
+            have = step + ANCHOR
         return out
 
-    def run_ranks(self, windows: np.ndarray, chosen: np.ndarray) -> np.ndarray:
-        """The rank of each chosen run: of its windows in a row, their number, and where the anchor stands."""
-        n = len(windows)
-        with np.errstate(over="ignore"):
-            power = np.full(n + 1, _STEP, np.uint64)
-            power[0] = 1
-            power = np.multiply.accumulate(power)
-            back = np.full(n + 1, pow(_STEP, -1, 1 << 64), np.uint64)
-            back[0] = 1
-            back = np.multiply.accumulate(back)
-            total = np.append(np.uint64(0), np.cumsum(windows * power[:n], dtype=np.uint64))
-            start, stop = self.start[chosen], self.stop[chosen]
-            summed = (total[stop] - total[start]) * back[start]
-        return pair(summed, ((stop - start).astype(np.uint64) << np.uint64(32)) + self.offset[chosen])
+    def run_ranks(self, runs: np.ndarray) -> np.ndarray:
+        """The rank of each run: of its windows in a row, their number, and where the anchor stands."""
+        if not len(runs):
+            return np.zeros(0, np.uint64)
+        at, sizes = self.windows_of(runs)
+        power = np.multiply.accumulate(np.append(np.uint64(1), np.full(int(sizes.max()), _STEP, np.uint64)))
+        total = np.add.reduceat(self.long_ranks(at) * power[at - np.repeat(self.start[runs], sizes)], np.cumsum(sizes) - sizes)
+        return pair(total, (sizes.astype(np.uint64) << np.uint64(32)) + self.offset[runs])
 
 
 def _first(keys: list[np.ndarray], docs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -155,8 +160,7 @@ class Rounds:
     def classes(self):
         """Runs that are left, sorted by anchor, rank and document, and the number of each one's class."""
         chosen = self.repeated()
-        self.windows = self.b.long_ranks() if len(chosen) else np.zeros(0, np.uint64)
-        rank = self.b.run_ranks(self.windows, chosen) if len(chosen) else self.windows
+        rank = self.b.run_ranks(chosen)
         order, group = _first([self.b.anchor[chosen], rank], self.b.doc[chosen])
         return chosen[order], rank[order], group
 
@@ -175,28 +179,28 @@ class Rounds:
         later = self.b.doc[chosen] > self.b.doc[chosen[head]][group]
         gone = (code[group] == 1) | later
         asked = chosen[~gone & (code[group] == 2)]
-        sizes = self.b.stop[asked] - self.b.start[asked]
-        at = np.repeat(self.b.start[asked] - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
+        at, sizes = self.b.windows_of(asked)
         return chosen[gone], at, np.repeat(self.b.doc[asked], sizes)
 
     def send_windows(self):
         _, at, docs = self.judged()
-        order, group = _first([self.windows[at]], docs)
+        ranks = self.b.long_ranks(at)
+        order, group = _first([ranks], docs)
         head = order[np.append(True, group[1:] != group[:-1])] if len(group) else order
-        return self._deal(self.windows[at[head]], docs[head])
+        return self._deal(ranks[head], docs[head])
 
     def removed(self) -> np.ndarray:
         """Which bytes of the block go."""
         runs, at, docs = self.judged()
-        mark = np.zeros(len(self.b.data) + 1, np.int64)
-        np.add.at(mark, self.b.start[runs], 1)
-        np.add.at(mark, self.b.stop[runs] + self.b.window - 1, -1)
+        first, last = [self.b.start[runs]], [self.b.stop[runs] + self.b.window - 1]
         if len(at):
-            order, group = _first([self.windows[at]], docs)
+            order, group = _first([self.b.long_ranks(at)], docs)
             head = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
-            gone = (self._answer("a3", np.uint8)[group] > 0) | (docs[order] > docs[order][head][group])
-            np.add.at(mark, at[order[gone]], 1)
-            np.add.at(mark, at[order[gone]] + self.b.window, -1)
+            gone = at[order[(self._answer("a3", np.uint8)[group] > 0) | (docs[order] > docs[order][head][group])]]
+            first.append(gone)
+            last.append(gone + self.b.window)
+        n = len(self.b.data) + 1
+        mark = np.bincount(np.concatenate(first), minlength=n) - np.bincount(np.concatenate(last), minlength=n)
         return np.cumsum(mark)[:-1] > 0
 
 
