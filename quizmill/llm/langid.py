@@ -26,7 +26,7 @@ WORDS = re.compile(rf"[^\W\d_]{{1,{WORD}}}")
 #: Longest piece used, in characters, the word mark included.
 PIECE = 7
 #: Words whose scores are remembered per worker before the memory is emptied.
-CACHE_WORDS = 600_000
+CACHE_WORDS = 150_000
 UNDETERMINED = "und"
 
 
@@ -123,7 +123,8 @@ def vocabulary(path: str) -> Vocabulary:
 
 
 def words_of(text: str | None) -> list[str]:
-    return WORDS.findall(text.lower()) if text else []
+    """The words of a text; none if it has no letter (numerals beyond the digits are not letters)."""
+    return WORDS.findall(text.lower()) if text and any(map(str.isalpha, text)) else []
 
 
 def _word_counts(sample: DataFrame) -> DataFrame:
@@ -197,8 +198,8 @@ def predict_languages(docs: DataFrame, model: dict) -> DataFrame:
             _scores[id(model)] = (model, {})
         known = _scores[id(model)][1]
         for whole in batches:
-            for part in range(0, whole.num_rows, 2000):
-                b = whole.slice(part, 2000)
+            for part in range(0, whole.num_rows, 1000):
+                b = whole.slice(part, 1000)
                 texts = [words_of(t) for t in b.column(b.schema.get_field_index("text")).to_pylist()]
                 if len(known) > CACHE_WORDS:
                     known.clear()

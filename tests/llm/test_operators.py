@@ -150,9 +150,9 @@ def test_forward_sums_all_segmentations():
 
 
 def test_undetermined(spark):
-    docs = spark.createDataFrame([(1, None), (2, "12 !?"), (3, "a")], "doc_id long, text string")
+    docs = spark.createDataFrame([(1, None), (2, "12 !?"), (3, "a"), (4, "½ ²")], "doc_id long, text string")
     rows = {r.doc_id: r for r in langid.predict_languages(docs, fixed_model(spark)).collect()}
-    assert rows[1].lang_pred == rows[2].lang_pred == "und" and rows[1].score == 0.0 and rows[3].lang_pred == "en"
+    assert rows[1].lang_pred == rows[2].lang_pred == rows[4].lang_pred == "und" and rows[1].score == 0.0 and rows[3].lang_pred == "en"
 
 
 # ---- 3
