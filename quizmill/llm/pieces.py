@@ -23,8 +23,8 @@ from pyspark.sql import functions as F
 from .common import table
 
 MARK = "▁"
-#: Units remembered per worker before the memory is emptied.
-CACHE_UNITS = 700_000
+#: Units remembered per worker, twice.
+CACHE_UNITS = 200_000
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 
 
@@ -86,15 +86,17 @@ LETTER = "[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u017f]"
 
 
 class _Units(dict):
-    """Remembers the packed ids of units; emptied when full, and long units are not kept."""
+    """Remembers the packed ids of units, but not of long ones.  When it is full, the units that are not asked for again
+    before it is full the next time are forgotten."""
 
     def __init__(self, merge):
-        self.merge = merge
+        self.merge, self.older = merge, {}
 
     def __missing__(self, unit: str) -> bytes:
         if len(self) >= CACHE_UNITS:
+            self.older = dict(self)
             self.clear()
-        got = self.merge(unit)
+        got = self.older.pop(unit, None) or self.merge(unit)
         if len(unit) <= 64:
             self[unit] = got
         return got
@@ -301,10 +303,12 @@ def encode_pieces(docs: DataFrame, model_path: str, id_col: str = "doc_id", text
     def run(batches):
         model = piece_model(model_path)
         for b in batches:
-            got = [model.encode(t or "") for t in b.column(1).to_pylist()]
-            sizes = np.cumsum([0, *(len(i) for i, _ in got)]).astype(np.int32)
-            arrays = [pa.ListArray.from_arrays(pa.array(sizes), pa.array(np.concatenate([x[k] for x in got] or [np.zeros(0, np.int32)]))) for k in (0, 1)]
-            yield pa.RecordBatch.from_arrays([b.column(0), *arrays], names=["_id", "ids", "ends"])
+            for part in range(0, b.num_rows, 500):
+                rows = b.slice(part, 500)
+                got = [model.encode(t or "") for t in rows.column(1).to_pylist()]
+                sizes = np.cumsum([0, *(len(i) for i, _ in got)]).astype(np.int32)
+                arrays = [pa.ListArray.from_arrays(pa.array(sizes), pa.array(np.concatenate([x[k] for x in got]))) for k in (0, 1)]
+                yield pa.RecordBatch.from_arrays([rows.column(0), *arrays], names=["_id", "ids", "ends"])
 
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text"))
     return rows.mapInArrow(run, f"_id {rows.schema['_id'].dataType.simpleString()}, {ENCODED}").withColumnRenamed("_id", id_col)
