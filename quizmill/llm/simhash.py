@@ -1,18 +1,22 @@
-"""SimHash near-duplicates: candidates that share bit blocks, compared bit plane by bit plane."""
+"""SimHash near-duplicates: candidates that share bit blocks, compared bit plane by bit plane.
+
+Where a similarity of shingles is asked for, fingerprints only propose pairs; the shingles themselves decide.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import combinations
-from math import acos, comb, pi
+from math import acos, ceil, comb, pi
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import window as W
 
-from .common import save, table
+from .common import drop_saved, sample_key, save, table
 from .components import connected_components
 
 #: Rows of a bucket that one task compares with one another; larger buckets are compared chunk by chunk.
@@ -21,25 +25,39 @@ CHUNK = 2048
 BUCKET = 256
 #: Pairs of (row, word of 64 rows) that are compared at once.
 SLAB = 1 << 17
+#: One row in so many is looked at for common shingles; how often one must stand there to count as common, and how many count.
+SAMPLE, COMMON, MOST_COMMON = 8, 8, 200_000
 
 
-def fingerprint(text: str | None, shingle: int = 4) -> int:
-    """64 bits: each is set if it is set in more than half of the shingles' XXH64 (seed 42); no words: 0."""
+def shingle_hashes(text: str | None, shingle: int) -> np.ndarray:
+    """XXH64 (seed 42) of each run of words, in order; a text of fewer words is one run; no words: none."""
     words = (text or "").encode("utf-8", "replace").lower().split()
     if not words:
-        return 0
+        return np.zeros(0, "<u8")
     n = max(1, len(words) - shingle + 1)
     joined, ends = b" ".join(words), np.cumsum([len(w) + 1 for w in words])
     starts = np.concatenate([[0], ends[: n - 1]]).tolist()
     stops = (ends[min(shingle, len(words)) - 1 :] - 1).tolist()
     digest = xxhash.xxh64_intdigest
-    hashes = np.array([digest(joined[a:b], 42) for a, b in zip(starts, stops, strict=True)], "<u8")
+    return np.array([digest(joined[a:b], 42) for a, b in zip(starts, stops, strict=True)], "<u8")
+
+
+def majority(hashes: np.ndarray) -> int:
+    """64 bits: each is set if it is set in more than half of the hashes."""
+    n = len(hashes)
+    if not n:
+        return 0
     counts = np.zeros(64, np.int64)
     for part in range(0, n, 8192):
         counts += np.unpackbits(hashes[part : part + 8192].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
     return int(np.packbits(counts * 2 > n, bitorder="little").view("<u8")[0])
 
 
+def fingerprint(text: str | None, shingle: int = 4) -> int:
+    """64 bits: each is set if it is set in more than half of the shingles' XXH64 (seed 42); no words: 0."""
+    return majority(shingle_hashes(text, shingle))
+
+
 def fingerprints(docs: DataFrame, shingle: int = 4) -> DataFrame:
     """doc_id and ``fp`` (the 64 bits as a signed long), row by row."""
 
@@ -209,14 +227,130 @@ def radius_for(similarity: float) -> int:
     return int(64 * acos(2 * similarity / (1 + similarity)) / pi)
 
 
+def common_shingles(rows: DataFrame, shingle: int) -> np.ndarray:
+    """Hashes (sorted, as signed longs) of shingles that stand often in a sample of ``rows`` (uid, text)."""
+
+    def run(batches):
+        for b in batches:
+            own = [np.unique(shingle_hashes(t, shingle)) for t in b.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, "<u8"), *own]).view(np.int64))], names=["h"])
+
+    seen = rows.where(sample_key("uid") < 1 / SAMPLE).select("text").mapInArrow(run, "h long").groupBy("h").agg(F.count(F.lit(1)).alias("n"))
+    top = seen.where(F.col("n") >= COMMON).orderBy(F.desc("n"), "h").limit(MOST_COMMON).toPandas()
+    return np.sort(top["h"].to_numpy(np.int64))
+
+
+def describe(rows: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """``rows`` (uid, text) to uid, ``fp``, ``n`` (distinct shingles) and ``prefix``: the shingles to search with.
+
+    Two sets of at least this Jaccard similarity share ``similarity`` of either one, so whatever order all shingles are put
+    in, they share one of the first n - ceil(similarity n) + 1 of each: no pair is lost.  Common shingles come last, which
+    keeps boilerplate out of the search; the sample that finds them decides about speed only.
+    """
+    common = rows.sparkSession.sparkContext.broadcast(common_shingles(rows, shingle))
+
+    def run(batches):
+        hot = common.value
+        for b in batches:
+            fps, sizes, prefixes = [], [], []
+            for t in b.column(1).to_pylist():
+                hashes = shingle_hashes(t, shingle)
+                own = np.unique(hashes).view(np.int64)
+                if len(hot):
+                    late = hot[np.minimum(np.searchsorted(hot, own), len(hot) - 1)] == own
+                    own = np.concatenate([own[~late], own[late]])
+                fps.append(majority(hashes))
+                sizes.append(len(own))
+                prefixes.append(own[: len(own) - ceil(similarity * len(own) - 1e-9) + 1])
+            ends = np.cumsum([0, *map(len, prefixes)]).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.int64), *prefixes])))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(np.array(sizes, np.int32)), lists], names=["uid", "fp", "n", "prefix"])
+
+    return rows.select("uid", "text").mapInArrow(run, "uid long, fp long, n int, prefix array<long>")
+
+
+def verified(pairs: DataFrame, rows: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """The ``pairs`` (a, b) of uids whose sets of shingle hashes have this Jaccard similarity or more."""
+
+    def run(batches):
+        for b in batches:
+            own = [np.unique(shingle_hashes(t, shingle)).view(np.int64) for t in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(own, pa.list_(pa.int64()))], names=["uid", "s"])
+
+    asked = pairs.select(F.explode(F.array("a", "b")).alias("uid")).distinct()
+    sets = save(rows.join(asked, "uid", "left_semi").select("uid", "text").mapInArrow(run, "uid long, s array<long>"), "shingle-sets")
+    both = pairs.join(sets.select(F.col("uid").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("uid").alias("b"), F.col("s").alias("sb")), "b")
+    both = both.select("a", "b", F.size(F.array_intersect("sa", "sb")).alias("shared"), (F.size("sa") + F.size("sb")).alias("total"))
+    links = save(both.where(F.col("shared") >= F.lit(similarity) * (F.col("total") - F.col("shared")) - 1e-9).select("a", "b"), "links")
+    drop_saved(sets)
+    return links
+
+
+def _alike(n: str, m: str, similarity: float):
+    return F.least(n, m) >= F.lit(similarity) * F.greatest(n, m) - 1e-9
+
+
+def _least_shared(n: str, m: str, similarity: float):
+    """How many search shingles two sets of this similarity share at least: they share similarity / (1 + similarity) of
+    both sizes, and beyond the search shingles of the one whose search ends first there is only the rest of that one."""
+    rest = F.ceil(F.lit(similarity) * F.greatest(n, m) - 1e-9) - 1
+    return F.ceil(F.lit(similarity / (1 + similarity)) * (F.col(n) + F.col(m)) - 1e-9) - rest
+
+
+def near_links(rows: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """(node, component) of the ``rows`` (uid, text; each with a word) that have a near duplicate.
+
+    Components are those of the graph of all pairs of at least this similarity.  Cheap pairs are verified first: those
+    that SimHash proposes, and each row with the first and the last row of its search shingles' buckets.  Then only
+    pairs that share a search shingle across what is not connected yet are left, and all of them are verified.
+    """
+    marked = save(describe(rows, shingle, similarity), "described")
+    points = marked.groupBy("fp").agg(F.min("uid").alias("rep"))
+    points = save(points, "points")
+    proposed = link(points, radius_for(similarity)).unionByName(marked.join(points, "fp").where("uid <> rep").select(F.col("uid").alias("a"), F.col("rep").alias("b")))
+    bucket = W.Window.partitionBy("h")
+    own = F.struct("uid", "n")
+    shared = marked.select("uid", "n", F.explode("prefix").alias("h")).withColumn("lo", F.min(own).over(bucket)).withColumn("hi", F.max(own).over(bucket))
+    shared = save(shared.where("lo.uid < hi.uid"), "shared")
+    ends = shared.select("uid", "n", F.explode(F.array("lo", "hi")).alias("e")).where((F.col("uid") != F.col("e.uid")) & _alike("n", "e.n", similarity))
+    # pairs of one or two shingles are not worth a comparison yet; what is missed here is found below
+    ends = ends.groupBy("uid", "e").agg(F.count(F.lit(1)).alias("c"), F.first("n").alias("n")).where(F.col("c") > F.lit((1 - similarity) / 4) * F.col("n"))
+    pairs = proposed.select("a", "b").unionByName(ends.select(F.col("uid").alias("a"), F.col("e.uid").alias("b")))
+    pairs = save(pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "pairs")
+    named = save(connected_components(verified(pairs, rows, shingle, similarity)), "near-components")
+
+    placed = shared.join(named, shared.uid == named.node, "left").select("h", "uid", "n", F.coalesce("component", "uid").alias("c"))
+    open_ = placed.groupBy("h").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("h")
+    left = save(placed.join(open_, "h"), "open")
+    x, y = left.select("h", F.col("uid").alias("a"), F.col("n").alias("na"), F.col("c").alias("ca")), left.select("h", F.col("uid").alias("b"), F.col("n").alias("nb"), F.col("c").alias("cb"))
+    across = x.join(y, "h").where((F.col("ca") < F.col("cb")) & _alike("na", "nb", similarity))
+    across = across.groupBy(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).agg(F.count(F.lit(1)).alias("c"), F.first("na").alias("na"), F.first("nb").alias("nb"))
+    across = across.where(F.col("c") >= _least_shared("na", "nb", similarity)).select("a", "b")
+    more = save(across.join(pairs, ["a", "b"], "left_anti"), "pairs")
+    if not more.isEmpty():
+        more = verified(more, rows, shingle, similarity)
+        if not more.isEmpty():
+            named = save(connected_components(named.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more)), "near-components")
+    for done in (shared, left, pairs, marked):
+        drop_saved(done)
+    return named
+
+
 def drop_near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
-    """The rows of ``docs``, with all their columns: of each component the documents with the smallest doc_id stay.
+    """The rows of ``docs``, with all their columns: one of each component, the one with the smallest doc_id.
 
-    Documents link if their SimHash fingerprints estimate a similarity of word shingles of ``similarity`` or more.
-    Texts without a word are not compared; they stay, as rows with a null doc_id do.
+    Rows link if the Jaccard similarity of their sets of word shingles is ``similarity`` or more (as 64-bit hashes, so but
+    for colliding hashes exactly); a text shorter than a shingle is one shingle.  Texts without a word are not compared
+    and stay.  A row with a null doc_id stays only if no row of its component has one; of rows with the same doc_id one
+    stays, whichever was numbered first.
     """
-    named = near_duplicates(docs.where(F.col("text").rlike(r"[^\x20\x09-\x0D]")), shingle, radius_for(similarity))
-    return docs.join(named.where("doc_id <> component_id").select("doc_id"), "doc_id", "left_anti").select(docs.columns)
+    held = save(docs.withColumn("_uid", F.monotonically_increasing_id()), "near-rows")
+    rows = held.where(F.col("text").rlike(r"[^\x20\x09-\x0D]")).select(F.col("_uid").alias("uid"), F.col("text").cast("string").alias("text"))
+    named = near_links(rows, shingle, similarity)
+    members = held.select("_uid", "doc_id").join(named, F.col("_uid") == F.col("node")).select("_uid", "component", F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_uid").alias("rank"))
+    first = members.groupBy("component").agg(F.min("rank").alias("first"))
+    gone = save(members.join(first, "component").where(F.col("_uid") != F.col("first._uid")).select("_uid"), "near-copies")
+    return held.join(gone, "_uid", "left_anti").select(docs.columns)
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
