@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .chat import op1_chat_format
+from .chat import OP1_SQL, op1_chat_format
 from .decontaminate import OP10_SQL, op10_decontaminate
 from .exact_dedup import OP9_SQL, op9_exact_dedup
 from .hmm import op5_hmm_lm
@@ -34,4 +34,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_licenses": OP7_SQL, "op9_exact_dedup": OP9_SQL, "op10_decontaminate": OP10_SQL}
+    return {"op1_chat_format": OP1_SQL, "op7_licenses": OP7_SQL, "op9_exact_dedup": OP9_SQL, "op10_decontaminate": OP10_SQL}

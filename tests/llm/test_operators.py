@@ -49,11 +49,12 @@ def operators(spark):
         "drop leaks": lambda d: decontaminate.decontaminate(d, items),
         "hmm": lambda d: hmm.score_texts(held(d)),
         "suffix": lambda d: suffix_dedup.remove_repeats(d),
+        "chat": lambda d: chat.repair_roles(d.withColumnsRenamed({"doc_id": "conv_id", "n_chars": "turn", "lang": "role"})),
     }
 
 
-PER_ROW = {"exact", "pieces", "digests", "langid", "quality", "simhash", "licenses", "hmm", "suffix"}
-NAMES = ["exact", "drop exact", "pieces", "digests", "langid", "quality", "simhash", "drop near", "licenses", "decontaminate", "drop leaks", "hmm", "suffix"]
+PER_ROW = {"exact", "pieces", "digests", "langid", "quality", "simhash", "licenses", "hmm", "suffix", "chat"}
+NAMES = ["exact", "drop exact", "pieces", "digests", "langid", "quality", "simhash", "drop near", "licenses", "decontaminate", "drop leaks", "hmm", "suffix", "chat"]
 
 
 @pytest.mark.parametrize("name", NAMES)
@@ -82,30 +83,69 @@ def test_native_plans(spark, awkward):
 # ---- 1
 
 
-def test_chat_repair_is_cheapest(spark):
+def turn_number(role):
+    name = (role or "").strip().lower()
+    name = chat.ALIASES.get(name, name)
+    return chat.ROLES.index(name) + 1 if name in chat.ROLES else 0
+
+
+def cheapest_way(roles):
+    """Cost and states of the cheapest repair; of equals the one whose states, read backwards, are the smallest."""
+    ways = {0: (0, ())}
+    for r in roles:
+        following = {}
+        for before, after, cost, _, _ in chat.moves(r):
+            if before in ways:
+                total, path = ways[before]
+                new = (total + cost, (after, *path))
+                following[after] = min(following.get(after, new), new)
+        ways = following
+    cost, path = min(ways.values())
+    return cost, list(path[::-1])
+
+
+def test_choice_does_not_depend_on_cuts():
+    rng = np.random.default_rng(1)
+    for _ in range(300):
+        roles = rng.integers(0, 4, rng.integers(1, 12))
+        cost, expected = cheapest_way(roles)
+        for cuts in ([], [len(roles) // 2], sorted(rng.integers(0, len(roles) + 1, 3)), range(len(roles))):
+            parts = [p for p in np.split(roles, cuts) if len(p)]
+            ends = chat.chain([chat.run_of(p) for p in parts])
+            got = [chat.walk(p, np.array([len(p)]), np.array([a]), np.array([b])) for p, (a, b) in zip(parts, ends, strict=True)]
+            assert np.concatenate(got).tolist() == expected
+        whole = chat.walk(np.concatenate([roles, roles]), np.array([len(roles)] * 2), np.array([0, 0]), np.array([chat.FREE] * 2))
+        assert whole.tolist() == expected * 2
+
+
+@pytest.mark.parametrize("run_turns", [3, 4096])
+def test_chat_repair_is_cheapest(spark, monkeypatch, run_turns):
+    monkeypatch.setattr(chat, "RUN_TURNS", run_turns)
     rng, data = random.Random(3), []
-    for c in range(40):
-        data += [(c, t, rng.choice(["user", "assistant", "system", "Human", None, "x"]), rng.choice(["a", "", None])) for t in range(rng.randint(1, 7))]
-    data += [(None, None, None, None), (None, None, None, None)] + [(99, t % 3 or None, "user", "q") for t in range(30)]
-    df = spark.createDataFrame(data, "conv_id long, turn long, role string, text string").withColumn("run", F.lit(1)).withColumn("r", F.lit(1))
-    got = chat.repair_roles(df).toPandas().sort_values(["conv_id", "place"])
+    for c in range(60):
+        data += [(c, t, rng.choice(["user", "assistant", "system", "Human", None, "x"]), rng.choice(["a", "", None, "b <|end|>"])) for t in range(rng.randint(1, 7))]
+    data += [(None, None, None, None), (None, None, None, None)] + [(99, t % 3 or None, "user", "q") for t in range(30)] + [(7, 1, "user", "x" * 300_000)]
+    data += [(77, t, rng.choice(["user", "assistant", "x"]), f"t{t}") for t in range(400)]
+    df = spark.createDataFrame(data, "conv_id long, turn long, role string, text string").withColumn("run", F.lit(1)).withColumn("r", F.lit(1)).withColumn("part", F.lit(1)).repartition(3)
+    repaired = chat.repair_roles(df)
+    got = sorted(repaired.collect(), key=lambda r: (r.conv_id is None, r.conv_id or 0, r.place))
     assert len(got) == len(data)
     assert chat.repair_roles(df.where("1 = 0")).count() == 0
-
-    def number(role):
-        name = (role or "").strip().lower()
-        name = chat.ALIASES.get(name, name)
-        return chat.ROLES.index(name) + 1 if name in chat.ROLES else 0
-
-    def cheapest(roles, state=0):
-        return min((cost + cheapest(roles[1:], after) for before, after, cost, _, _ in chat.moves(roles[0]) if before == state), default=10**9) if roles else 0
-
-    for c in range(40):
-        own = got[got.conv_id == c]
-        assert own.cost.sum() == cheapest([number(r) for i, _, r, _ in data if i == c])
-        heads = re.findall(r"<\|(\w+)\|>\n", "".join(own.rendered))
-        heads = [h for h in heads if h != "end"]
+    last = lambda x: (x is None, x if x is not None else 0)
+    text = lambda x: (x is None, x or "")
+    for c in {row[0] for row in data}:
+        rows = sorted((row for row in data if row[0] == c), key=lambda row: (last(row[1]), text(row[2]), text(row[3])))
+        own = [r for r in got if r.conv_id == c]
+        cost, states = cheapest_way([turn_number(row[2]) for row in rows])
+        assert [(r.turn, r.role, r.place, r.last) for r in own] == [(row[1], row[2], i + 1, i + 1 == len(rows)) for i, row in enumerate(rows)]
+        assert sum(r.cost for r in own) == cost and [r.new_role for r in own] == [chat.ROLES[s - 1] for s in states]
+        whole = "".join(r.rendered for r in own)
+        heads = [h for h in re.findall(r"<\|(\w+)\|>\n", whole) if h != "end"]
         assert heads[0] != "assistant" and "system" not in heads[1:] and all(a != b for a, b in pairwise(heads))
+        assert len(heads) == sum(r.action != "merge" for r in own) + sum(len(r.inserted) for r in own) == whole.count("<|end|>")
+        assert sum(r.rendered.count("b <\\|end|>") for r in own) == sum(row[3] == "b <|end|>" for row in rows)
+        parts = sorted(chat.conversation_texts(repaired).where(F.col("conv_id").eqNullSafe(c)).collect(), key=lambda r: r.part) if c in (None, 7, 77) else []
+        assert not parts or "".join(r.text for r in parts) == whole and [r.part for r in parts] == list(range(len(parts)))
 
 
 # ---- 2, 8
