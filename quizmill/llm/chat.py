@@ -176,42 +176,46 @@ def _placed(rows: pa.Table, part: int, seg: int | None, sizes: np.ndarray) -> pa
     return rows
 
 
-def _place_turns(batches):
+def _place_turns(run_turns: int, run_bytes: int):
     """Sorted turns to the rows of ``_placed``.
 
     Conversations that lie inside a partition are repaired on the way.  The first and the last one of a partition may go
     on in another, and long ones are not held: their turns come out as numbered runs, to be repaired later.
     """
-    part, seg, rest, cut = TaskContext.get().partitionId(), 0, None, True  # cut: the conversation at hand is in runs
-    for b in joined(batches, [None]):
-        if b is not None:
-            rows = pa.Table.from_batches([b])
-            rest = pa.concat_tables([rest, rows]).combine_chunks() if rest is not None else rows
-        n = rest.num_rows if rest is not None else 0
-        if not n:
-            continue
-        starts = _starts(rest.column("conv_id").combine_chunks())
-        sizes = np.diff(np.append(starts, n))
-        weight = np.cumsum(np.append(0, pc.fill_null(pc.binary_length(rest.column("text")), 0).to_numpy()))
-        long = (sizes > RUN_TURNS) | (weight[starts + sizes] - weight[starts] > RUN_BYTES)
-        long[0] |= cut
-        keep = 0
-        if b is None:
-            long[-1] = True
-        elif not long[-1]:
-            keep = 1
-        whole = np.flatnonzero(~long[: len(long) - keep])
-        if len(whole):
-            at = np.repeat(starts[whole] - np.cumsum(sizes[whole]) + sizes[whole], sizes[whole]) + np.arange(sizes[whole].sum())
-            yield from _placed(rest.take(pa.array(at)), part, None, sizes[whole]).to_batches()
-        for c in np.flatnonzero(long[: len(long) - keep]):
-            lo, hi = starts[c], starts[c] + sizes[c]
-            piece = np.maximum((np.arange(hi - lo)) // RUN_TURNS, (weight[lo:hi] - weight[lo]) // RUN_BYTES)
-            for own in np.split(np.arange(lo, hi), np.flatnonzero(np.diff(piece)) + 1):
-                yield from _placed(rest.slice(own[0], len(own)), part, seg, np.array([len(own)])).to_batches()
-                seg += 1
-        cut = not keep
-        rest = rest.slice(starts[-1]) if keep else None
+
+    def run(batches):
+        part, seg, rest, cut = TaskContext.get().partitionId(), 0, None, True  # cut: the conversation at hand is in runs
+        for b in joined(batches, [None]):
+            if b is not None:
+                rows = pa.Table.from_batches([b])
+                rest = pa.concat_tables([rest, rows]).combine_chunks() if rest is not None else rows
+            n = rest.num_rows if rest is not None else 0
+            if not n:
+                continue
+            starts = _starts(rest.column("conv_id").combine_chunks())
+            sizes = np.diff(np.append(starts, n))
+            weight = np.cumsum(np.append(0, pc.fill_null(pc.binary_length(rest.column("text")), 0).to_numpy()))
+            long = (sizes > run_turns) | (weight[starts + sizes] - weight[starts] > run_bytes)
+            long[0] |= cut
+            keep = 0
+            if b is None:
+                long[-1] = True
+            elif not long[-1]:
+                keep = 1
+            whole = np.flatnonzero(~long[: len(long) - keep])
+            if len(whole):
+                at = np.repeat(starts[whole] - np.cumsum(sizes[whole]) + sizes[whole], sizes[whole]) + np.arange(sizes[whole].sum())
+                yield from _placed(rest.take(pa.array(at)), part, None, sizes[whole]).to_batches()
+            for c in np.flatnonzero(long[: len(long) - keep]):
+                lo, hi = starts[c], starts[c] + sizes[c]
+                piece = np.maximum((np.arange(hi - lo)) // run_turns, (weight[lo:hi] - weight[lo]) // run_bytes)
+                for own in np.split(np.arange(lo, hi), np.flatnonzero(np.diff(piece)) + 1):
+                    yield from _placed(rest.slice(own[0], len(own)), part, seg, np.array([len(own)])).to_batches()
+                    seg += 1
+            cut = not keep
+            rest = rest.slice(starts[-1]) if keep else None
+
+    return run
 
 
 def _border_states(open_: DataFrame) -> DataFrame:
@@ -304,7 +308,7 @@ def repair_roles(turns: DataFrame) -> DataFrame:
     rows = turns.select("conv_id", "turn", F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text"), role_number(F.col("role").cast("string")).alias("r"))
     rows = rows.repartitionByRange(*order).sortWithinPartitions(*order)
     kinds = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in rows.columns)
-    rows = save(rows.mapInArrow(_place_turns, f"{kinds}, part int, seg int, place long, before int, state int, last boolean"), "turns")
+    rows = save(rows.mapInArrow(_place_turns(RUN_TURNS, RUN_BYTES), f"{kinds}, part int, seg int, place long, before int, state int, last boolean"), "turns")
 
     open_ = rows.where("seg is not null")
     walked = _border_states(open_).mapInArrow(_walk_runs, "part int, seg int, in_run long, place long, before int, state int, last boolean")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import uuid
+from collections.abc import Callable
 from pathlib import Path
 from string import ascii_lowercase, ascii_uppercase
 
@@ -86,3 +87,34 @@ def fold(id_col: str | Column, buckets: int) -> Column:
 def sample_key(id_col: str) -> Column:
     """A number in [0, 1) fixed by the id alone, for repeatable bounded samples."""
     return F.pmod(F.xxhash64(F.col(id_col), F.lit("sample")), F.lit(1 << 24)) / F.lit(float(1 << 24))
+
+
+class Cache(dict):
+    """Remembers values of strings, up to about ``limit`` bytes; then everything is forgotten.
+
+    The room a pair takes is reckoned from its lengths: two objects and their place in the table.
+    """
+
+    def __init__(self, limit: int):
+        self.limit, self.used = limit, 0
+
+    def make_room(self) -> None:
+        if self.used > self.limit:
+            self.clear()
+            self.used = 0
+
+    def add(self, keys: list[str], values) -> None:
+        for key, value in zip(keys, values, strict=True):
+            self[key] = value
+            self.used += 200 + len(key) + len(value)
+
+
+_held: list = []
+
+
+def worker_cache(owner: tuple, make: Callable[[], Cache]) -> Cache:
+    """The cache of ``owner`` in this Python worker.  A worker holds one at a time: another owner's is dropped, so what one
+    stage remembers takes no memory in the next one."""
+    if not _held or _held[0] != owner:
+        _held[:] = [owner, make()]
+    return _held[1]

@@ -8,6 +8,7 @@ from expectation-maximisation over a bounded, labelled sample.
 from __future__ import annotations
 
 import re
+import uuid
 from collections import Counter
 from functools import lru_cache
 
@@ -17,88 +18,126 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fold, sample_key, save, table
+from .common import Cache, fold, sample_key, save, table, worker_cache
 from .pieces import MARK, NORMAL, default_model, piece_model
 
-#: Words are runs of letters of the lower-cased text; longer ones are scored in sections of WORD letters.
-WORD = 40
-WORDS = re.compile(rf"[^\W\d_]{{1,{WORD}}}")
-#: Longest piece used, in characters, the word mark included.
-PIECE = 7
-#: Words whose scores are remembered per worker before the memory is emptied.
-CACHE_WORDS = 150_000
+#: Words are runs of letters of the lower-cased text, of any length.
+WORDS = re.compile(r"[^\W\d_]+")
+#: Characters of words that are scored at once, about, and bytes of word scores that a worker remembers.
+SLICE, CACHE_BYTES = 400_000, 40_000_000
+#: Sums are looked at for underflow after this many characters; those below LOW are multiplied by LIFT.
+STEP, LOW, LIFT = 8, 1e-110, 2.0**400
 UNDETERMINED = "und"
 
 
 class Lattice:
-    """All pieces of the vocabulary found in a list of words, and the sums over their segmentations."""
+    """All pieces of the vocabulary found in a list of words, and the sums over their segmentations.
+
+    A word of n characters (its mark included) has n + 1 nodes.  ``ids[k - 1, node]`` is the piece of k characters that
+    begins at a node; -1 stands for none, and is the last row of ``theta``, which is zero.  Sums of long words are kept in
+    range by factors LIFT, counted in ``lifted``.
+    """
 
     def __init__(self, vocabulary: Vocabulary, words: list[str]):
         order = sorted(range(len(words)), key=lambda i: -len(words[i]))
         marked = [MARK + words[i] for i in order]
+        self.longest = min(vocabulary.longest, len(marked[0]) if marked else 1)
         self.order, self.sizes = np.array(order, np.int64), np.array([len(w) for w in marked], np.int64)
         self.starts = np.cumsum(np.append(0, self.sizes[:-1] + 1)).astype(np.int64)  # one node more than characters
         chars = np.frombuffer("\0".join(marked).encode("utf-32-le"), "<u4").astype(np.uint64)
         total = len(chars) + 1
-        self.left = np.zeros(total, np.int64)  # characters from a node to its word's end
+        left = np.zeros(total, np.int64)  # characters from a node to its word's end
         ends = self.starts + self.sizes
-        self.left[:-1] = np.repeat(ends, self.sizes + 1)[: total - 1] - np.arange(total - 1) if len(words) else 0
-        self.left = np.maximum(self.left, 0)
-        self.ids = np.full((PIECE, total), -1, np.int32)
+        left[:-1] = np.repeat(ends, self.sizes + 1)[: total - 1] - np.arange(total - 1) if len(words) else 0
+        left = np.maximum(left, 0)
+        self.ids = np.full((self.longest, total), -1, np.int32)
         h = np.zeros(total, np.uint64)
-        for n in range(1, PIECE + 1):
+        for n in range(1, self.longest + 1):
             have = max(0, total - n)
             h[:have] = h[:have] * vocabulary.base + chars[n - 1 :]
             keys, ids = vocabulary.by_length[n]
-            ok = np.flatnonzero(self.left >= n)
+            ok = np.flatnonzero(left >= n)
             if len(keys) and len(ok):
                 at = np.minimum(np.searchsorted(keys, h[ok]), len(keys) - 1)
                 hit = keys[at] == h[ok]
                 self.ids[n - 1, ok[hit]] = ids[at[hit]]
         single = self.ids[0]
-        single[(single < 0) & (self.left >= 1)] = vocabulary.unknown
-        self.ids[0] = single
-
-    def forward(self, theta: np.ndarray) -> np.ndarray:
-        """For each node the summed probability of all segmentations up to it."""
-        alpha = np.zeros(self.ids.shape[1])
+        single[(single < 0) & (left >= 1)] = vocabulary.unknown
+        self.used = [n for n in range(1, self.longest + 1) if (self.ids[n - 1] >= 0).any()]
+
+    def _lift(self, sums: np.ndarray, lifted: np.ndarray, nodes: np.ndarray, first: np.ndarray, step: int) -> None:
+        """Lift the nodes that the next sums of underflowing words are made of: the ``longest`` last ones."""
+        low, k = np.nonzero(sums[nodes] < LOW)
+        if len(low):
+            window = nodes[low, None] - step * np.arange(self.longest)
+            inside = window >= first[low, None] if step > 0 else window <= first[low, None]
+            at = (window[inside], np.broadcast_to(k[:, None], window.shape)[inside])
+            sums[at] *= LIFT
+            lifted[at] += 1
+
+    def forward(self, theta: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For each node the summed probability of all segmentations up to it, by language; and its number of lifts."""
+        alpha, lifted = np.zeros((self.ids.shape[1], theta.shape[1])), np.zeros((self.ids.shape[1], theta.shape[1]), np.int32)
         alpha[self.starts] = 1.0
         for t in range(1, int(self.sizes[0]) + 1 if len(self.sizes) else 0):
-            nodes = self.starts[: np.searchsorted(-self.sizes, -t, "right")] + t
-            for n in range(1, min(PIECE, t) + 1):
-                ids = self.ids[n - 1, nodes - n]
-                alpha[nodes] += alpha[nodes - n] * np.where(ids >= 0, theta[ids], 0.0)
-        return alpha
-
-    def backward(self, theta: np.ndarray) -> np.ndarray:
-        beta = np.zeros(self.ids.shape[1])
+            begin = self.starts[: np.searchsorted(-self.sizes, -t, "right")]
+            nodes = begin + t
+            total = 0.0
+            for n in self.used:
+                if n > t:
+                    break
+                total = total + alpha[nodes - n] * theta[self.ids[n - 1, nodes - n]]
+            alpha[nodes] = total
+            lifted[nodes] = lifted[nodes - 1]
+            if t % STEP == 0:
+                self._lift(alpha, lifted, nodes, begin, 1)
+        return alpha, lifted
+
+    def backward(self, theta: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The same from each node to its word's end."""
+        beta, lifted = np.zeros((self.ids.shape[1], theta.shape[1])), np.zeros((self.ids.shape[1], theta.shape[1]), np.int32)
         beta[self.starts + self.sizes] = 1.0
-        for t in range(int(self.sizes[0]) - 1 if len(self.sizes) else -1, -1, -1):
-            nodes = self.starts[: np.searchsorted(-self.sizes, -(t + 1), "right")] + t
-            for n in range(1, PIECE + 1):
-                ids = self.ids[n - 1, nodes]
-                beta[nodes] += np.where(ids >= 0, theta[ids] * beta[np.minimum(nodes + n, len(beta) - 1)], 0.0)
-        return beta
+        for t in range(1, int(self.sizes[0]) + 1 if len(self.sizes) else 0):
+            active = np.searchsorted(-self.sizes, -t, "right")
+            end = self.starts[:active] + self.sizes[:active]
+            nodes = end - t
+            total = 0.0
+            for n in self.used:
+                if n > t:
+                    break
+                total = total + theta[self.ids[n - 1, nodes]] * beta[nodes + n]
+            beta[nodes] = total
+            lifted[nodes] = lifted[nodes + 1]
+            if t % STEP == 0:
+                self._lift(beta, lifted, nodes, end, -1)
+        return beta, lifted
 
     def expected(self, theta: np.ndarray, weights: np.ndarray) -> np.ndarray:
-        """How often each piece is used, over all segmentations by their probability, over all words by their weight."""
-        alpha, beta = self.forward(theta), self.backward(theta)
-        total = alpha[self.starts + self.sizes]
-        scale = np.repeat(np.append(weights[self.order] / total, 0.0), np.append(self.sizes + 1, 1))[: len(alpha)] if len(self.sizes) else alpha
-        counts = np.zeros(len(theta))
-        for n in range(1, PIECE + 1):
+        """How often each piece is used under one language's ``theta``, over all segmentations by their probability, over all
+        words by their weight."""
+        (alpha, up), (beta, down) = self.forward(theta[:, None]), self.backward(theta[:, None])
+        ends, counts = self.starts + self.sizes, np.zeros(len(theta))
+        word = np.repeat(np.arange(len(self.sizes)), self.sizes + 1)
+        for n in self.used:
             at = np.flatnonzero(self.ids[n - 1] >= 0)
-            ids = self.ids[n - 1, at]
-            counts += np.bincount(ids, alpha[at] * theta[ids] * beta[at + n] * scale[at], len(theta))
+            ids, own = self.ids[n - 1, at], ends[word[at]]
+            share = alpha[at, 0] / alpha[own, 0] * theta[ids] * beta[at + n, 0] * LIFT ** (up[own, 0] - up[at, 0] - down[at + n, 0]).astype(float)
+            counts += np.bincount(ids, share * weights[self.order[word[at]]], len(theta))
         return counts
 
     def log_sums(self, theta: np.ndarray) -> np.ndarray:
-        """The natural log of each word's probability, in the order of the words given."""
-        out = np.empty(len(self.sizes))
-        out[self.order] = np.log(np.maximum(self.forward(theta)[self.starts + self.sizes], 1e-300))
+        """The natural log of each word's probability by language, in the order of the words given."""
+        alpha, lifted = self.forward(theta)
+        ends, out = self.starts + self.sizes, np.empty((len(self.sizes), theta.shape[1]))
+        out[self.order] = np.log(alpha[ends]) - lifted[ends] * np.log(LIFT)
         return out
 
 
+def with_none(theta: np.ndarray) -> np.ndarray:
+    """Piece probabilities, a column per language, and the row of zeros that a piece which is not there has."""
+    return np.concatenate([theta, np.zeros((1, theta.shape[1]))])
+
+
 class Vocabulary:
     """The lower-case letter pieces of a public model, by length, and one id for any other character."""
 
@@ -106,9 +145,10 @@ class Vocabulary:
 
     def __init__(self, path: str):
         model = piece_model(path)
-        pieces = sorted({p for p, k in zip(model.pieces, model.kinds, strict=True) if k == NORMAL and len(p) <= PIECE and p == p.lower() and (p == MARK or p.lstrip(MARK).isalpha() and p.count(MARK) <= 1)})
+        pieces = sorted({p for p, k in zip(model.pieces, model.kinds, strict=True) if k == NORMAL and p == p.lower() and (p == MARK or p.lstrip(MARK).isalpha() and p.count(MARK) <= 1)})
         self.size, self.unknown, self.by_length = len(pieces) + 1, len(pieces), {}
-        for n in range(1, PIECE + 1):
+        self.longest = max(map(len, pieces), default=1)
+        for n in range(1, self.longest + 1):
             ids = np.array([i for i, p in enumerate(pieces) if len(p) == n], np.int32)
             keys = np.zeros(len(ids), np.uint64)
             for k in range(n):
@@ -152,7 +192,7 @@ def train_languages(labelled: DataFrame, model_path: str, per_language: int = 30
     totals = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     langs = sorted(totals)
     if not langs:
-        return {"langs": [], "theta": np.zeros((0, 1)), "path": model_path}
+        return {"langs": [], "theta": np.zeros((0, 1)), "path": model_path, "id": uuid.uuid4().hex}
     share = F.create_map(*[F.lit(x) for k in langs for x in (k, min(1.0, per_language / totals[k]))])
     counts = save(_word_counts(labelled.where(sample_key("doc_id") < share[F.col("lang")])), "lang-words")
     size = vocabulary(model_path).size
@@ -165,8 +205,9 @@ def train_languages(labelled: DataFrame, model_path: str, per_language: int = 30
                 lang = np.array([at[x] for x in b.column(0).to_pylist()], np.int64)
                 words, n = b.column(1).to_pylist(), np.array(b.column(2).to_pylist(), float)
                 for k in np.unique(lang):
-                    own = np.flatnonzero(lang == k)
-                    total[k] += Lattice(voc, [words[i] for i in own]).expected(theta[k], n[own])
+                    own, zero = np.flatnonzero(lang == k), with_none(theta[k][:, None])[:, 0]
+                    for some in slices([len(words[i]) for i in own]):
+                        total[k] += Lattice(voc, [words[i] for i in own[some]]).expected(zero, n[own[some]])[:-1]
             k, piece = np.nonzero(total > 1e-9)
             yield pa.RecordBatch.from_arrays([pa.array(k.astype(np.int32)), pa.array(piece.astype(np.int32)), pa.array(total[k, piece])], names=["k", "piece", "n"])
 
@@ -175,46 +216,46 @@ def train_languages(labelled: DataFrame, model_path: str, per_language: int = 30
         found[got["k"].to_numpy(), got["piece"].to_numpy()] = got["n"].to_numpy()
         found += 0.01
         theta = found / found.sum(1, keepdims=True)
-    return {"langs": langs, "theta": theta, "path": model_path}
+    return {"langs": langs, "theta": theta, "path": model_path, "id": uuid.uuid4().hex}
 
 
-_scores: dict[int, tuple[object, dict]] = {}
+def slices(lengths: list[int]) -> list[slice]:
+    """Neighbouring words in parts of about SLICE characters, a longer word alone."""
+    part = np.cumsum(lengths) // SLICE
+    cuts = np.flatnonzero(np.diff(part)) + 1
+    return [slice(a, b) for a, b in zip([0, *cuts], [*cuts, len(lengths)], strict=True)] if len(lengths) else []
 
 
 def predict_languages(docs: DataFrame, model: dict) -> DataFrame:
     """``docs`` with ``lang_pred`` and ``score`` added, row by row, no shuffle.
 
     ``score`` is the predicted language's share of the likelihood, all languages being equally likely beforehand.
-    A text that is null or has no letter, or a model without languages, gives "und" and 0.  ``docs`` needs a column
-    ``text`` and must not have ``lang_pred`` or ``score``; repeated rows are scored alike.
+    A text that is null or has no letter, or a model without languages, gives "und" and 0.  Columns
+    ``lang_pred`` and ``score`` that ``docs`` already has are replaced; repeated rows are scored alike.
     """
+    docs = docs.drop("lang_pred", "score")
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
         model = held.value
-        voc, langs, theta = vocabulary(model["path"]), model["langs"], model["theta"]
-        if id(model) not in _scores:
-            _scores.clear()
-            _scores[id(model)] = (model, {})
-        known = _scores[id(model)][1]
+        voc, langs, theta = vocabulary(model["path"]), model["langs"], with_none(model["theta"].T)
+        known = worker_cache(("langid", model["id"]), lambda: Cache(CACHE_BYTES))
         for whole in batches:
-            for part in range(0, whole.num_rows, 1000):
-                b = whole.slice(part, 1000)
+            for part in range(0, whole.num_rows, 500):
+                b = whole.slice(part, 500)
                 texts = [words_of(t) for t in b.column(b.schema.get_field_index("text")).to_pylist()]
-                if len(known) > CACHE_WORDS:
-                    known.clear()
-                new = list({w for t in texts for w in t if w not in known})
-                if new and langs:
-                    lattice = Lattice(voc, new)
-                    found = np.stack([lattice.log_sums(x) for x in theta], 1).astype(np.float32)
-                    known.update(zip(new, map(bytes, found), strict=True))
+                known.make_room()
+                new = list({w for t in texts for w in t if w not in known}) if langs else []
+                for some in slices(list(map(len, new))):
+                    words = new[some]
+                    known.add(words, map(bytes, Lattice(voc, words).log_sums(theta)))
                 picks, scores = [], []
                 for words in texts:
                     if not words or not langs:
                         picks.append(UNDETERMINED)
                         scores.append(0.0)
                         continue
-                    logs = np.frombuffer(b"".join(map(known.__getitem__, words)), np.float32).reshape(-1, len(langs)).sum(0, dtype=np.float64)
+                    logs = np.frombuffer(b"".join(map(known.__getitem__, words)), np.float64).reshape(-1, len(langs)).sum(0)
                     best = int(logs.argmax())
                     picks.append(langs[best])
                     scores.append(float(1.0 / np.exp(logs - logs[best]).sum()))

@@ -20,11 +20,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import Cache, table, worker_cache
 
 MARK = "▁"
-#: Units remembered per worker, twice.
-CACHE_UNITS = 200_000
+#: Bytes of units remembered per worker, twice.
+CACHE_BYTES = 40_000_000
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 
 
@@ -85,20 +85,21 @@ def char_map(blob: bytes) -> dict[bytes, bytes]:
 LETTER = "[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u017f]"
 
 
-class _Units(dict):
+class _Units(Cache):
     """Remembers the packed ids of units, but not of long ones.  When it is full, the units that are not asked for again
     before it is full the next time are forgotten."""
 
-    def __init__(self, merge):
+    def __init__(self, merge, limit: int):
+        super().__init__(limit)
         self.merge, self.older = merge, {}
 
     def __missing__(self, unit: str) -> bytes:
-        if len(self) >= CACHE_UNITS:
+        if self.used > self.limit:
             self.older = dict(self)
-            self.clear()
+            self.make_room()
         got = self.older.pop(unit, None) or self.merge(unit)
         if len(unit) <= 64:
-            self[unit] = got
+            self.add([unit], [got])
         return got
 
 
@@ -140,7 +141,6 @@ class PieceModel:
         self.sizes = np.array([1 if k == BYTE else len(p.encode()) for p, k in zip(self.pieces, self.kinds, strict=True)], np.int64)
         self.is_byte = np.array([k == BYTE for k in self.kinds])
         self.source = self.sizes - 2 * np.array([p.count(MARK) for p in self.pieces])
-        self.known = _Units(self._merge)
         self.plain = [self._plain(i) for i in range(len(self.pieces))]
 
     def _units(self) -> re.Pattern:
@@ -257,7 +257,8 @@ class PieceModel:
             norm = MARK + norm if self.dummy_prefix and norm else norm
         else:
             norm, origin = self.normalise(text)
-        ids = np.frombuffer(b"".join(map(self.known.__getitem__, self.unit.findall(norm))), "<i4")
+        known = worker_cache(("pieces", id(self)), lambda: _Units(self._merge, CACHE_BYTES))
+        ids = np.frombuffer(b"".join(map(known.__getitem__, self.unit.findall(norm))), "<i4")
         if plain and len(ids) and not self.is_byte[ids].any():
             ends = np.cumsum(self.source[ids]) - self.dummy_prefix
         elif len(ids):
@@ -293,11 +294,12 @@ def piece_model(path: str) -> PieceModel:
 ENCODED = "ids array<int>, ends array<int>"
 
 
-def encode_pieces(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def encode_pieces(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", decode: bool = False) -> DataFrame:
     """id, ``ids`` (end id last) and ``ends``: piece i covers source bytes [ends[i-1], ends[i]) of the UTF-8 text.
 
-    Null text counts as empty and gives the end id alone.  One row in, one row out, for repeated rows too; other
-    columns are dropped.  Whole texts are encoded, whatever their length; work is row by row, so no shuffle.
+    With ``decode`` also ``decoded``, the text of the ids, made in the same pass.  Null text counts as empty and gives the
+    end id alone.  One row in, one row out, for repeated rows too; other columns are dropped.  Whole texts are encoded,
+    whatever their length; work is row by row, so no shuffle.
     """
 
     def run(batches):
@@ -308,10 +310,11 @@ def encode_pieces(docs: DataFrame, model_path: str, id_col: str = "doc_id", text
                 got = [model.encode(t or "") for t in rows.column(1).to_pylist()]
                 sizes = np.cumsum([0, *(len(i) for i, _ in got)]).astype(np.int32)
                 arrays = [pa.ListArray.from_arrays(pa.array(sizes), pa.array(np.concatenate([x[k] for x in got]))) for k in (0, 1)]
-                yield pa.RecordBatch.from_arrays([rows.column(0), *arrays], names=["_id", "ids", "ends"])
+                said = [pa.array([model.decode(ids.tolist()) for ids, _ in got], pa.string())] if decode else []
+                yield pa.RecordBatch.from_arrays([rows.column(0), *arrays, *said], names=["_id", "ids", "ends", "decoded"][: 3 + decode])
 
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text"))
-    return rows.mapInArrow(run, f"_id {rows.schema['_id'].dataType.simpleString()}, {ENCODED}").withColumnRenamed("_id", id_col)
+    return rows.mapInArrow(run, f"_id {rows.schema['_id'].dataType.simpleString()}, {ENCODED}" + ", decoded string" * decode).withColumnRenamed("_id", id_col)
 
 
 def decode_pieces(encoded: DataFrame, model_path: str, ids_col: str = "ids") -> DataFrame:
@@ -348,7 +351,7 @@ def piece_digests(docs: DataFrame, model_path: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(counts, pa.int64()), pa.array(shas, pa.string()), pa.array(decoded, pa.string()), pa.array(last, pa.int64())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "last_end"])
 
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, last_end long")
+    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string, last_end long")
 
 
 def default_model() -> str:

@@ -6,6 +6,7 @@ network is linear in the averaged features, so scoring needs one number per hash
 
 from __future__ import annotations
 
+import uuid
 import zlib
 
 import numpy as np
@@ -13,12 +14,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fold, sample_key, table
+from .common import Cache, fold, sample_key, table, worker_cache
 
 #: Hash buckets; words, their character n-grams and pairs of words share them.
 BUCKETS = 1 << 17
 GRAMS = (1, 2, 3, 4)
-CACHE_WORDS = 200_000
+#: Bytes of words' sums that a worker remembers.
+CACHE_BYTES = 40_000_000
 SAME = zlib.crc32(b"\0same") % BUCKETS
 
 
@@ -61,15 +63,17 @@ def features(text: str | None) -> np.ndarray:
     return np.concatenate([heads, pair_features(heads), *(at[fits] for at, fits in word_grams(words)[0])])
 
 
-def train(texts: list[str | None], labels: np.ndarray, priors: np.ndarray, dims: int = 12, steps: int = 20_000, rate: float = 0.5, seed: int = 7) -> dict:
+def bag(text: str | None) -> tuple[np.ndarray, np.ndarray]:
+    """A text's buckets and how often each occurs."""
+    return np.unique(features(text), return_counts=True)
+
+
+def train(bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, priors: np.ndarray, dims: int = 12, steps: int = 20_000, rate: float = 0.5, seed: int = 7) -> dict:
     """Gradient descent, one document a step, ``steps`` in all.  ``priors``: shares of the classes where the model will be used."""
     rng = np.random.default_rng(seed)
     embed = rng.uniform(-1 / dims, 1 / dims, (BUCKETS, dims)).astype(np.float32)
     out, bias = np.zeros((dims, 2), np.float32), np.zeros(2, np.float32)
-    bags = []
-    for t in texts:
-        at, n = np.unique(features(t), return_counts=True)
-        bags.append((at, (n / max(1, n.sum())).astype(np.float32)))
+    bags = [(at, (n / max(1, n.sum())).astype(np.float32)) for at, n in bags]
     done = 0
     while done < steps and bags:
         for i in rng.permutation(len(bags))[: steps - done]:
@@ -88,28 +92,35 @@ def train(texts: list[str | None], labels: np.ndarray, priors: np.ndarray, dims:
     weights = (embed @ (out[:, 1] - out[:, 0])).astype(np.float64)
     seen = np.bincount(labels, minlength=2) / max(1, len(labels))
     shift = np.log((priors[1] + 1e-6) / (priors[0] + 1e-6)) - np.log((seen[1] + 1e-6) / (seen[0] + 1e-6))
-    return {"weights": weights, "bias": float(bias[1] - bias[0] + shift)}
+    return {"weights": weights, "bias": float(bias[1] - bias[0] + shift), "id": uuid.uuid4().hex}
 
 
 def train_quality(docs: DataFrame, labels: DataFrame, per_class: int = 2000) -> dict:
     """A model of ``labels`` (doc_id, quality) over ``docs`` (doc_id, text).
 
     It learns from at most about ``per_class`` documents of each class, chosen by a hash of their ids: a bounded,
-    repeatable sample, which is what reaches the driver.  Null labels are ignored.  Without labels of both classes the
-    model knows only how frequent the classes are.
+    repeatable sample.  Features are counted where the documents are; the driver gets at most BUCKETS counts for each, no
+    text.  Null labels are ignored; of clashing labels of one doc_id the larger counts, of several texts the first in
+    order.  Without labels of both classes the model knows only how frequent the classes are.
     """
-    labels = labels.where("quality in (0, 1)").select("doc_id", F.col("quality").cast("int").alias("quality"))
+    labels = labels.where("quality in (0, 1)").groupBy("doc_id").agg(F.max("quality").cast("int").alias("quality"))
     found = {r["quality"]: r["n"] for r in labels.groupBy("quality").agg(F.count(F.lit(1)).alias("n")).collect()}
     n = np.array([found.get(0, 0), found.get(1, 0)], float)
     if not n.sum():
-        return {"weights": np.zeros(BUCKETS), "bias": 0.0}
+        return {"weights": np.zeros(BUCKETS), "bias": 0.0, "id": uuid.uuid4().hex}
     share = F.when(F.col("quality") == 1, min(1.0, per_class / max(1, n[1]))).otherwise(min(1.0, per_class / max(1, n[0])))
-    sample = labels.where(sample_key("doc_id") < share).dropDuplicates(["doc_id"])
-    rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").dropDuplicates(["doc_id"]).toPandas().sort_values("doc_id")
-    return train(rows["text"].tolist(), rows["quality"].to_numpy(), n / n.sum())
+    sample = F.broadcast(labels.where(sample_key("doc_id") < share))
+    rows = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).join(sample, "doc_id").groupBy("doc_id", "quality").agg(F.min("text").alias("text"))
 
+    def count(batches):
+        for b in batches:
+            got = [bag(t) for t in b.column(2).to_pylist()]
+            packed = [pa.array([x[k].astype("<i4").tobytes() for x in got], pa.binary()) for k in (0, 1)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *packed], names=["doc_id", "quality", "at", "n"])
 
-_cache: dict[int, tuple[object, dict]] = {}
+    id_type = rows.schema["doc_id"].dataType.simpleString()
+    bags = rows.mapInArrow(count, f"doc_id {id_type}, quality int, at binary, n binary").orderBy("doc_id").collect()
+    return train([tuple(np.frombuffer(x, "<i4") for x in (r["at"], r["n"])) for r in bags], np.array([r["quality"] for r in bags], np.int64), n / n.sum())
 
 
 def score_quality(docs: DataFrame, model: dict, threshold: float = 0.3) -> DataFrame:
@@ -123,10 +134,7 @@ def score_quality(docs: DataFrame, model: dict, threshold: float = 0.3) -> DataF
     def run(batches):
         model = held.value
         weights, bias = model["weights"], model["bias"]
-        if id(model) not in _cache:
-            _cache.clear()
-            _cache[id(model)] = (model, {})
-        known: dict[str, bytes] = _cache[id(model)][1]
+        known = worker_cache(("quality", model["id"]), lambda: Cache(CACHE_BYTES))
 
         def learn(words: list[str]) -> None:
             """Remember each word's bucket, number of features and sum of their weights."""
@@ -135,14 +143,13 @@ def score_quality(docs: DataFrame, model: dict, threshold: float = 0.3) -> DataF
             total = weights[heads]
             for at, fits in grams:
                 total = total + np.add.reduceat(np.where(fits, weights[at], 0.0), first)
-            known.update(zip(words, map(bytes, np.stack([heads, n + 1, total], 1).astype(np.float64)), strict=True))
+            known.add(words, map(bytes, np.stack([heads, n + 1, total], 1).astype(np.float64)))
 
         for whole in batches:
             for part in range(0, whole.num_rows, 1000):
                 b = whole.slice(part, 1000)
                 texts = [(t or "").split() for t in b.column(1).to_pylist()]
-                if len(known) > CACHE_WORDS:
-                    known.clear()
+                known.make_room()
                 if new := list({w for words in texts for w in words if w not in known}):
                     learn(new)
                 scores = []
@@ -155,10 +162,11 @@ def score_quality(docs: DataFrame, model: dict, threshold: float = 0.3) -> DataF
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(scores, pa.float64())], names=["doc_id", "score"])
 
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, score double").withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, score double").withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The quality of every document, learnt from the labels of the documents that are not held out."""
     docs = table(spark, sf_dir, "documents")
     labels = table(spark, sf_dir, "labels").where(fold("doc_id", 5) != 0)
     scored = score_quality(docs, train_quality(docs, labels))

@@ -6,25 +6,25 @@ Where a similarity of shingles is asked for, fingerprints only propose pairs; th
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain as joined
 from itertools import combinations
-from math import acos, ceil, comb, pi
+from math import acos, ceil, comb, pi, sqrt
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import window as W
 
 from .common import drop_saved, sample_key, save, table
-from .components import connected_components
+from .components import connected_components, hook
 
 #: Rows of a bucket that one task compares with one another; larger buckets are compared chunk by chunk.
 CHUNK = 2048
 #: Points in a bucket on average, above which fingerprints are cut into more blocks.
 BUCKET = 256
 #: Pairs of (row, word of 64 rows) that are compared at once.
-SLAB = 1 << 17
+SLAB = 1 << 15
 #: One row in so many is looked at for common shingles; how often one must stand there to count as common, and how many count.
 SAMPLE, COMMON, MOST_COMMON = 8, 8, 200_000
 
@@ -110,9 +110,8 @@ def close_lanes(queries: np.ndarray, words: np.ndarray, planes: np.ndarray, radi
     return alive, ~exceeded()
 
 
-def local_links(fps: np.ndarray, groups: np.ndarray, radius: int) -> np.ndarray:
-    """``groups`` is sorted.  The label of each row: the first row that it reaches over links inside its group."""
-    label = np.arange(len(fps))
+def close_pairs(fps: np.ndarray, groups: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """``groups`` is sorted.  All pairs of rows of one group within the radius, a < b, slab by slab."""
     first = np.flatnonzero(np.append(True, groups[1:] != groups[:-1]))
     size = np.diff(np.append(first, len(fps)))
     n_words = (size + 63) // 64
@@ -138,18 +137,15 @@ def local_links(fps: np.ndarray, groups: np.ndarray, radius: int) -> np.ndarray:
             hits = np.unpackbits(masks.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
             k, bit = np.nonzero(hits)
             a, b = rows[pairs[k]], row_of[(lane[rows[pairs[k]]] // 64 + step[pairs[k]]) * 64 + bit]
-            ok = b > a
-            a, b = a[ok], b[ok]
-            while len(a):
-                la, lb = label[a], label[b]
-                differ = la != lb
-                if not differ.any():
-                    break
-                a, b, la, lb = a[differ], b[differ], la[differ], lb[differ]
-                np.minimum.at(label, np.maximum(la, lb), np.minimum(la, lb))
-                while (label != (up := label[label])).any():
-                    label = up
+            yield a[b > a], b[b > a]
         at = stop
+
+
+def local_links(fps: np.ndarray, groups: np.ndarray, radius: int) -> np.ndarray:
+    """``groups`` is sorted.  The label of each row: the first row that it reaches over links inside its group."""
+    label = np.arange(len(fps))
+    for a, b in close_pairs(fps, groups, radius):
+        hook(label, a, b)
     return label
 
 
@@ -171,24 +167,40 @@ def link(points: DataFrame, radius: int = 4) -> DataFrame:
         masks.append(mask - (1 << 64) if mask >> 63 else mask)
     assert len(masks) == comb(blocks, agree)
     keyed = points.select("fp", "rep", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m)) for m in masks])).alias("k", "m"))
-    hot = keyed.groupBy("k", "m").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > CHUNK)
-    keyed = keyed.join(hot, ["k", "m"], "left").withColumn("c", F.ceil(F.coalesce("n", F.lit(1)) / CHUNK).cast("int"))
+    hot = keyed.groupBy("k", "m").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > CHUNK)
+    keyed = keyed.join(hot, ["k", "m"], "left")
+
+    def out(cols, groups):
+        label = local_links(cols["fp"].view(np.uint64), groups, radius)
+        at = np.flatnonzero(label != np.arange(len(label)))
+        return cols["rep"][at], cols["rep"][label[at]]
+
+    return meet(keyed, ["k", "m"], ["fp", "rep"], out)
+
+
+def meet(rows: DataFrame, keys: list[str], columns: list[str], compare) -> DataFrame:
+    """Bring the ``rows`` of a bucket (equal ``keys``, long or int) together; ``size`` is its number of rows, null if small.
+
+    Buckets of over CHUNK rows are dealt in chunks, and every two chunks meet in one task.  ``compare`` gets the columns of
+    some buckets (and ``own``, a row's chunk), and sorted group numbers, and returns the ends of edges (a, b).
+    """
     own = F.pmod(F.xxhash64("fp"), F.col("c")).cast("int")
-    keyed = keyed.withColumn("own", own).withColumn("other", F.explode(F.when(F.col("c") > 1, F.sequence(F.lit(0), F.col("c") - 1)).otherwise(F.array(F.lit(0)))))
-    dealt = keyed.select("k", "m", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "fp", "rep")
-    keys = ["k", "m", "i", "j"]
+    dealt = rows.withColumn("c", F.ceil(F.coalesce("size", F.lit(1)) / CHUNK).cast("int")).withColumn("own", own)
+    dealt = dealt.withColumn("other", F.explode(F.when(F.col("c") > 1, F.sequence(F.lit(0), F.col("c") - 1)).otherwise(F.array(F.lit(0)))))
+    places = [*keys, "i", "j"]
+    dealt = dealt.select(*keys, F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", *columns)
 
     def run(batches: Iterator[pa.RecordBatch]):
         rest = None
         for b in batches:
             if not b.num_rows:
                 continue
-            cols = [b.column(i).to_numpy(zero_copy_only=False) for i in range(6)]
+            cols = [c.to_numpy(zero_copy_only=False) for c in b.columns]
             if rest is not None:
                 cols = [np.concatenate([x, y]) for x, y in zip(rest, cols, strict=True)]
             new = np.zeros(len(cols[0]), bool)
             new[0] = True
-            for c in cols[:4]:
+            for c in cols[: len(places)]:
                 new[1:] |= c[1:] != c[:-1]
             last = int(np.flatnonzero(new)[-1])
             rest = [c[last:] for c in cols]
@@ -197,14 +209,12 @@ def link(points: DataFrame, radius: int = 4) -> DataFrame:
             yield from out(rest, np.zeros(len(rest[0]), np.int64))
 
     def out(cols, groups):
-        if len(groups) < 2:
-            return
-        label = local_links(cols[4].astype(np.int64).view(np.uint64), groups, radius)
-        at = np.flatnonzero(label != np.arange(len(label)))
-        yield pa.RecordBatch.from_arrays([pa.array(cols[5][at]), pa.array(cols[5][label[at]])], names=["a", "b"])
+        if len(groups) > 1:
+            a, b = compare(dict(zip([*places, "own", *columns], cols, strict=True)), groups)
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
-    parts = max(int(points.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
-    return dealt.repartition(parts, *keys).sortWithinPartitions(*keys).mapInArrow(run, "a long, b long")
+    parts = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
+    return dealt.repartition(parts, *places).sortWithinPartitions(*places).mapInArrow(run, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 4, radius: int = 4) -> DataFrame:
@@ -222,9 +232,10 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, radius: int = 4) -> DataF
     return marked.join(home, "fp", "left").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def radius_for(similarity: float) -> int:
-    """The distance at which 64 bits estimate this Jaccard similarity of two shingle sets of equal size."""
-    return int(64 * acos(2 * similarity / (1 + similarity)) / pi)
+def wide_radius(similarity: float) -> int:
+    """A distance that pairs of this similarity hardly ever exceed: five deviations above the mean."""
+    share = acos(2 * similarity / (1 + similarity)) / pi
+    return int(64 * share + 5 * sqrt(64 * share * (1 - share)))
 
 
 def common_shingles(rows: DataFrame, shingle: int) -> np.ndarray:
@@ -286,10 +297,6 @@ def verified(pairs: DataFrame, rows: DataFrame, shingle: int, similarity: float)
     return links
 
 
-def _alike(n: str, m: str, similarity: float):
-    return F.least(n, m) >= F.lit(similarity) * F.greatest(n, m) - 1e-9
-
-
 def _least_shared(n: str, m: str, similarity: float):
     """How many search shingles two sets of this similarity share at least: they share similarity / (1 + similarity) of
     both sizes, and beyond the search shingles of the one whose search ends first there is only the rest of that one."""
@@ -297,43 +304,85 @@ def _least_shared(n: str, m: str, similarity: float):
     return F.ceil(F.lit(similarity / (1 + similarity)) * (F.col(n) + F.col(m)) - 1e-9) - rest
 
 
+def centres(rows: DataFrame, radius: int, similarity: float) -> DataFrame:
+    """``rows`` (h, uid, n, fp) to pairs (uid, centre, n): each row with the middle of its bucket, if they look alike.
+
+    The middle is the row whose fingerprint is closest to the majority of the bucket's bits.  A bucket of any size is read
+    in pieces of CHUNK rows, each with a middle of its own.  This only finds pairs that are worth a comparison first.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]):
+        rest = None
+        for b in joined(batches, [None]):
+            if b is not None:
+                cols = [c.to_numpy() for c in b.columns]
+                rest = cols if rest is None else [np.concatenate([x, y]) for x, y in zip(rest, cols, strict=True)]
+            if rest is None or not len(rest[0]):
+                continue
+            h = rest[0]
+            start = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
+            stop = len(h) if b is None or len(h) - start[-1] >= CHUNK else start[-1]
+            (h, uid, n, fp), rest = [c[:stop] for c in rest], [c[stop:] for c in rest]
+            start = start[start < stop]
+            size = np.diff(np.append(start, stop))
+            own = np.flatnonzero(np.repeat(size, size) > 1)
+            size = size[size > 1]
+            # pieces of buckets, in turn for as many as are worth a slab
+            piece = np.repeat(np.arange(len(size)), size) * 2**32 + (np.arange(len(own)) - np.repeat(np.cumsum(size) - size, size)) // CHUNK
+            start = np.flatnonzero(np.append(True, piece[1:] != piece[:-1])) if len(own) else own
+            for k in range(0, len(start), 4096):
+                some = own[start[k] : start[k + 4096] if k + 4096 < len(start) else len(own)]
+                first = start[k : k + 4096] - start[k]
+                size = np.diff(np.append(first, len(some)))
+                bits = np.unpackbits(fp[some].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+                most = np.add.reduceat(bits, first, axis=0, dtype=np.int32) * 2 > size[:, None]
+                middle = np.repeat(np.packbits(most, axis=1, bitorder="little").view("<u8")[:, 0], size)
+                away = np.bitwise_count(fp[some].view(np.uint64) ^ middle).astype(np.int64) * len(some) + np.arange(len(some))
+                centre = some[np.repeat(np.minimum.reduceat(away, first) % len(some), size)]
+                close = (np.bitwise_count(fp[some] ^ fp[centre]) <= radius) & (some != centre)
+                close &= np.minimum(n[some], n[centre]) >= similarity * np.maximum(n[some], n[centre]) - 1e-9
+                a, b_ = some[close], centre[close]
+                yield pa.RecordBatch.from_arrays([pa.array(uid[a]), pa.array(uid[b_]), pa.array(n[a])], names=["uid", "centre", "n"])
+
+    return rows.select("h", "uid", "n", "fp").repartition("h").sortWithinPartitions("h").mapInArrow(run, "uid long, centre long, n int")
+
+
 def near_links(rows: DataFrame, shingle: int, similarity: float) -> DataFrame:
     """(node, component) of the ``rows`` (uid, text; each with a word) that have a near duplicate.
 
-    Components are those of the graph of all pairs of at least this similarity.  Cheap pairs are verified first: those
-    that SimHash proposes, and each row with the first and the last row of its search shingles' buckets.  Then only
-    pairs that share a search shingle across what is not connected yet are left, and all of them are verified.
+    Components are those of the graph of all pairs of at least this similarity that share a search shingle, as all such
+    pairs do, and whose fingerprints lie within ``wide_radius``.  Pairs of a row and the middle of its bucket are verified
+    first.  Then fingerprints are compared bit plane by bit plane inside buckets that hold rows of more than one component,
+    and the close pairs across components are verified, all of them.
     """
+    radius = wide_radius(similarity)
     marked = save(describe(rows, shingle, similarity), "described")
-    points = marked.groupBy("fp").agg(F.min("uid").alias("rep"))
-    points = save(points, "points")
-    proposed = link(points, radius_for(similarity)).unionByName(marked.join(points, "fp").where("uid <> rep").select(F.col("uid").alias("a"), F.col("rep").alias("b")))
-    bucket = W.Window.partitionBy("h")
-    own = F.struct("uid", "n")
-    shared = marked.select("uid", "n", F.explode("prefix").alias("h")).withColumn("lo", F.min(own).over(bucket)).withColumn("hi", F.max(own).over(bucket))
-    shared = save(shared.where("lo.uid < hi.uid"), "shared")
-    ends = shared.select("uid", "n", F.explode(F.array("lo", "hi")).alias("e")).where((F.col("uid") != F.col("e.uid")) & _alike("n", "e.n", similarity))
+    buckets = marked.select(F.explode("prefix").alias("h"), "uid", "n", "fp")
+    first = centres(buckets, radius, similarity).groupBy("uid", "centre").agg(F.count(F.lit(1)).alias("c"), F.first("n").alias("n"))
     # pairs of one or two shingles are not worth a comparison yet; what is missed here is found below
-    ends = ends.groupBy("uid", "e").agg(F.count(F.lit(1)).alias("c"), F.first("n").alias("n")).where(F.col("c") > F.lit((1 - similarity) / 4) * F.col("n"))
-    pairs = proposed.select("a", "b").unionByName(ends.select(F.col("uid").alias("a"), F.col("e.uid").alias("b")))
-    pairs = save(pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "pairs")
-    named = save(connected_components(verified(pairs, rows, shingle, similarity)), "near-components")
-
-    placed = shared.join(named, shared.uid == named.node, "left").select("h", "uid", "n", F.coalesce("component", "uid").alias("c"))
-    open_ = placed.groupBy("h").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("h")
-    left = save(placed.join(open_, "h"), "open")
-    x, y = left.select("h", F.col("uid").alias("a"), F.col("n").alias("na"), F.col("c").alias("ca")), left.select("h", F.col("uid").alias("b"), F.col("n").alias("nb"), F.col("c").alias("cb"))
-    across = x.join(y, "h").where((F.col("ca") < F.col("cb")) & _alike("na", "nb", similarity))
-    across = across.groupBy(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).agg(F.count(F.lit(1)).alias("c"), F.first("na").alias("na"), F.first("nb").alias("nb"))
-    across = across.where(F.col("c") >= _least_shared("na", "nb", similarity)).select("a", "b")
-    more = save(across.join(pairs, ["a", "b"], "left_anti"), "pairs")
-    if not more.isEmpty():
-        more = verified(more, rows, shingle, similarity)
-        if not more.isEmpty():
-            named = save(connected_components(named.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more)), "near-components")
-    for done in (shared, left, pairs, marked):
-        drop_saved(done)
-    return named
+    first = first.where(F.col("c") > F.lit((1 - similarity) / 4) * F.col("n")).select(F.greatest("uid", "centre").alias("a"), F.least("uid", "centre").alias("b"))
+    named = connected_components(verified(save(first.distinct(), "pairs"), rows, shingle, similarity))
+
+    placed = marked.select("uid", "n", "fp", "prefix").join(named, F.col("uid") == F.col("node"), "left").select("uid", "n", "fp", F.coalesce("component", "uid").alias("c"), F.explode("prefix").alias("h"))
+    open_ = placed.groupBy("h").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count(F.lit(1)).alias("size")).where("lo < hi").select("h", "size")
+    left = placed.withColumnRenamed("c", "component").join(open_, "h")
+
+    def across(cols, groups):
+        found = [(np.zeros(0, np.int64),) * 2]
+        for a, b in close_pairs(cols["fp"].view(np.uint64), groups, radius):
+            n, m = cols["n"][a], cols["n"][b]
+            ok = (cols["component"][a] != cols["component"][b]) & (np.minimum(n, m) >= similarity * np.maximum(n, m) - 1e-9)
+            ok &= (cols["i"][a] == cols["j"][a]) | (cols["own"][a] != cols["own"][b])
+            found.append((a[ok], b[ok]))
+        a, b = (np.concatenate(x) for x in zip(*found, strict=True))
+        return np.maximum(cols["uid"][a], cols["uid"][b]), np.minimum(cols["uid"][a], cols["uid"][b])
+
+    pairs = meet(left, ["h"], ["uid", "n", "fp", "component"], across).groupBy("a", "b").agg(F.count(F.lit(1)).alias("c"))
+    sizes = marked.select(F.col("uid").alias("u"), "n")
+    pairs = save(pairs, "pairs")
+    pairs = pairs.join(sizes.select(F.col("u").alias("a"), F.col("n").alias("na")), "a").join(sizes.select(F.col("u").alias("b"), F.col("n").alias("nb")), "b").where(F.col("c") >= _least_shared("na", "nb", similarity)).select("a", "b")
+    more = verified(save(pairs, "pairs"), rows, shingle, similarity)
+    return connected_components(named.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
 
 
 def drop_near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:

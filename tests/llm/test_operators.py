@@ -29,12 +29,12 @@ def held(docs, n=10):
 
 
 def fixed_model(spark):
-    return {"langs": ["en", "fr"], "theta": np.full((2, langid.vocabulary(pieces.default_model()).size), 1e-4), "path": pieces.default_model()}
+    return {"langs": ["en", "fr"], "theta": np.full((2, langid.vocabulary(pieces.default_model()).size), 1e-4), "path": pieces.default_model(), "id": "fixed"}
 
 
 def operators(spark):
     items = spark.createDataFrame([(1, "le chat est sur la table et le chien dort"), (None, "x"), (2, None), (3, "too short")], "item_id long, text string")
-    slim = lambda d: d.select("doc_id", "text", "lang")
+    slim = lambda d: d.withColumn("lang_pred", F.lit("x"))
     return {
         "exact": lambda d: exact_dedup.exact_duplicates(d),
         "drop exact": exact_dedup.drop_exact_duplicates,
@@ -158,35 +158,107 @@ def test_quality_on_held_out_labels(spark, sf_dir):
     assert (good[:, None] > bad[None]).mean() > 0.9
 
 
+def test_quality_is_a_softmax_over_averaged_vectors(spark):
+    texts, labels, dims, steps, rate = ["a b b", "zz top", "", "b a zz"], np.array([0, 1, 1, 0]), 3, 7, 0.5
+    priors = np.array([0.75, 0.25])
+    # the same numbers to begin with and the same order; everything else is done one vector at a time
+    rng = np.random.default_rng(7)
+    embed = rng.uniform(-1 / dims, 1 / dims, (quality.BUCKETS, dims))
+    out, bias, done = np.zeros((dims, 2)), np.zeros(2), 0
+
+    def hidden_of(text):
+        at = quality.features(text)
+        return sum((embed[k] for k in at), np.zeros(dims)) / max(1, len(at))
+
+    while done < steps:
+        for i in rng.permutation(4)[: steps - done]:
+            lr, at = rate * (1 - done / steps), quality.features(texts[i]).tolist()
+            done += 1
+            hidden = hidden_of(texts[i])
+            odds = np.exp(hidden @ out + bias)
+            error = odds / odds.sum() - np.eye(2)[labels[i]]
+            back = out @ error
+            out, bias = out - lr * np.outer(hidden, error), bias - lr * error
+            for k in set(at):
+                embed[k] -= lr * math.sqrt(len(set(at))) * at.count(k) / len(at) * back
+    model = quality.train([quality.bag(t) for t in texts], labels, priors, dims, steps, rate)
+    seen = np.array([0.5, 0.5])
+    got = {r.doc_id: r.score for r in quality.score_quality(spark.createDataFrame([(str(i), t) for i, t in enumerate([*texts, None, "new b words zz"])], "doc_id string, text string"), model).collect()}
+    for i, t in enumerate([*texts, None, "new b words zz"]):
+        odds = np.exp(hidden_of(t) @ out + bias) * (priors / seen)
+        assert math.isclose(got[str(i)], odds[1] / odds.sum(), rel_tol=1e-4)
+
+
 def test_language_on_held_out_documents(spark, sf_dir, documents):
     r = queries.queries()["op8_langid"](spark, sf_dir).join(documents.select("doc_id", "lang"), "doc_id").toPandas()
     assert (r.lang == r.lang_pred)[r.held_out].mean() > 0.97 and r.score.between(0, 1).all()
 
 
+def segmentations(voc, word):
+    """All ways to cut a word into pieces of the model's own list, as lists of pieces; a strange character stands alone."""
+    model = pieces.piece_model(pieces.default_model())
+    known = {p for p in model.ids if p == p.lower() and (p == pieces.MARK or p.lstrip(pieces.MARK).isalpha() and p.count(pieces.MARK) <= 1)}
+    marked = pieces.MARK + word
+    ways = [[] for _ in range(len(marked) + 1)]
+    ways[0] = [[]]
+    for end in range(1, len(marked) + 1):
+        for start in range(end):
+            piece = marked[start:end]
+            if piece in known or end == start + 1:
+                ways[end] += [[*w, piece] for w in ways[start]]
+    return ways[-1]
+
+
+def piece_id(voc, piece):
+    keys, ids = voc.by_length[len(piece)]
+    h = 0
+    for c in piece:
+        h = (h * int(voc.base) + ord(c)) % 2**64
+    at = np.searchsorted(keys, np.uint64(h))
+    return int(ids[at]) if at < len(keys) and int(keys[at]) == h else voc.unknown
+
+
 def test_forward_sums_all_segmentations():
     voc = langid.vocabulary(pieces.default_model())
-    theta = np.random.default_rng(0).uniform(1e-4, 1e-2, voc.size)
-    words = ["the", "a", "zß", "bonjour", "qqqqqqqqqq"]
+    theta = np.random.default_rng(0).uniform(1e-4, 1e-2, (voc.size, 2))
+    words = ["the", "a", "zß", "bonjour", "qqqqqqqqqq", "responsibilities"]
+    lattice = langid.Lattice(voc, words)
+    assert voc.longest > 7 and any(len(p) >= 12 for w in segmentations(voc, "responsibilities") for p in w)
+    got = lattice.log_sums(langid.with_none(theta))
+    used = [lattice.expected(langid.with_none(theta)[:, k], np.ones(len(words)))[:-1] for k in range(2)]
+    for k in range(2):
+        counts = np.zeros(voc.size)
+        for w, word in enumerate(words):
+            ways = [[piece_id(voc, p) for p in way] for way in segmentations(voc, word)]
+            odds = np.array([np.prod(theta[way, k]) for way in ways])
+            assert np.isclose(got[w, k], math.log(odds.sum()))
+            for way, p in zip(ways, odds / odds.sum(), strict=True):
+                np.add.at(counts, way, p)
+        assert np.allclose(used[k], counts)
+
+
+def test_long_words_are_whole_and_do_not_underflow():
+    voc = langid.vocabulary(pieces.default_model())
+    theta = np.stack([np.full(voc.size, 1e-9), np.random.default_rng(1).uniform(1e-6, 1e-3, voc.size)], 1)
+    rng = random.Random(2)
+    words = ["".join(rng.choice("abcdehiorstuß") for _ in range(n)) for n in (60, 41, 700, 3000, 8)]
     lattice = langid.Lattice(voc, words)
-    where = {}
-    for n in range(1, langid.PIECE + 1):
-        for at in range(lattice.ids.shape[1]):
-            if lattice.ids[n - 1, at] >= 0:
-                where[at, n] = theta[lattice.ids[n - 1, at]]
-
-    def total(at, end):
-        return 1.0 if at == end else sum(where[at, n] * total(at + n, end) for n in range(1, langid.PIECE + 1) if (at, n) in where and at + n <= end)
-
-    expected = np.empty(len(words))
-    for k, i in enumerate(lattice.order):
-        expected[i] = math.log(total(lattice.starts[k], lattice.starts[k] + lattice.sizes[k]))
-    assert np.allclose(lattice.log_sums(theta), expected)
-    used = lattice.expected(theta, np.ones(len(words)))
+    got = lattice.log_sums(langid.with_none(theta))
+    for w, word in enumerate(words):
+        marked = pieces.MARK + word
+        for k in range(2):
+            logs = [0.0]
+            for end in range(1, len(marked) + 1):
+                terms = [logs[start] + math.log(theta[at, k]) for start in range(max(0, end - voc.longest), end) if (at := piece_id(voc, marked[start:end])) != voc.unknown or end == start + 1]
+                top = max(terms)
+                logs.append(top + math.log(sum(math.exp(t - top) for t in terms)))
+            assert np.isclose(got[w, k], logs[-1], rtol=1e-9)
     lengths = np.zeros(voc.size)
     for n, (_, ids) in voc.by_length.items():
         lengths[ids] = n
     lengths[voc.unknown] = 1
-    assert np.isclose((used * lengths).sum(), sum(len(w) + 1 for w in words))
+    for k in range(2):
+        assert np.isclose((lattice.expected(langid.with_none(theta)[:, k], np.ones(len(words)))[:-1] * lengths).sum(), sum(len(w) + 1 for w in words))
 
 
 def test_undetermined(spark):
