@@ -12,7 +12,7 @@ from quizmill.llm.common import fold, save, table
 from quizmill.llm.decontaminate import decontaminate
 from quizmill.llm.exact_dedup import drop_exact_duplicates
 from quizmill.llm.langid import UNDETERMINED, predict_languages, train_languages
-from quizmill.llm.pieces import decode_pieces, default_model, encode_pieces
+from quizmill.llm.pieces import default_model, encode_pieces
 from quizmill.llm.simhash import drop_near_duplicates
 
 #: A document whose predicted language has less than this share of the likelihood is rejected.
@@ -43,8 +43,7 @@ def keep_uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids (end id last), the source byte at which each piece ends, and the text that the ids decode to."""
-    encoded = decode_pieces(encode_pieces(docs, default_model()), default_model())
-    return encoded.withColumn("n_tokens", F.size("ids").cast("long"))
+    return encode_pieces(docs, default_model(), decode=True).withColumn("n_tokens", F.size("ids").cast("long"))
 
 
 STAGES = [
