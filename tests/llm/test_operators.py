@@ -450,7 +450,7 @@ def test_containment_matches_brute_force(spark, monkeypatch, limit):
     monkeypatch.setattr(decontaminate, "BROADCAST_ROWS", limit)
     rng = random.Random(9)
     words = [f"w{i}" for i in range(400)]
-    items = [(i, " ".join(rng.choice(words) for _ in range(rng.randint(3, 60)))) for i in range(30)]
+    items = [(i, " ".join(rng.choice(words) for _ in range(rng.randint(3, 60)))) for i in range(30)] + [(100 + k, " ".join(words[k : k + k])) for k in range(5)]
     docs = []
     for i in range(80):
         w = [rng.choice(words) for _ in range(rng.randint(0, 300))]
@@ -459,12 +459,32 @@ def test_containment_matches_brute_force(spark, monkeypatch, limit):
             if own:
                 own[rng.randrange(len(own))] = "edited"
         docs.append((i, " ".join(w[:100] + own + w[100:]).upper() + "."))
-    shingles = lambda t: {tuple(x) for x in zip(*[re.findall("[a-z0-9]+", t.lower())[k:] for k in range(5)], strict=False)}
-    expected = {(d, i): len(shingles(x) & shingles(y)) for d, x in docs for i, y in items if shingles(y) and len(shingles(x) & shingles(y)) / len(shingles(y)) >= 0.8}
+    docs += [(200, "so W3 w4, w5!"), (201, "w4 w5"), (202, "w1 w1 w3 w2"), (203, None), (204, "w2 w3 w3 w4 w5 w4 w5 w6 w7")]
+
+    def grams(text, n):
+        w = re.findall("[a-z0-9]+", (text or "").lower())
+        return {tuple(w[k : k + n]) for k in range(len(w) - n + 1)}
+
+    expected = {}
+    for i, y in items:
+        n = min(5, len(y.split()))
+        for d, x in docs:
+            found = len(grams(x, n) & grams(y, n))
+            if n and found / len(grams(y, n)) >= 0.8:
+                expected[d, i] = found
+    assert {(200, 103), (201, 102), (202, 101)} & set(expected) == {(200, 103), (202, 101)} and (204, 104) in expected
     got = decontaminate.contained_items(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
     assert {(r.doc_id, r.item_id): r.n_shared for r in got} == expected and expected
 
 
+def test_decontamination_judges_rows(spark):
+    item = "one two three four five six seven"
+    rows = [(None, f"so {item} it is"), (1, f"again {item}"), (1, "clean text that shares an id"), (None, "capital of France, Paris!"), (2, None), (2, None), (3, "")]
+    items = spark.createDataFrame([(1, item), (2, "capital of france paris"), (3, ""), (4, None)], "item_id long, text string")
+    got = decontaminate.decontaminate(spark.createDataFrame(rows, "doc_id long, text string"), items).collect()
+    assert Counter((r.doc_id, r.text) for r in got) == Counter([rows[2], rows[4], rows[5], rows[6]])
+
+
 def test_groups_are_whole(documents):
     rows = simhash.near_duplicates(documents).collect()
     fps = {r.doc_id: int(r.fingerprint, 16) for r in rows}
