@@ -437,6 +437,26 @@ def test_licenses(spark):
     assert rows[5].labels == "apache,apache-2.0"
 
 
+def license_labels(spark, texts):
+    rows = licenses.scan_licenses(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    return [set(r.labels.split(",")) - {""} - set(r.base_labels.split(",")) for r in sorted(rows, key=lambda r: r.doc_id)]
+
+
+def test_similar_licenses_are_told_apart(spark):
+    notice = "You can redistribute it and/or modify it under the terms of the GNU {}General Public License as published by the Free Software Foundation, either version"
+    grant = "This work is licensed under the GNU General Public License, version {}."
+    mit = licenses.TEMPLATES[1][0]
+    half = mit.split()
+    texts = [
+        *(notice.format(x) for x in ("", "Lesser ", "Affero ")), *(grant.format(x) for x in (2, 3, 1)),
+        notice.format("").replace("under the terms", "at your option and risk under the terms"),
+        "intro " + " ".join(half[:60] + ["some", "words", "more", "here"] + half[60:]) + " outro",
+        "released under the mit license. Released under the MIT license", "Licensed under CC BY-NC 4.0", "licensed under cc by 4.0", "Licensed under the Apache License, version 1.1",
+        "permission is granted to any person",
+    ]
+    assert license_labels(spark, texts) == [{"gpl-text"}, {"lgpl-text"}, {"agpl-text"}, {"gpl-2.0"}, {"gpl-3.0"}, set(), {"gpl-text"}, {"mit-text"}, set(), {"cc-by-nc-4.0"}, {"cc-by-4.0"}, set(), set()]
+
+
 def test_equal_texts_keep_one(spark):
     docs = spark.createDataFrame([(3, "A b"), (1, "a B"), (2, "É"), (5, "é"), (7, None), (8, "")], "doc_id long, text string")
     rows = {r.doc_id: r for r in exact_dedup.exact_duplicates(docs).collect()}
