@@ -371,6 +371,14 @@ def test_base_scores_match_a_count(spark, documents):
     assert sum(r.score for r in out) > sum(r.base_score for r in out)
 
 
+def test_order_and_blocks_do_not_matter(spark, documents, monkeypatch):
+    some = held(documents.where("doc_id % 2 = 0"))
+    one = {r.doc_id: r.score for r in hmm.score_texts(some.coalesce(1)).collect()}
+    monkeypatch.setattr(hmm, "BLOCK_DOCS", 30)
+    other = {r.doc_id: r.score for r in hmm.score_texts(some.repartition(3, "doc_id").sortWithinPartitions(F.desc("doc_id"))).collect()}
+    assert one.keys() == other.keys() and all(math.isclose(one[i], other[i], rel_tol=1e-4) for i in one)
+
+
 def test_forward_and_counts_match_all_paths():
     rng = np.random.default_rng(2)
     model = {"start": rng.dirichlet(np.ones(3)), "trans": rng.dirichlet(np.ones(3), 3), "emit_t": rng.dirichlet(np.ones(hmm.BUCKETS), 3).T.copy()}
