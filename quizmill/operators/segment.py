@@ -5,9 +5,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
@@ -148,6 +145,11 @@ def split_inline_options(c: Column) -> Column:
     return F.when(c.isNotNull() & ~c.rlike(CODE_LIKE) & (n >= 2) & (n <= MAX_INLINE), F.when(keys == F.slice(expected, 1, n), split))
 
 
+def _letter_bits(letters: Column) -> Column:
+    """The letters A-Z of an array as bits of a number."""
+    return F.aggregate(letters, F.lit(0), lambda bits, c: bits.bitwiseOR(F.call_function("shiftleft", F.lit(1), F.ascii(c) - 65)))
+
+
 def extract_questions(blocks: DataFrame) -> DataFrame:
     """One raw question per block.
 
@@ -177,10 +179,10 @@ def extract_questions(blocks: DataFrame) -> DataFrame:
     one = F.array(F.struct(T.normalize_letter(F.regexp_extract(line, OPTION_LINE, 1)).alias("key"), T.strip_bold(F.regexp_extract(line, OPTION_LINE, 2)).alias("text")))
     none = F.array().cast(f"array<{OPTION}>")
     rows = rows.withColumn("_options", F.coalesce(F.when(r == 2, F.col("_from_stem.options")).when(r == 4, F.col("_from_line.options")).when(r == 5, one), none))
-    keys = F.transform(F.flatten(F.collect_list("_options").over(earlier)), lambda o: o["key"])
-    rows = rows.withColumn("_keys", keys).withColumn("_bare", T.strip_bold(line))
+    # the letters of earlier options as bits, so a line costs the same however many stand before it
+    rows = rows.withColumn("_keys", F.coalesce(F.bit_or(_letter_bits(F.transform("_options", lambda o: o["key"]))).over(earlier), F.lit(0))).withColumn("_bare", T.strip_bold(line))
     said = F.transform(F.regexp_extract_all("_bare", F.lit(f"({T.LETTER})"), 1), T.normalize_letter)
-    bare_ok = (F.size("_keys") > 0) & (F.col("_bare") != "") & (F.length("_bare") <= BARE_ANSWER_MAX) & (F.col("_bare").rlike(T.TRUE_FALSE_WORDS) | (F.col("_bare").rlike(BARE_LETTERS) & (F.size(F.array_except(said, "_keys")) == 0)))
+    bare_ok = (F.col("_keys") > 0) & (F.col("_bare") != "") & (F.length("_bare") <= BARE_ANSWER_MAX) & (F.col("_bare").rlike(T.TRUE_FALSE_WORDS) | (F.col("_bare").rlike(BARE_LETTERS) & (_letter_bits(said).bitwiseAND(F.bitwise_not("_keys")) == 0)))
     labelled = T.strip_bold(F.coalesce(_found(line, ANSWER_INLINE), _found(line, ANSWER_LABEL)))
     mine = line.rlike(MY_ANSWER)
     answer = F.when(r == 2, F.col("_from_stem.answer")).when(r == 4, F.col("_from_line.answer")).when(r == 8, F.coalesce(labelled, F.when(~mine & bare_ok, F.col("_bare"))))
@@ -231,30 +233,28 @@ def route_documents(docs: DataFrame, questions: DataFrame) -> DataFrame:
 
 
 def chunk_documents(docs: DataFrame, target: int = CHUNK_CHARS, limit: int = CHUNK_LIMIT) -> DataFrame:
-    """Pieces of documents for a model: closed at a header or blank line once over ``target``, or at ``limit``."""
-    lines = F.split(F.col("text"), "\n")
-    flags = docs.select("doc_id", F.transform(lines, lambda x: F.struct(x.alias("line"), T.is_blank(x).alias("blank"), x.rlike(QUESTION_HEADER).alias("header"))).alias("lines"))
-
-    def run(batches: Iterator[pd.DataFrame]):
-        for pdf in batches:
-            out = []
-            for doc, lines in zip(pdf["doc_id"], pdf["lines"], strict=True):
-                parts, size, first, k, number = [], 0, 1, 0, 0
-                lines = list(lines) if lines is not None else []
-                while lines and lines[-1]["line"] == "":  # trailing empty lines are not lines
-                    lines.pop()
-                for number, x in enumerate(lines, 1):
-                    soft = size >= target and (x["header"] or x["blank"])
-                    if soft or size >= limit:
-                        out.append((doc, k, first, number - 1, "".join(parts)))
-                        parts, size, first, k = [], 0, number, k + 1
-                        if soft and x["blank"]:
-                            continue
-                    parts.append(x["line"] + "\n")
-                    size += len(x["line"]) + 1
-                if size:
-                    out.append((doc, k, first, number, "".join(parts)))
-            yield pd.DataFrame(out, columns=["doc_id", "chunk_no", "start_line", "end_line", "text"])
-
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return flags.mapInPandas(run, f"doc_id {kind}, chunk_no int, start_line int, end_line int, text string")
+    """Pieces of documents for a model: closed at a header or blank line once over ``target``, or at ``limit``.
+
+    A document is one row (its file is at most 20 MB, S2); its lines are folded in the JVM, and only line numbers are kept
+    until the pieces are cut.
+    """
+    text = F.regexp_replace(F.coalesce("text", F.lit("")), "\n+$", "")  # trailing empty lines are not lines
+    lines = docs.select("doc_id", F.when(text == "", F.array().cast("array<string>")).otherwise(F.split(text, "\n")).alias("lines"))
+    flags = F.transform("lines", lambda x, i: F.struct((i + 1).alias("no"), (F.length(x) + 1).alias("size"), T.is_blank(x).alias("blank"), x.rlike(QUESTION_HEADER).alias("header")))
+    kind = "array<struct<start:int,first:int,end:int>>"
+    begin = F.struct(F.lit(1).alias("start"), F.lit(1).alias("first"), F.lit(0).alias("size"), F.array().cast(kind).alias("cuts"))
+
+    def step(at, line):
+        soft = (at["size"] >= target) & (line["header"] | line["blank"])
+        close, skip = soft | (at["size"] >= limit), soft & line["blank"]
+        piece = F.struct(at["start"].alias("start"), at["first"].alias("first"), (line["no"] - 1).alias("end"))
+        closed = F.struct(line["no"].alias("start"), (line["no"] + skip.cast("int")).alias("first"), F.when(skip, 0).otherwise(line["size"]).alias("size"), F.array_append(at["cuts"], piece).alias("cuts"))
+        return F.when(close, closed).otherwise(F.struct(at["start"].alias("start"), at["first"].alias("first"), (at["size"] + line["size"]).alias("size"), at["cuts"].alias("cuts")))
+
+    def finish(at):
+        rest = F.struct(at["start"].alias("start"), at["first"].alias("first"), F.size("lines").alias("end"))
+        return F.when(at["size"] > 0, F.array_append(at["cuts"], rest)).otherwise(at["cuts"])
+
+    pieces = lines.select("doc_id", "lines", F.posexplode(F.aggregate(flags, begin, step, finish)).alias("chunk_no", "p"))
+    body = F.concat(F.array_join(F.slice("lines", F.col("p.first"), F.col("p.end") - F.col("p.first") + 1), "\n"), F.lit("\n"))
+    return pieces.select("doc_id", "chunk_no", F.col("p.start").alias("start_line"), F.col("p.end").alias("end_line"), body.alias("text"))

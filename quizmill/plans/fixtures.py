@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from functools import cached_property
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
@@ -16,6 +16,8 @@ from quizmill.operators import practice as K
 from quizmill.schemas import OPTION
 
 BANKS = 25
+#: Questions of a bank that make one document or one model output; their number grows with the data.
+GROUP = 400
 
 
 def _pick(n, *values):
@@ -71,6 +73,11 @@ class Tables:
         )
         return q.join(F.broadcast(self.bank.select(F.col("id").alias("bank_id"), "created_at")), "bank_id")
 
+    @property
+    def group(self) -> Column:
+        """The number of a question's document: some questions of one bank."""
+        return F.expr(f"(id div {BANKS} div {GROUP}) * {BANKS} + bank_id")
+
     @cached_property
     def requests(self) -> DataFrame:
         o = self.read("orders")

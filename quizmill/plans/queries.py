@@ -17,7 +17,8 @@ from quizmill.operators import model_io as M
 from quizmill.operators import practice as K
 from quizmill.operators import reports as R
 from quizmill.operators import segment as S
-from quizmill.plans.fixtures import WITH, Tables
+from quizmill.plans.fixtures import GROUP, WITH, Tables
+from quizmill.schemas import schema
 from quizmill.sources import ingest as I
 from quizmill.streaming import attempts as A
 
@@ -211,14 +212,14 @@ def r07(t: Tables) -> DataFrame:
 
 @query(
     "r08_search",
-    """, s as (select n_nationkey as query_id, substr(p_name, 1, 4) as keyword from nation join part on p_partkey = n_nationkey),
-    h as (select query_id, row_number() over w as place, count(*) over (partition by query_id) as hits, id as question_id, type, stem, answer from s join question on strip_accents(lower(stem)) like '%' || strip_accents(lower(trim(keyword))) || '%' where length(trim(keyword)) >= 2 window w as (partition by query_id order by id))
+    """, s as (select n_nationkey as query_id, substr(p_name, 1, 4) as keyword, case n_nationkey % 4 when 1 then 'SINGLE' when 2 then 'MULTIPLE' end as wanted, case n_nationkey % 3 when 1 then 3 else 5 end as most from nation join part on p_partkey = n_nationkey),
+    h as (select query_id, most, row_number() over w as place, count(*) over (partition by query_id) as hits, id as question_id, type, stem, answer from s join question on (wanted is null or wanted = type) and strip_accents(lower(stem)) like '%' || strip_accents(lower(trim(keyword))) || '%' where length(trim(keyword)) >= 2 window w as (partition by query_id order by id))
     select query_id, place, hits, question_id, case type when 'SINGLE' then '单选题' when 'MULTIPLE' then '多选题' when 'TRUE_FALSE' then '判断题' when 'ESSAY' then '简答题' when 'FILL_BLANK' then '填空题' else type end as type_name,
-    case when length(stem) > 1000 then substr(stem, 1, 1000) || '…' else stem end as stem, case when trim(answer) = '' then '（本题未提供答案）' else '答案：' || answer end as answer_note from h where place <= 5""",
+    case when length(stem) > 1000 then substr(stem, 1, 1000) || '…' else stem end as stem, case when trim(answer) = '' then '（本题未提供答案）' else '答案：' || answer end as answer_note from h where place <= most""",
 )
 def r08(t: Tables) -> DataFrame:
     words = t.read("part").select(F.col("p_partkey").alias("query_id"), F.substring("p_name", 1, 4).alias("keyword"))
-    q = t.bank.select(F.col("id").alias("query_id")).join(words, "query_id").select("query_id", "keyword", F.lit(None).cast("string").alias("bank_name"), F.lit(None).cast("string").alias("type"), F.lit(None).cast("int").alias("limit"))
+    q = t.bank.select(F.col("id").alias("query_id")).join(words, "query_id").select("query_id", "keyword", F.lit(None).cast("string").alias("bank_name"), F.when(F.col("query_id") % 4 == 1, " single ").when(F.col("query_id") % 4 == 2, "多选题").when(F.col("query_id") % 4 == 3, "no such type").alias("type"), F.when(F.col("query_id") % 3 == 1, 3).alias("limit"))
     return R.search_questions(q, t.question, t.bank)
 
 
@@ -335,6 +336,25 @@ def f_json_repair(t: Tables) -> DataFrame:
 # ---- sources
 
 
+@query(
+    "s01_bank_texts",
+    """, f as (select id, id % 5 as style, '题型：单选题' || chr(10) || stem || chr(10) || '正确答案：' || answer || chr(10) as body from question)
+    select id, case id % 2 when 0 then 'txt' else 'docx' end as ext, case when style = 4 then '' else body end as text, case when style = 4 then 40001 end as reject_code from f""",
+)
+def s01(t: Tables) -> DataFrame:
+    """A file per question: UTF-8, with a byte-order mark and other line ends, GBK, with old line ends, or empty."""
+    t.spark.conf.set("spark.sql.legacy.javaCharsets", "true")
+    try:
+        body = F.concat(F.lit("题型：单选题\n"), "stem", F.lit("\n正确答案："), "answer", F.lit("\n"))
+        style, dos = F.col("id") % 5, F.encode(F.regexp_replace(body, "\n", "\r\n"), "UTF-8")
+        content = F.when(style == 0, F.encode(body, "UTF-8")).when(style == 1, F.concat(F.lit(b"\xef\xbb\xbf"), dos)).when(style == 2, F.encode(body, "GBK")).when(style == 3, F.encode(F.translate(body, "\n", "\r"), "UTF-8")).otherwise(F.lit(b""))
+        files = t.question.select("id", F.concat(F.lit("/in/"), F.col("id").cast("string"), F.when(F.col("id") % 2 == 0, ".TXT").otherwise(".docx")).alias("path"), content.alias("content"))
+    finally:
+        t.spark.conf.set("spark.sql.legacy.javaCharsets", "false")
+    gated = I.gate_uploads(I.decode_texts(files).withColumnRenamed("path", "file_name"))
+    return gated.select(F.regexp_extract("file_name", "([0-9]+)", 1).cast("long").alias("id"), "ext", "text", "reject_code")
+
+
 @query("s02_upload_gate", " select user_id, event_id, case when coalesce(octet_length(encode(props)), 0) = 0 then 40001 when event_id % 4 = 3 then 40002 end as reject_code from events")
 def s02(t: Tables) -> DataFrame:
     e = t.read("events")
@@ -342,9 +362,10 @@ def s02(t: Tables) -> DataFrame:
     return I.gate_uploads(e.select("user_id", "event_id", ext.alias("file_name"), F.octet_length("props").alias("size"))).select("user_id", "event_id", "reject_code")
 
 
-@query("s03_clean_text", " select doc_id, md5(replace(replace(coalesce(text, ''), chr(13) || chr(10), chr(10)), chr(13), chr(10))) as digest from documents")
+@query("s03_clean_text", " select doc_id, md5(replace(replace(case when doc_id % 3 = 0 then replace(replace(coalesce(text, ''), ' ', chr(9)), chr(9), chr(10)) else replace(coalesce(text, ''), ' ', chr(9)) end, chr(13) || chr(10), chr(10)), chr(13), chr(10))) as digest from documents")
 def s03(t: Tables) -> DataFrame:
-    d = t.read("documents").select("doc_id", F.lit("txt").alias("ext"), F.coalesce("text", F.lit("")).alias("text"))
+    ext = F.when(F.col("doc_id") % 3 == 0, "docx").otherwise("txt")
+    d = t.read("documents").select("doc_id", ext.alias("ext"), F.translate(F.coalesce("text", F.lit("")), " ", "\t").alias("text"))
     return I.normalize_extracted_text(d).select("doc_id", F.md5("text").alias("digest"))
 
 
@@ -360,6 +381,13 @@ def s05(t: Tables) -> DataFrame:
     return q.select("id", I.parse_options(F.col("o")).alias("options"), I.parse_string_list(F.col("p"), empty=True).alias("points"))
 
 
+@query("s06_tables", " select id, bank_id, type, stem, options, answer, ai_status from question")
+def s06(t: Tables) -> DataFrame:
+    base = f"{I.work_dir(t.spark)}/tables-{uuid.uuid4().hex}"
+    I.write_table(t.question, base, "question")
+    return I.read_table(t.spark, base, "question").select("id", "bank_id", "type", "stem", "options", "answer", "ai_status")
+
+
 @query("s07_distinct_files", " select min(doc_id) as doc_id, md5(coalesce(text, '')) as digest from documents group by 2")
 def s07(t: Tables) -> DataFrame:
     d = t.read("documents").select("doc_id", F.format_string("%020d", "doc_id").alias("path"), F.coalesce("text", F.lit("")).cast("binary").alias("content"))
@@ -370,10 +398,12 @@ def s07(t: Tables) -> DataFrame:
 
 
 def bank_documents(t: Tables) -> DataFrame:
-    """One document per bank from its questions, in three styles; answers at the end of the third."""
-    q = t.question.where("type <> 'LEGACY'").select("id", "bank_id", "chapter_id", "type", "stem", "options", "answer")
-    per = W.Window.partitionBy("bank_id")
-    q = q.withColumn("n", F.row_number().over(per.orderBy("chapter_id", "id"))).withColumn("in_chapter", F.row_number().over(W.Window.partitionBy("bank_id", "chapter_id").orderBy("id")))
+    """Documents of up to GROUP questions of a bank, in three styles; answers at the end of the third.  Their number grows
+    with the questions, their size does not."""
+    known = F.when(F.col("type") == "LEGACY", "SINGLE").otherwise(F.col("type"))
+    q = t.question.select(t.group.alias("doc_id"), "id", "bank_id", "chapter_id", known.alias("type"), "stem", "options", "answer")
+    per = W.Window.partitionBy("doc_id")
+    q = q.withColumn("n", F.row_number().over(per.orderBy("chapter_id", "id"))).withColumn("in_chapter", F.row_number().over(W.Window.partitionBy("doc_id", "chapter_id").orderBy("id")))
     name = F.concat(F.lit("章节"), F.col("chapter_id").cast("string"))
     n, style = F.col("n").cast("string"), F.col("bank_id") % 3
     option_lines = F.array_join(F.transform("options", lambda o: F.concat(o["key"], F.lit(". "), o["text"], F.lit("\n"))), "")
@@ -387,15 +417,16 @@ def bank_documents(t: Tables) -> DataFrame:
     rows = q.withColumn("part", F.concat(head, F.when(style == 0, style0).when(style == 1, style1).otherwise(style2)))
     rows = rows.withColumn("tail", F.when((style == 2) & (answer != ""), F.concat(n, F.lit(".【答案】"), answer, F.when(F.col("n") % 5 == 0, "\n\n").otherwise("\n"))).otherwise(""))
     joined = lambda c: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", c))), lambda x: x[c]), "")
-    return rows.groupBy(F.col("bank_id").alias("doc_id")).agg(F.concat(joined("part"), F.lit("\n"), joined("tail")).alias("text"))
+    return rows.groupBy("doc_id").agg(F.concat(joined("part"), F.lit("\n"), joined("tail")).alias("text"))
 
 
-_PARSED = ", z as (select *, row_number() over (partition by bank_id order by chapter_id, id) as no from question where type <> 'LEGACY')"
+_GROUP = f"(id // 25 // {GROUP} * 25 + bank_id)"
+_PARSED = f", z as (select * replace (case when type = 'LEGACY' then 'SINGLE' else type end as type), {_GROUP} as doc_id, row_number() over (partition by {_GROUP} order by chapter_id, id) as no from question)"
 
 
 @query(
     "p10_round_trip",
-    _PARSED + " select bank_id as doc_id, no, stem as raw_stem, options as raw_options, nullif(trim(answer), '') as raw_answer, '章节' || chapter_id as chapter_name, case when bank_id % 3 < 2 then " + _TYPE_NAME.format("type") + " end as raw_type from z",
+    _PARSED + " select doc_id, no, stem as raw_stem, options as raw_options, nullif(trim(answer), '') as raw_answer, '章节' || chapter_id as chapter_name, case when bank_id % 3 < 2 then " + _TYPE_NAME.format("type") + " end as raw_type from z",
 )
 def p10(t: Tables) -> DataFrame:
     return S.parse_documents(bank_documents(t)).select("doc_id", "no", "raw_stem", "raw_options", "raw_answer", "chapter_name", "raw_type")
@@ -407,7 +438,21 @@ def p11(t: Tables) -> DataFrame:
     return S.route_documents(d, S.parse_documents(d))
 
 
-@query("p12_chunks")
+@query(
+    "p12_chunks",
+    r""", t as (select doc_id, string_split(regexp_replace(coalesce(text, ''), '\n+$', ''), chr(10)) as lines from documents where regexp_replace(coalesce(text, ''), '\n+$', '') <> ''),
+    l as (select doc_id, unnest(range(1, len(lines) + 1)) as no, unnest(lines) as line from t),
+    f as (select *, length(line) + 1 as size, regexp_full_match(line, '[\s\p{Z}]*') as blank from l),
+    w as (
+      with recursive r as (
+        select doc_id, 0::bigint as no, 0::bigint as size, 0 as chunk_no, 1::bigint as start, true as skip, '' as line from t
+        union all
+        select f.doc_id, f.no, case when r.size >= 2000 and f.blank then 0 when r.size >= 4000 then f.size else r.size + f.size end,
+               r.chunk_no + (r.size >= 2000 and f.blank or r.size >= 4000)::int, case when r.size >= 2000 and f.blank or r.size >= 4000 then f.no else r.start end, r.size >= 2000 and f.blank, f.line
+        from r join f on f.doc_id = r.doc_id and f.no = r.no + 1)
+      select * from r where no > 0)
+    select doc_id, chunk_no, min(start)::int as start_line, max(no)::int as end_line, string_agg(line || chr(10), '' order by no) filter (not skip) as text from w group by doc_id, chunk_no having count(*) filter (not skip) > 0""",
+)
 def p12(t: Tables) -> DataFrame:
     return S.chunk_documents(t.read("documents").select("doc_id", "text"))
 
@@ -628,15 +673,15 @@ def m09_pending(t: Tables) -> DataFrame:
 
 
 def extracted(t: Tables) -> DataFrame:
-    """Model outputs that hold questions, one per bank: an object with an array after other fields, in a code fence."""
+    """Model outputs that hold up to GROUP questions of a bank each: an object with an array after other fields, in a code fence."""
     q = F.struct(F.concat(F.lit(" "), F.lit("c1")).alias("chapter"), F.lit("单选题").alias("type"), F.when(F.col("id") % 3 == 0, " ").otherwise(F.col("stem")).alias("stem"), F.transform("options", lambda o: F.struct(F.lower(o["key"]).alias("key"), o["text"].alias("content"))).alias("options"), F.when(F.col("id") % 4 == 1, "Z").otherwise(F.col("answer")).alias("answer"))
-    rows = t.question.groupBy("bank_id").agg(F.array_sort(F.collect_list(F.struct("id", q.alias("q")))).alias("all"))
-    return rows.select(F.col("bank_id").alias("id"), F.concat(F.lit('Here:\n{"note": "x", "n": 2, "items": '), F.to_json(F.transform("all", lambda x: x["q"])), F.lit("}\n```")).alias("raw_text"))
+    rows = t.question.groupBy(t.group.alias("doc_id")).agg(F.array_sort(F.collect_list(F.struct("id", q.alias("q")))).alias("all"))
+    return rows.select(F.col("doc_id").alias("id"), F.concat(F.lit('Here:\n{"note": "x", "n": 2, "items": '), F.to_json(F.transform("all", lambda x: x["q"])), F.lit("}\n```")).alias("raw_text"))
 
 
 @query(
     "m05_model_questions",
-    """, x as (select bank_id as id, row_number() over (partition by bank_id order by id) - 1 as place, id as qid, stem, options, case when id % 4 = 1 then 'Z' else answer end as a from question),
+    f""", x as (select {_GROUP} as id, row_number() over (partition by {_GROUP} order by id) - 1 as place, id as qid, stem, options, case when id % 4 = 1 then 'Z' else answer end as a from question),
     y as (select *, len(options) > 0 and length(a) <= 20 and regexp_full_match(a, '[A-Za-z、,，;；/ ]*') and len(regexp_extract_all(upper(a), '[A-Z]')) > 0 and len(list_filter(regexp_extract_all(upper(a), '[A-Z]'), lambda c: not list_contains(['A', 'B', 'C', 'D'][1:len(options)], c))) > 0 as bad from x)
     select id, place, '单选题' as raw_type, stem as raw_stem, options as raw_options, case when not bad then nullif(trim(a), '') end as raw_answer, 'c1' as chapter_name, count(*) filter (qid % 3 = 0) over (partition by id) as no_stem, 0 as bad_option, count(*) filter (bad and qid % 3 <> 0) over (partition by id) as bad_answer from y qualify qid % 3 <> 0""".replace("from y qualify", "from (select * from y) qualify"),
 )
@@ -644,7 +689,7 @@ def m05(t: Tables) -> DataFrame:
     return M.validate_model_questions(M.parse_model_questions(extracted(t)))
 
 
-@query("m06_chunk_status", " select id, case when id % 5 = 0 then 'AI 输出被截断' when id % 7 = 1 then 'AI 返回了空内容' end as reason from bank")
+@query("m06_chunk_status", f" select distinct {_GROUP} as id, case when {_GROUP} % 5 = 0 then 'AI 输出被截断' when {_GROUP} % 7 = 1 then 'AI 返回了空内容' end as reason from question")
 def m06(t: Tables) -> DataFrame:
     i = F.col("id")
     parsed = M.parse_model_questions(extracted(t)).where((i % 7 != 1) | (i % 5 == 0)).withColumn("finish_reason", F.when(i % 5 == 0, "LENGTH").otherwise("stop"))
@@ -723,15 +768,18 @@ def c05(t: Tables) -> DataFrame:
 
 
 class StreamRun:
-    """The attempts in three sets of files, read as a stream of as many batches, and folders for its results."""
+    """The attempts in three sets of files, one after another, read as a stream of three batches, and folders for its
+    results.  A session's attempts are spread over all sets, so later batches bring earlier attempts of known sessions."""
 
     def __init__(self, t: Tables):
         self.t, self.spark = t, t.spark
-        base = t.spark.conf.get("spark.checkpoint.dir", None) or f"file:///tmp/checkpoints/{t.spark.sparkContext.applicationId}"
-        self.dir = f"{base}/stream-{uuid.uuid4().hex}"
-        t.attempt.withColumn("part", F.col("seq") % 3).write.partitionBy("part").parquet(f"{self.dir}/in")
-        attempts = A.read_attempts(t.spark, f"{self.dir}/in/*", 1_000_000)
-        self.graded = A.graded_stream(attempts, t.requests, t.question, t.listed)
+        self.dir = f"{I.work_dir(t.spark)}/stream-{uuid.uuid4().hex}"
+        t.attempt.withColumn("part", F.col("seq") * 7 % 3).write.partitionBy("part").parquet(f"{self.dir}/all")
+        everything = t.spark.read.schema(schema("attempt")).parquet(f"{self.dir}/all/part=*")
+        files = max(1, -(-everything.count() // 3_000_000))
+        for i in range(3):
+            t.spark.read.schema(schema("attempt")).parquet(f"{self.dir}/all/part={i}").repartition(files).write.parquet(f"{self.dir}/in/set{i}")
+        self.graded = A.graded_stream(A.read_attempts(t.spark, f"{self.dir}/in/*", files), t.requests, t.question, t.listed)
 
     def updates(self, stream: DataFrame, mode: str = "update") -> DataFrame:
         """What the stream gave, with the number of the batch."""

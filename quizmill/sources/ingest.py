@@ -21,16 +21,31 @@ def normal_text(c: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(c, "^﻿", ""), "\r\n|\r", "\n")
 
 
-def read_bank_texts(spark: SparkSession, path: str) -> DataFrame:
-    """(path, ext, size, content, text): strict UTF-8, else GBK.  Sets the session flag that GBK decoding needs.
+def decode_texts(files: DataFrame) -> DataFrame:
+    """``files`` (path, content) with ``ext``, ``size`` and ``text``: strict UTF-8, else GBK; null content is empty.
 
-    Empty files give no row: Spark's reader passes over them.
+    GBK needs a legacy flag of the session while the expression is made; the flag is put back.
     """
-    spark.conf.set("spark.sql.legacy.javaCharsets", "true")
-    files = spark.read.format("binaryFile").load(path)
-    raw = F.col("content").cast("string")
-    text = F.when(F.is_valid_utf8(raw), raw).otherwise(F.decode("content", "GBK"))
-    return files.select("path", extension(F.col("path")).alias("ext"), F.col("length").alias("size"), "content", normal_text(text).alias("text"))
+    conf, flag = files.sparkSession.conf, "spark.sql.legacy.javaCharsets"
+    before = conf.get(flag, "false")
+    content = F.coalesce("content", F.lit(b""))
+    raw = content.cast("string")
+    conf.set(flag, "true")
+    try:
+        return files.select("path", extension(F.col("path")).alias("ext"), F.length(content).cast("long").alias("size"), content.alias("content"), normal_text(F.when(F.is_valid_utf8(raw), raw).otherwise(F.decode(content, "GBK"))).alias("text"))
+    finally:
+        conf.set(flag, before)
+
+
+def read_bank_texts(spark: SparkSession, path: str) -> DataFrame:
+    """(path, ext, size, content, text) of the files that a folder, file or pattern names, empty files too."""
+    files = spark.read.format("binaryFile").load(path).select("path", "content")
+    # Spark's reader passes over empty files, so their names come from the file system
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    found = [f for top in fs.globStatus(place) or [] for f in (fs.listStatus(top.getPath()) if top.isDirectory() else [top])]
+    empty = [(f.getPath().toString(), b"") for f in found if f.isFile() and f.getLen() == 0 and f.getPath().getName()[0] not in "._"]
+    return decode_texts(files.unionByName(spark.createDataFrame(empty, "path string, content binary")) if empty else files)
 
 
 def gate_uploads(files: DataFrame) -> DataFrame:
@@ -84,3 +99,13 @@ def dedup_files(files: DataFrame) -> DataFrame:
     return files.join(first, "path", "left_semi")
 
 
+
+
+def work_dir(spark: SparkSession) -> str:
+    """The folder shared by driver and executors that ``spark.checkpoint.dir`` names; a local one in local mode only."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return f"file:///tmp/checkpoints/{spark.sparkContext.applicationId}"

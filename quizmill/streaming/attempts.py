@@ -45,30 +45,44 @@ def merge_records(old: DataFrame, new: DataFrame) -> DataFrame:
 class RecordStore:
     """Records in folders by batch; each batch writes only the records it touches, with what was known of them.
 
-    A batch that is run again writes the same folder again, so the store is right after a restart.
+    After every ``compact`` batches all records are written as one snapshot, and what is older than the snapshot before
+    is deleted; so a batch reads one snapshot and a bounded number of batches, however long the stream runs.  A batch
+    that is run again writes the same folder again, so the store is right after a restart.
     """
 
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path
+    def __init__(self, spark: SparkSession, path: str, compact: int = 16):
+        self.spark, self.path, self.compact = spark, path, compact
+        self._path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+        self._fs = self._path(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
-    def _all(self, before: int | None = None) -> DataFrame:
-        try:
-            rows = self.spark.read.option("basePath", self.path).schema(RECORDS + ", batch long").parquet(self.path)
-        except Exception as e:  # the first batch has nothing to read
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-            rows = self.spark.createDataFrame([], RECORDS + ", batch long")
-        return rows if before is None else rows.where(F.col("batch") < before)
+    def _folders(self, kind: str) -> list[int]:
+        """Numbers of the finished folders of a kind."""
+        done = self._fs.globStatus(self._path(f"{self.path}/{kind}=*/_SUCCESS")) or []
+        return sorted(int(f.getPath().getParent().getName().split("=")[1]) for f in done)
 
     def records(self, before: int | None = None) -> DataFrame:
-        """The latest state of every record."""
-        latest = F.max_by(F.struct(*[c for c in self.spark.createDataFrame([], RECORDS).columns if c not in ("session_id", "question_id")]), "batch")
-        return self._all(before).groupBy("session_id", "question_id").agg(latest.alias("r")).select("session_id", "question_id", "r.*")
+        """The latest state of every record, or what it was before a batch."""
+        known = lambda i: before is None or i < before
+        snapshot = max(filter(known, self._folders("snapshot")), default=None)
+        batches = [i for i in self._folders("batch") if known(i) and (snapshot is None or i > snapshot)]
+        folders = [(f"snapshot={snapshot}", snapshot)] * (snapshot is not None) + [(f"batch={i}", i) for i in batches]
+        rows = self.spark.createDataFrame([], RECORDS + ", batch long")
+        for name, i in folders:
+            rows = rows.unionByName(self.spark.read.schema(RECORDS).parquet(f"{self.path}/{name}").withColumn("batch", F.lit(i).cast("long")))
+        latest = F.max_by(F.struct(*[c for c in rows.columns if c not in ("session_id", "question_id", "batch")]), "batch")
+        return rows.groupBy("session_id", "question_id").agg(latest.alias("r")).select("session_id", "question_id", "r.*")
 
     def write_batch(self, graded: DataFrame, batch: int) -> None:
         new = fold_batch(graded)
         known = self.records(before=batch).join(new.select("session_id", "question_id"), ["session_id", "question_id"], "left_semi")
         merge_records(known, new).write.mode("overwrite").parquet(f"{self.path}/batch={batch}")
+        snapshots = [i for i in self._folders("snapshot") if i < batch]
+        if batch - max(snapshots, default=-1) >= self.compact:
+            self.records(before=batch + 1).write.mode("overwrite").parquet(f"{self.path}/snapshot={batch}")
+            for kind in ("batch", "snapshot"):
+                for i in self._folders(kind):
+                    if snapshots and (i < snapshots[-1] or kind == "batch" and i == snapshots[-1]):
+                        self._fs.delete(self._path(f"{self.path}/{kind}={i}"), True)
 
 
 def record_stream(graded: DataFrame, store: RecordStore, checkpoint: str):

@@ -9,9 +9,12 @@ def test_read_texts(spark, tmp_path):
     for name, raw in {"a.txt": "中文\r\nx\ry".encode(), "b.TXT": b"\xef\xbb\xbf" + "头\n".encode(), "c.txt": "国标".encode("gbk"), "d.txt": b""}.items():
         (tmp_path / name).write_bytes(raw)
     rows = {r.path.rsplit("/", 1)[1]: r for r in I.read_bank_texts(spark, str(tmp_path)).collect()}
-    assert {k: r.text for k, r in rows.items()} == {"a.txt": "中文\nx\ny", "b.TXT": "头\n", "c.txt": "国标"}
+    assert {k: r.text for k, r in rows.items()} == {"a.txt": "中文\nx\ny", "b.TXT": "头\n", "c.txt": "国标", "d.txt": ""}
     assert rows["b.TXT"].ext == "txt"
-    assert I.dedup_files(I.read_bank_texts(spark, str(tmp_path))).count() == 3
+    assert I.dedup_files(I.read_bank_texts(spark, str(tmp_path))).count() == 4
+    gated = {r.file_name.rsplit("/", 1)[1]: r.reject_code for r in I.gate_uploads(I.read_bank_texts(spark, f"{tmp_path}/*.txt").withColumnRenamed("path", "file_name")).collect()}
+    assert gated == {"a.txt": None, "c.txt": None, "d.txt": 40001}
+    assert spark.conf.get("spark.sql.legacy.javaCharsets") == "false"
 
 
 def test_gate(spark):

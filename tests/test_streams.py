@@ -7,9 +7,30 @@ from pyspark.sql import functions as F
 from quizmill.operators import practice as K
 from quizmill.plans.fixtures import Tables
 from quizmill.streaming import attempts as A
+from quizmill.plans.queries import StreamRun
 from tests.compare import rows_of
 
 
+def test_registered_streams_see_three_batches(spark, sf_dir):
+    t = Tables(spark, sf_dir)
+    run = StreamRun(t)
+    rows = run.updates(A.session_progress(run.graded, t.session))
+    assert {r.batch for r in rows.select("batch").distinct().collect()} == {0, 1, 2}
+    again = rows.groupBy("session_id").agg(F.count_distinct("batch").alias("n")).where("n > 1").count()
+    assert again > 0
+
+
+def test_compacted_store_is_the_batch_fold(spark, sf_dir, tmp_path):
+    t = Tables(spark, sf_dir)
+    store = A.RecordStore(spark, f"{tmp_path}/records", compact=2)
+    graded = t.graded.withColumn("set", F.col("seq") * 7 % 6).persist()
+    for i in (0, 1, 2, 3, 4, 5, 5):  # later sets bring earlier attempts; the last batch runs twice
+        store.write_batch(graded.where(F.col("set") == i).drop("set"), i)
+    assert rows_of(store.records().drop("last_seq")) == rows_of(t.record)
+    assert store._folders("snapshot") == [3, 5] and store._folders("batch") == [4, 5]
+    graded.unpersist()
+
+
 def parts(spark, t, path):
     for i in range(3):
         t.attempt.where(F.col("seq") % 3 == i).coalesce(1).write.parquet(f"{path}/part{i}")
