@@ -28,10 +28,12 @@ def _importable(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, as the session names it; a local one only where none is named."""
+    """The folder that driver and executors share, as the session names it; in local mode a local one if none is named."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return f"file:///tmp/checkpoints/{spark.sparkContext.applicationId}"
 
 

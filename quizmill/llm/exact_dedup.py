@@ -59,6 +59,7 @@ def drop_exact_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with the one that stays of its group of equal texts."""
     return exact_duplicates(table(spark, sf_dir, "documents"))
 
 

@@ -266,6 +266,7 @@ def predict_languages(docs: DataFrame, model: dict) -> DataFrame:
 
 
 def op8_langid(spark: SparkSession, sf_dir: str, model_path: str | None = None) -> DataFrame:
+    """The language of every document, learnt from the languages of the documents that are not held out."""
     docs = table(spark, sf_dir, "documents")
     model = train_languages(docs.where(fold("doc_id", 4) != 2), model_path or default_model())
     rows = docs.select("doc_id", (fold("doc_id", 4) == 2).alias("held_out"), "text")

@@ -361,4 +361,5 @@ def default_model() -> str:
 
 
 def op6_sentencepiece(spark: SparkSession, sf_dir: str, model_path: str | None = None) -> DataFrame:
+    """Every document's token ids and the text that they decode to, as digests."""
     return piece_digests(table(spark, sf_dir, "documents"), model_path or default_model())

@@ -222,7 +222,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, radius: int = 4) -> DataF
 
     Fingerprints link at ``radius`` or fewer differing bits; a component's id is the smallest doc_id in it.  Equal
     fingerprints are one point from the start, so copies cost one row.  Null and empty texts, and texts of white space,
-    have fingerprint 0 and link like any other.  Repeated rows are returned as often; null doc_ids take no part in the
+    have fingerprint 0 and link like any other.  ``doc_id`` is a whole number.  Repeated rows are returned as often; null doc_ids take no part in the
     naming of a component, and get a null id if they are alone.  Other columns are ignored.
     """
     marked = save(fingerprints(docs, shingle), "fingerprints")
@@ -403,4 +403,5 @@ def drop_near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float =
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's fingerprint and the group of documents that it is linked to."""
     return near_duplicates(table(spark, sf_dir, "documents"))

@@ -283,9 +283,10 @@ def brute_force_repeats(docs, window=50):
     return out
 
 
-@pytest.mark.parametrize("block", [700, 2_000_000])
-def test_repeats_match_brute_force(spark, monkeypatch, block):
+@pytest.mark.parametrize(("block", "hot"), [(700, 12), (700, 1), (2_000_000, 12)])
+def test_repeats_match_brute_force(spark, monkeypatch, block, hot):
     monkeypatch.setattr(suffix_dedup, "BLOCK", block)
+    monkeypatch.setattr(suffix_dedup, "HOT", hot)
     rng = random.Random(block)
     shared = ["".join(rng.choice("ab ") for _ in range(n)) for n in (49, 50, 51, 90, 200)] + ["abc" * 60, "é" * 40]
     docs = [(i, "".join(rng.choice([rng.choice(shared), "".join(rng.choice("abcdefg ") for _ in range(rng.randint(0, 60)))]) for _ in range(rng.randint(0, 6)))) for i in range(60)]
