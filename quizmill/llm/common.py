@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import uuid
 from collections.abc import Callable
+from contextlib import contextmanager
 from pathlib import Path
 from string import ascii_lowercase, ascii_uppercase
 
@@ -37,12 +38,19 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file:///tmp/checkpoints/{spark.sparkContext.applicationId}"
 
 
-def save(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
+#: Folders written inside open ``scratch`` blocks.
+_scratch: list[list[DataFrame]] = []
+
+
+def save(df: DataFrame, name: str, compression: str = "snappy", keep: bool = False) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts lineage, survives a lost executor."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", compression).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    if _scratch and not keep:
+        _scratch[-1].append(out)
+    return out
 
 
 def drop_saved(df: DataFrame) -> None:
@@ -55,6 +63,17 @@ def drop_saved(df: DataFrame) -> None:
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+@contextmanager
+def scratch():
+    """What is saved inside, and not to be kept, is deleted at the end: for results that have been written themselves."""
+    _scratch.append([])
+    try:
+        yield
+    finally:
+        for df in _scratch.pop():
+            drop_saved(df)
+
+
 def ascii_lower(col: Column) -> Column:
     """Lower-case A-Z only."""
     return F.translate(col, ascii_uppercase, ascii_lowercase)

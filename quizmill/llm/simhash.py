@@ -26,7 +26,7 @@ BUCKET = 256
 #: Pairs of (row, word of 64 rows) that are compared at once.
 SLAB = 1 << 15
 #: One row in so many is looked at for common shingles; how often one must stand there to count as common, and how many count.
-SAMPLE, COMMON, MOST_COMMON = 8, 8, 200_000
+SAMPLE, COMMON, MOST_COMMON = 32, 4, 200_000
 
 
 def shingle_hashes(text: str | None, shingle: int) -> np.ndarray:
@@ -304,15 +304,16 @@ def _least_shared(n: str, m: str, similarity: float):
     return F.ceil(F.lit(similarity / (1 + similarity)) * (F.col(n) + F.col(m)) - 1e-9) - rest
 
 
-def centres(rows: DataFrame, radius: int, similarity: float) -> DataFrame:
-    """``rows`` (h, uid, n, fp) to pairs (uid, centre, n): each row with the middle of its bucket, if they look alike.
+def neighbours(rows: DataFrame, radius: int, similarity: float) -> DataFrame:
+    """``rows`` (h, uid, n, fp) to those whose bucket (equal h) holds another, with ``centre``: the middle of the bucket, if
+    it looks like the row.
 
     The middle is the row whose fingerprint is closest to the majority of the bucket's bits.  A bucket of any size is read
-    in pieces of CHUNK rows, each with a middle of its own.  This only finds pairs that are worth a comparison first.
+    in pieces of CHUNK rows, each with a middle of its own.  Middles only say which pairs are worth a comparison first.
     """
 
     def run(batches: Iterator[pa.RecordBatch]):
-        rest = None
+        rest = before = None  # the bucket of the last row that has gone out
         for b in joined(batches, [None]):
             if b is not None:
                 cols = [c.to_numpy() for c in b.columns]
@@ -321,30 +322,35 @@ def centres(rows: DataFrame, radius: int, similarity: float) -> DataFrame:
                 continue
             h = rest[0]
             start = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
-            stop = len(h) if b is None or len(h) - start[-1] >= CHUNK else start[-1]
-            (h, uid, n, fp), rest = [c[:stop] for c in rest], [c[stop:] for c in rest]
+            stop = len(h) if b is None or len(h) - start[-1] >= CHUNK else int(start[-1])
+            if not stop:
+                continue
+            cols, rest = [c[:stop] for c in rest], [c[stop:] for c in rest]
             start = start[start < stop]
             size = np.diff(np.append(start, stop))
-            own = np.flatnonzero(np.repeat(size, size) > 1)
-            size = size[size > 1]
-            # pieces of buckets, in turn for as many as are worth a slab
-            piece = np.repeat(np.arange(len(size)), size) * 2**32 + (np.arange(len(own)) - np.repeat(np.cumsum(size) - size, size)) // CHUNK
-            start = np.flatnonzero(np.append(True, piece[1:] != piece[:-1])) if len(own) else own
-            for k in range(0, len(start), 4096):
-                some = own[start[k] : start[k + 4096] if k + 4096 < len(start) else len(own)]
-                first = start[k : k + 4096] - start[k]
-                size = np.diff(np.append(first, len(some)))
-                bits = np.unpackbits(fp[some].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-                most = np.add.reduceat(bits, first, axis=0, dtype=np.int32) * 2 > size[:, None]
-                middle = np.repeat(np.packbits(most, axis=1, bitorder="little").view("<u8")[:, 0], size)
-                away = np.bitwise_count(fp[some].view(np.uint64) ^ middle).astype(np.int64) * len(some) + np.arange(len(some))
-                centre = some[np.repeat(np.minimum.reduceat(away, first) % len(some), size)]
-                close = (np.bitwise_count(fp[some] ^ fp[centre]) <= radius) & (some != centre)
-                close &= np.minimum(n[some], n[centre]) >= similarity * np.maximum(n[some], n[centre]) - 1e-9
-                a, b_ = some[close], centre[close]
-                yield pa.RecordBatch.from_arrays([pa.array(uid[a]), pa.array(uid[b_]), pa.array(n[a])], names=["uid", "centre", "n"])
-
-    return rows.select("h", "uid", "n", "fp").repartition("h").sortWithinPartitions("h").mapInArrow(run, "uid long, centre long, n int")
+            several = size > 1
+            several[0] |= before is not None and before == cols[0][0]
+            before = cols[0][-1]
+            h, uid, n, fp = (c[np.repeat(several, size)] for c in cols)
+            size = size[several]
+            inside = np.arange(len(h)) - np.repeat(np.cumsum(size) - size, size)
+            first = np.flatnonzero(inside % CHUNK == 0)  # of each piece
+            for k in range(0, len(first), 4096):
+                end = first[k + 4096] if k + 4096 < len(first) else len(h)
+                yield pieces(*(c[first[k] : end] for c in (h, uid, n, fp)), first[k : k + 4096] - first[k])
+
+    def pieces(h, uid, n, fp, first):
+        size = np.diff(np.append(first, len(h)))
+        bits = np.unpackbits(fp.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        most = np.add.reduceat(bits, first, axis=0, dtype=np.int32) * 2 > size[:, None]
+        middle = np.repeat(np.packbits(most, axis=1, bitorder="little").view("<u8")[:, 0], size)
+        away = np.bitwise_count(fp.view(np.uint64) ^ middle).astype(np.int64) * len(h) + np.arange(len(h))
+        centre = np.repeat(np.minimum.reduceat(away, first) % len(h), size)
+        close = (np.bitwise_count(fp ^ fp[centre]) <= radius) & (uid != uid[centre])
+        close &= np.minimum(n, n[centre]) >= similarity * np.maximum(n, n[centre]) - 1e-9
+        return pa.RecordBatch.from_arrays([pa.array(h), pa.array(uid), pa.array(n), pa.array(fp), pa.array(uid[centre], mask=~close)], names=["h", "uid", "n", "fp", "centre"])
+
+    return rows.select("h", "uid", "n", "fp").repartition("h").sortWithinPartitions("h").mapInArrow(run, "h long, uid long, n int, fp long, centre long")
 
 
 def near_links(rows: DataFrame, shingle: int, similarity: float) -> DataFrame:
@@ -356,16 +362,16 @@ def near_links(rows: DataFrame, shingle: int, similarity: float) -> DataFrame:
     and the close pairs across components are verified, all of them.
     """
     radius = wide_radius(similarity)
-    marked = save(describe(rows, shingle, similarity), "described")
-    buckets = marked.select(F.explode("prefix").alias("h"), "uid", "n", "fp")
-    first = centres(buckets, radius, similarity).groupBy("uid", "centre").agg(F.count(F.lit(1)).alias("c"), F.first("n").alias("n"))
+    searched = describe(rows, shingle, similarity).select(F.explode("prefix").alias("h"), "uid", "n", "fp")
+    shared = save(neighbours(searched, radius, similarity), "shared")
+    first = shared.where("centre is not null").groupBy("uid", "centre").agg(F.count(F.lit(1)).alias("c"), F.first("n").alias("n"))
     # pairs of one or two shingles are not worth a comparison yet; what is missed here is found below
     first = first.where(F.col("c") > F.lit((1 - similarity) / 4) * F.col("n")).select(F.greatest("uid", "centre").alias("a"), F.least("uid", "centre").alias("b"))
     named = connected_components(verified(save(first.distinct(), "pairs"), rows, shingle, similarity))
 
-    placed = marked.select("uid", "n", "fp", "prefix").join(named, F.col("uid") == F.col("node"), "left").select("uid", "n", "fp", F.coalesce("component", "uid").alias("c"), F.explode("prefix").alias("h"))
-    open_ = placed.groupBy("h").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count(F.lit(1)).alias("size")).where("lo < hi").select("h", "size")
-    left = placed.withColumnRenamed("c", "component").join(open_, "h")
+    placed = shared.join(named, F.col("uid") == F.col("node"), "left").select("h", "uid", "n", "fp", F.coalesce("component", "uid").alias("component"))
+    open_ = placed.groupBy("h").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("size")).where("lo < hi").select("h", "size")
+    left = placed.join(open_, "h")
 
     def across(cols, groups):
         found = [(np.zeros(0, np.int64),) * 2]
@@ -377,11 +383,11 @@ def near_links(rows: DataFrame, shingle: int, similarity: float) -> DataFrame:
         a, b = (np.concatenate(x) for x in zip(*found, strict=True))
         return np.maximum(cols["uid"][a], cols["uid"][b]), np.minimum(cols["uid"][a], cols["uid"][b])
 
-    pairs = meet(left, ["h"], ["uid", "n", "fp", "component"], across).groupBy("a", "b").agg(F.count(F.lit(1)).alias("c"))
-    sizes = marked.select(F.col("uid").alias("u"), "n")
-    pairs = save(pairs, "pairs")
+    pairs = save(meet(left, ["h"], ["uid", "n", "fp", "component"], across).groupBy("a", "b").agg(F.count(F.lit(1)).alias("c")), "pairs")
+    sizes = shared.groupBy(F.col("uid").alias("u")).agg(F.first("n").alias("n"))
     pairs = pairs.join(sizes.select(F.col("u").alias("a"), F.col("n").alias("na")), "a").join(sizes.select(F.col("u").alias("b"), F.col("n").alias("nb")), "b").where(F.col("c") >= _least_shared("na", "nb", similarity)).select("a", "b")
     more = verified(save(pairs, "pairs"), rows, shingle, similarity)
+    drop_saved(shared)
     return connected_components(named.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
 
 

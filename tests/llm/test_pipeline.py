@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from pathlib import Path
 
 import corpus_pipeline as P
 from quizmill.llm import pieces
@@ -50,5 +51,8 @@ def test_stages(spark, sf_dir, documents):
 
 
 def test_run_is_all_stages(spark, sf_dir):
+    shared = Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file://"))
+    before = set(shared.glob("*"))
     rows = P.run(spark, sf_dir)
+    assert {p.name.split("-")[0] for p in set(shared.glob("*")) - before} == {"sentencepiece"}
     assert rows.count() > 0 and "ids" in rows.columns
