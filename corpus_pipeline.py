@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quizmill.llm.common import fold, save, table
+from quizmill.llm.common import drop_saved, fold, save, scratch, table
 from quizmill.llm.decontaminate import decontaminate
 from quizmill.llm.exact_dedup import drop_exact_duplicates
 from quizmill.llm.langid import UNDETERMINED, predict_languages, train_languages
@@ -32,7 +32,8 @@ def keep_distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def keep_unlike(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates (five words, similarity 0.8): the one with the smallest doc_id."""
+    """One document of each group of near duplicates (five-word shingles, Jaccard similarity 0.8 or more): the one with the
+    smallest doc_id."""
     return drop_near_duplicates(docs)
 
 
@@ -59,7 +60,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, last = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
-        docs = save(stage(spark, docs, sf_dir), name)
+        with scratch():  # what a stage wrote on the way goes, and what the stage before it gave
+            docs = save(stage(spark, docs, sf_dir), name, keep=True)
+        if last is not None:
+            drop_saved(last)
+        last = docs
     return docs

@@ -6,6 +6,7 @@ of a SQL statement that defines the same tables.
 
 from __future__ import annotations
 
+import uuid
 from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,6 +15,7 @@ from pyspark.sql import window as W
 
 from quizmill.operators import practice as K
 from quizmill.schemas import OPTION
+from quizmill.sources.ingest import work_dir
 
 BANKS = 25
 #: Questions of a bank that make one document or one model output; their number grows with the data.
@@ -36,6 +38,12 @@ class Tables:
     def read(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
+    def written(self, df: DataFrame, name: str) -> DataFrame:
+        """A table that several parts of a query read, made once, in the shared folder."""
+        path = f"{work_dir(self.spark)}/{name}-{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
     @cached_property
     def bank(self) -> DataFrame:
         n = self.read("nation")

@@ -264,7 +264,8 @@ _ACC = "case when {a} > 0 then floor(({c}::float * 100::float / {a}::float)::flo
     left join (select session_id, list({{'place': place, 'question_id': question_id, 'user_answer': user_answer, 'standard_answer': standard_answer}} order by place) as wrong_items from wi group by 1) using (session_id)""",
 )
 def r12(t: Tables) -> DataFrame:
-    return R.session_result(t.progress, K.type_stats(t.listed, t.question, t.record), K.session_wrong_items(t.record, t.question))
+    record = t.written(t.record, "record")  # graded once for all three parts
+    return R.session_result(K.complete_sessions(t.session, record), K.type_stats(t.listed, t.question, record), K.session_wrong_items(record, t.question))
 
 
 @query("r13_wrong_by_type", ", n as (select w.bank_id, type, count(*) as cnt from wrong w join question q on q.id = question_id where resolved = 0 group by 1, 2) select *, sum(cnt) over (partition by bank_id) as total, row_number() over (partition by bank_id order by cnt desc, type) as place from n")
@@ -308,15 +309,16 @@ def f_answers(t: Tables) -> DataFrame:
 
 @query(
     "f_failure_classes",
-    """, m as (select event_id, case event_id % 5 when 0 then 'HTTP 401 Unauthorized' when 1 then '429: insufficient balance' when 2 then 'Rate limit reached' when 3 then '连接超时' else '账户欠费' end as message from events)
-    select event_id, case when event_id % 5 in (1, 4) then 'AI 账户余额不足或配额已用完，请充值后重试' when event_id % 5 = 0 then 'AI 账号鉴权失败，请到「设置」页检查 API Key 是否填写正确' when event_id % 5 = 2 then 'AI 请求过于频繁被限流，请稍等几分钟再重试' end as reason,
-    '[' || replace(message, '401', '***') || ']' as masked from m""",
+    f""", m as (select event_id, 'Call ' || event_id || ' of ' || upper(event_type) || ' failed: ' || case event_id % 5 when 0 then 'Unauthorized' when 1 then 'quota' when 2 then 'Rate Limit reached' when 3 then '连接超时' else '账户欠费' end as message from events)
+    select event_id, case {" ".join(f"when {' or '.join(f'contains(lower(message), $${w}$$)' for w in words)} then '{told}'" for words, told in T.FAILURES)} end as reason,
+    '[' || replace(message, 'failed', '***') || ']' as masked from m""",
 )
 def f_failures(t: Tables) -> DataFrame:
     e = F.col("event_id") % 5
-    m = F.when(e == 0, "HTTP 401 Unauthorized").when(e == 1, "429: insufficient balance").when(e == 2, "Rate limit reached").when(e == 3, "连接超时").otherwise("账户欠费")
+    kind = F.when(e == 0, "Unauthorized").when(e == 1, "quota").when(e == 2, "Rate Limit reached").when(e == 3, "连接超时").otherwise("账户欠费")
+    m = F.concat(F.lit("Call "), F.col("event_id").cast("string"), F.lit(" of "), F.upper("event_type"), F.lit(" failed: "), kind)
     rows = t.read("events").select("event_id", m.alias("m"))
-    return rows.select("event_id", T.classify_failure(F.col("m")).alias("reason"), F.concat(F.lit("["), T.mask_secret(F.col("m"), F.lit("401"), F.lit("")), F.lit("]")).alias("masked"))
+    return rows.select("event_id", T.classify_failure(F.col("m")).alias("reason"), F.concat(F.lit("["), T.mask_secret(F.col("m"), F.lit("failed"), F.lit("")), F.lit("]")).alias("masked"))
 
 
 @query("f_fingerprints", " select id, sha256(lower(regexp_replace(stem, '[\\s\\p{Z}\\p{P}]+', '', 'g')) || '||' || coalesce(array_to_string(list_transform(options, lambda o: o.key || '=' || lower(regexp_replace(o.text, '[\\s\\p{Z}\\p{P}]+', '', 'g'))), ';'), '') || '||' || lower(regexp_replace(answer, '[\\s\\p{Z}\\p{P}]+', '', 'g'))) as fingerprint from question")
@@ -326,10 +328,19 @@ def f_fingerprints(t: Tables) -> DataFrame:
 
 @query(
     "f_json_repair",
-    r""" select id, '{"answer": "A", "analysis": "\\\\frac{1}{2} of ' || stem || '"}' as repaired from question""",
+    r""" select id, case id % 4 when 0 then '{"answer": "A", "analysis": "\\frac{1}{2} of ' || stem || '"}' when 1 then '{"analysis": "line \n and \" of ' || stem || '"}'
+    when 2 then '{"analysis": "\u4e2d \\alpha of ' || stem || '"}' else '[{"analysis": "\\beta \b1 \/ of ' || stem || '"}]' end as repaired from question""",
 )
 def f_json_repair(t: Tables) -> DataFrame:
-    raw = F.concat(F.lit('```json\n{"answer": "A", "analysis": "\\\\\\frac{1}{2} of '), "stem", F.lit('"}\n```'))
+    """In a fence with an escape that JSON does not know, after some words with good escapes, a code point, an array."""
+    k, n = F.col("id") % 4, F.col("stem")
+    text = lambda before, after: F.concat(F.lit(before), n, F.lit(after))
+    raw = (
+        F.when(k == 0, text('```json\n{"answer": "A", "analysis": "\\frac{1}{2} of ', '"}\n```'))
+        .when(k == 1, text('Sure:\n{"analysis": "line \\n and \\" of ', '"}'))
+        .when(k == 2, text('{"analysis": "\\u4e2d \\alpha of ', '"}'))
+        .otherwise(text(' [{"analysis": "\\beta \\b1 \\/ of ', '"}]'))
+    )
     return t.question.select("id", T.repair_backslashes(T.strip_to_json(raw)).alias("repaired"))
 
 
@@ -438,6 +449,12 @@ def p11(t: Tables) -> DataFrame:
     return S.route_documents(d, S.parse_documents(d))
 
 
+@query("p11_routes", _PARSED + " select doc_id, count(*) as questions, true as usable from z group by 1")
+def p11_routes(t: Tables) -> DataFrame:
+    d = bank_documents(t)
+    return S.route_documents(d, S.parse_documents(d))
+
+
 @query(
     "p12_chunks",
     r""", t as (select doc_id, string_split(regexp_replace(coalesce(text, ''), '\n+$', ''), chr(10)) as lines from documents where regexp_replace(coalesce(text, ''), '\n+$', '') <> ''),
@@ -547,10 +564,14 @@ def b07(t: Tables) -> DataFrame:
     return B.dedup_questions(_repeated(t), "id").select("id")
 
 
-@query("b08_merge_corpora", _REP + " select id from rep where copy = 1")
+@query(
+    "b08_merge_corpora",
+    _REP + """, ab as (select 0 as c, * from rep where id % 3 <> 0 union all select 1 as c, * from rep where id % 3 <> 1)
+    select id from ab qualify row_number() over (partition by id % 50, options, answer order by c, id) = 1""",
+)
 def b08(t: Tables) -> DataFrame:
     r = _repeated(t)
-    return B.merge_corpora(r, r, "id").select("id")
+    return B.merge_corpora(r.where("id % 3 <> 0"), r.where("id % 3 <> 1"), "id").select("id")
 
 
 @query(
