@@ -178,11 +178,12 @@ def link(points: DataFrame, radius: int = 4) -> DataFrame:
     return meet(keyed, ["k", "m"], ["fp", "rep"], out)
 
 
-def meet(rows: DataFrame, keys: list[str], columns: list[str], compare) -> DataFrame:
+def meet(rows: DataFrame, keys: list[str], columns: list[str], compare, names: tuple[str, ...] = ("a", "b")) -> DataFrame:
     """Bring the ``rows`` of a bucket (equal ``keys``, long or int) together; ``size`` is its number of rows, null if small.
 
     Buckets of over CHUNK rows are dealt in chunks, and every two chunks meet in one task.  ``compare`` gets the columns of
-    some buckets (and ``own``, a row's chunk), and sorted group numbers, and returns the ends of edges (a, b).
+    some buckets (and ``own``, a row's chunk), and sorted group numbers, and returns the ends of edges (a, b), or columns
+    of whole numbers by other ``names``.
     """
     own = F.pmod(F.xxhash64("fp"), F.col("c")).cast("int")
     dealt = rows.withColumn("c", F.ceil(F.coalesce("size", F.lit(1)) / CHUNK).cast("int")).withColumn("own", own)
@@ -210,11 +211,11 @@ def meet(rows: DataFrame, keys: list[str], columns: list[str], compare) -> DataF
 
     def out(cols, groups):
         if len(groups) > 1:
-            a, b = compare(dict(zip([*places, "own", *columns], cols, strict=True)), groups)
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+            made = compare(dict(zip([*places, "own", *columns], cols, strict=True)), groups)
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in made], names=list(names))
 
     parts = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
-    return dealt.repartition(parts, *places).sortWithinPartitions(*places).mapInArrow(run, "a long, b long")
+    return dealt.repartition(parts, *places).sortWithinPartitions(*places).mapInArrow(run, ", ".join(f"{x} long" for x in names))
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 4, radius: int = 4) -> DataFrame:
@@ -297,11 +298,11 @@ def verified(pairs: DataFrame, rows: DataFrame, shingle: int, similarity: float)
     return links
 
 
-def _least_shared(n: str, m: str, similarity: float):
+def least_shared(n: np.ndarray, m: np.ndarray, similarity: float) -> np.ndarray:
     """How many search shingles two sets of this similarity share at least: they share similarity / (1 + similarity) of
     both sizes, and beyond the search shingles of the one whose search ends first there is only the rest of that one."""
-    rest = F.ceil(F.lit(similarity) * F.greatest(n, m) - 1e-9) - 1
-    return F.ceil(F.lit(similarity / (1 + similarity)) * (F.col(n) + F.col(m)) - 1e-9) - rest
+    rest = np.ceil(similarity * np.maximum(n, m) - 1e-9) - 1
+    return (np.ceil(similarity / (1 + similarity) * (n + m) - 1e-9) - rest).astype(np.int64)
 
 
 def neighbours(rows: DataFrame, radius: int, similarity: float) -> DataFrame:
@@ -381,11 +382,11 @@ def near_links(rows: DataFrame, shingle: int, similarity: float) -> DataFrame:
             ok &= (cols["i"][a] == cols["j"][a]) | (cols["own"][a] != cols["own"][b])
             found.append((a[ok], b[ok]))
         a, b = (np.concatenate(x) for x in zip(*found, strict=True))
-        return np.maximum(cols["uid"][a], cols["uid"][b]), np.minimum(cols["uid"][a], cols["uid"][b])
+        need = least_shared(cols["n"][a].astype(np.int64), cols["n"][b].astype(np.int64), similarity)
+        return np.maximum(cols["uid"][a], cols["uid"][b]), np.minimum(cols["uid"][a], cols["uid"][b]), need
 
-    pairs = save(meet(left, ["h"], ["uid", "n", "fp", "component"], across).groupBy("a", "b").agg(F.count(F.lit(1)).alias("c")), "pairs")
-    sizes = shared.groupBy(F.col("uid").alias("u")).agg(F.first("n").alias("n"))
-    pairs = pairs.join(sizes.select(F.col("u").alias("a"), F.col("n").alias("na")), "a").join(sizes.select(F.col("u").alias("b"), F.col("n").alias("nb")), "b").where(F.col("c") >= _least_shared("na", "nb", similarity)).select("a", "b")
+    pairs = meet(left, ["h"], ["uid", "n", "fp", "component"], across, ("a", "b", "need"))
+    pairs = pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("c"), F.first("need").alias("need")).where("c >= need").select("a", "b")
     more = verified(save(pairs, "pairs"), rows, shingle, similarity)
     drop_saved(shared)
     return connected_components(named.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
