@@ -9,8 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from .chat import OP1_SQL, op1_chat_format
 from .decontaminate import OP10_SQL, op10_decontaminate
 from .exact_dedup import OP9_SQL, op9_exact_dedup
+from .filter_audit import OP12_SQL, op12_filter_audit
 from .hmm import op5_hmm_lm
 from .langid import op8_langid
+from .lexical import OP13_SQL, op13_ranked_search
 from .licenses import OP7_SQL, op7_licenses
 from .pieces import op6_sentencepiece
 from .quality import op2_quality
@@ -30,8 +32,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_langid": op8_langid,
         "op9_exact_dedup": op9_exact_dedup,
         "op10_decontaminate": op10_decontaminate,
+        "op12_filter_audit": op12_filter_audit,
+        "op13_ranked_search": op13_ranked_search,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_chat_format": OP1_SQL, "op7_licenses": OP7_SQL, "op9_exact_dedup": OP9_SQL, "op10_decontaminate": OP10_SQL}
+    return {"op1_chat_format": OP1_SQL, "op7_licenses": OP7_SQL, "op9_exact_dedup": OP9_SQL, "op10_decontaminate": OP10_SQL, "op12_filter_audit": OP12_SQL, "op13_ranked_search": OP13_SQL}
