@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
-from .common import gram_hashes, gram_texts, plain_words, save, table
+from .common import free_name, gram_hashes, gram_texts, plain_words, save, table
 
 #: A table of at most this many short rows may be broadcast; a larger one is joined by a shuffle.
 BROADCAST_ROWS = 200_000
@@ -68,9 +68,10 @@ def decontaminate(docs: DataFrame, items: DataFrame) -> DataFrame:
 
     Each row is judged by its own text: neither null nor repeated doc_ids matter.  Null and empty texts stay.
     """
-    held = save(docs.withColumn("_uid", F.monotonically_increasing_id()), "rows")
-    leaks = contained_items(held.select(F.col("_uid").alias("doc_id"), "text"), items).select(F.col("doc_id").alias("_uid")).distinct()
-    return held.join(leaks, "_uid", "left_anti").select(docs.columns)
+    uid = free_name(docs, "_uid")
+    held = save(docs.withColumn(uid, F.monotonically_increasing_id()), "rows")
+    leaks = contained_items(held.select(F.col(uid).alias("doc_id"), "text"), items).select(F.col("doc_id").alias(uid)).distinct()
+    return held.join(leaks, uid, "left_anti").select(docs.columns)
 
 
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

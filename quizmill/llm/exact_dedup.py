@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, save, table
+from .common import ascii_lower, free_name, save, table
 
 
 def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "max") -> DataFrame:
@@ -46,16 +46,17 @@ def drop_exact_duplicates(docs: DataFrame) -> DataFrame:
     The row with the largest doc_id stays, one with a null doc_id only where the group has no other; of repeated rows the
     one numbered first.  Rows are told apart by their own number, so neither null nor repeated ids matter.
     """
-    held = save(docs.withColumn("_uid", F.monotonically_increasing_id()), "exact-rows")
-    rows = held.select("_uid", "doc_id", ascii_lower(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("_norm"))
+    uid = free_name(docs, "_uid")
+    held = save(docs.withColumn(uid, F.monotonically_increasing_id()), "exact-rows")
+    rows = held.select(F.col(uid).alias("_uid"), "doc_id", ascii_lower(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("_norm"))
     rows = rows.withColumn("_md5", F.unhex(F.md5("_norm")))
     groups = rows.groupBy("_md5", "_norm").agg(F.max("doc_id").alias("_keep"), F.count(F.lit(1)).alias("_size")).where("_size > 1")
     groups = groups.select("_md5", F.sha2("_norm", 256).alias("_sha"), "_keep")
     keyed = rows.select("_uid", "doc_id", "_md5", F.sha2("_norm", 256).alias("_sha"))
     members = save(keyed.join(groups, ["_md5", "_sha"]).select("_uid", "_md5", "_sha", F.col("_keep").eqNullSafe(F.col("doc_id")).alias("_best")), "exact-members")
     first = members.where("_best").groupBy("_md5", "_sha").agg(F.min("_uid").alias("_first"))
-    gone = members.join(first, ["_md5", "_sha"]).where("_uid <> _first").select("_uid")
-    return held.join(gone, "_uid", "left_anti").select(docs.columns)
+    gone = members.join(first, ["_md5", "_sha"]).where("_uid <> _first").select(F.col("_uid").alias(uid))
+    return held.join(gone, uid, "left_anti").select(docs.columns)
 
 
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -18,6 +18,7 @@ from .pieces import op6_sentencepiece
 from .quality import op2_quality
 from .simhash import op4_simhash
 from .suffix_dedup import op3_suffix_dedup
+from .toxicity import op11_toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -32,6 +33,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_langid": op8_langid,
         "op9_exact_dedup": op9_exact_dedup,
         "op10_decontaminate": op10_decontaminate,
+        "op11_toxicity": op11_toxicity,
         "op12_filter_audit": op12_filter_audit,
         "op13_ranked_search": op13_ranked_search,
     }

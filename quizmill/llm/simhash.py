@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import drop_saved, sample_key, save, table
+from .common import drop_saved, free_name, sample_key, save, table
 from .components import connected_components, hook
 
 #: Rows of a bucket that one task compares with one another; larger buckets are compared chunk by chunk.
@@ -400,13 +400,14 @@ def drop_near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float =
     and stay.  A row with a null doc_id stays only if no row of its component has one; of rows with the same doc_id one
     stays, whichever was numbered first.
     """
-    held = save(docs.withColumn("_uid", F.monotonically_increasing_id()), "near-rows")
-    rows = held.where(F.col("text").rlike(r"[^\x20\x09-\x0D]")).select(F.col("_uid").alias("uid"), F.col("text").cast("string").alias("text"))
+    uid = free_name(docs, "_uid")
+    held = save(docs.withColumn(uid, F.monotonically_increasing_id()), "near-rows")
+    rows = held.where(F.col("text").rlike(r"[^\x20\x09-\x0D]")).select(F.col(uid).alias("uid"), F.col("text").cast("string").alias("text"))
     named = near_links(rows, shingle, similarity)
-    members = held.select("_uid", "doc_id").join(named, F.col("_uid") == F.col("node")).select("_uid", "component", F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_uid").alias("rank"))
+    members = held.select(F.col(uid).alias("_uid"), "doc_id").join(named, F.col("_uid") == F.col("node")).select("_uid", "component", F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_uid").alias("rank"))
     first = members.groupBy("component").agg(F.min("rank").alias("first"))
-    gone = save(members.join(first, "component").where(F.col("_uid") != F.col("first._uid")).select("_uid"), "near-copies")
-    return held.join(gone, "_uid", "left_anti").select(docs.columns)
+    gone = save(members.join(first, "component").where(F.col("_uid") != F.col("first._uid")).select(F.col("_uid").alias(uid)), "near-copies")
+    return held.join(gone, uid, "left_anti").select(docs.columns)
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
