@@ -2,18 +2,12 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
 from quizmill.functions import text as T
-
-#: Collation of keyword search: case and accents do not matter.
-LOOSE = "UNICODE_CI_AI"
-#: Keywords that are searched for in one pass over the questions, and parts in which the hits of a keyword are ranked.
-SEARCH_BLOCK, SEARCH_SPREAD = 1000, 64
+from quizmill.operators.search import LOOSE
 
 
 def _has(column: str, keyword: str):
@@ -84,29 +78,6 @@ def list_banks(bank: DataFrame, question: DataFrame) -> DataFrame:
     return bank.join(n, bank.id == n.bank_id, "left").select("id", "name", F.coalesce("n", F.lit(0)).alias("question_count"))
 
 
-def search_questions(queries: DataFrame, question: DataFrame, bank: DataFrame) -> DataFrame:
-    """For each query (query_id, keyword, bank_name?, type?, limit?) the first hits by id, and how many there are.
-
-    Keywords of fewer than two characters find nothing.  The queries are a stated set: they are counted, dealt in blocks of
-    at most SEARCH_BLOCK, and each block is looked for in all questions in one pass.  The hits of a keyword are ranked in
-    SEARCH_SPREAD parts first, so a common keyword is spread over tasks.
-    """
-    default, most = T.PAGE_SIZES["search"]
-    q = queries.select("query_id", T.trim(F.coalesce("keyword", F.lit(""))).alias("_k"), T.trim(F.col("bank_name")).alias("_b"), T.normalize_type(F.col("type")).alias("_t"), F.when(F.col("limit") >= 1, F.least("limit", F.lit(most))).otherwise(default).alias("_n")).where(F.length("_k") >= 2)
-    rows = question.select("id", "bank_id", "type", "stem", "answer").join(bank.select(F.col("id").alias("bank_id"), F.col("name").alias("_name")), "bank_id", "left")
-    loose = lambda c: F.collate(F.col(c), LOOSE)
-    hit = F.contains(loose("stem"), loose("_k")) & (F.coalesce("_b", F.lit("")).eqNullSafe("") | F.coalesce(F.contains(loose("_name"), loose("_b")), F.lit(False))) & (F.col("_t").isNull() | (F.col("type") == F.col("_t")))
-    blocks = max(1, -(-q.count() // SEARCH_BLOCK))
-    dealt = q.withColumn("_block", F.pmod(F.xxhash64("query_id", "_k", "_b", "_t"), F.lit(blocks)))
-    found = reduce(DataFrame.unionByName, [rows.join(F.broadcast(dealt.where(F.col("_block") == i).drop("_block")), hit) for i in range(blocks)])
-    found = found.withColumn("_part", F.pmod(F.xxhash64("id"), F.lit(SEARCH_SPREAD)))
-    part, per = W.Window.partitionBy("query_id", "_part"), W.Window.partitionBy("query_id")
-    found = found.withColumn("_at", F.row_number().over(part.orderBy("id"))).withColumn("_size", F.count(F.lit(1)).over(part)).where(F.col("_at") <= most)
-    ranked = found.withColumn("place", F.row_number().over(per.orderBy("id"))).withColumn("hits", F.sum(F.when(F.col("_at") == 1, F.col("_size"))).over(per)).where(F.col("place") <= F.col("_n"))
-    note = F.when(T.is_blank(F.col("answer")), "（本题未提供答案）").otherwise(F.concat(F.lit("答案："), "answer"))
-    return ranked.select("query_id", "place", "hits", F.col("id").alias("question_id"), T.type_label(F.col("type")).alias("type_name"), T.truncate(F.col("stem"), 1000).alias("stem"), note.alias("answer_note"))
-
-
 def question_detail(question: DataFrame, bank: DataFrame, chapter: DataFrame) -> DataFrame:
     """The full text of questions, with defaults for what is missing."""
     b = bank.select(F.col("id").alias("bank_id"), F.col("name").alias("_bank"))

@@ -16,6 +16,7 @@ from quizmill.operators import chat as C
 from quizmill.operators import model_io as M
 from quizmill.operators import practice as K
 from quizmill.operators import reports as R
+from quizmill.operators import search as S8
 from quizmill.operators import segment as S
 from quizmill.plans.fixtures import GROUP, WITH, Tables
 from quizmill.schemas import schema
@@ -212,15 +213,26 @@ def r07(t: Tables) -> DataFrame:
 
 @query(
     "r08_search",
-    """, s as (select n_nationkey as query_id, substr(p_name, 1, 4) as keyword, case n_nationkey % 4 when 1 then 'SINGLE' when 2 then 'MULTIPLE' end as wanted, case n_nationkey % 3 when 1 then 3 else 5 end as most from nation join part on p_partkey = n_nationkey),
-    h as (select query_id, most, row_number() over w as place, count(*) over (partition by query_id) as hits, id as question_id, type, stem, answer from s join question on (wanted is null or wanted = type) and strip_accents(lower(stem)) like '%' || strip_accents(lower(trim(keyword))) || '%' where length(trim(keyword)) >= 2 window w as (partition by query_id order by id))
+    """, s as (select c_custkey as query_id, case when c_custkey % 2 = 0 then upper(k) else k end as keyword, case c_custkey % 5 when 1 then 'tion_' || (c_custkey % 10) when 2 then ' ' end as bank_name,
+      case c_custkey % 4 when 1 then 'SINGLE' when 2 then 'MULTIPLE' end as wanted, case c_custkey % 3 when 1 then 3 else 5 end as most
+      from (select c_custkey, substr(stem, (1 + c_custkey % 9)::int, (2 + c_custkey % 7)::int) as k from customer join question on id = c_custkey)),
+    h as (select query_id, most, row_number() over w as place, count(*) over (partition by query_id) as hits, q.id as question_id, type, stem, answer
+      from s join question q on (wanted is null or wanted = type) and strip_accents(lower(stem)) like '%' || strip_accents(lower(trim(keyword))) || '%' join bank b on b.id = bank_id and (coalesce(trim(bank_name), '') = '' or contains(lower(b.name), lower(trim(bank_name))))
+      where length(trim(keyword)) >= 2 window w as (partition by query_id order by q.id))
     select query_id, place, hits, question_id, case type when 'SINGLE' then '单选题' when 'MULTIPLE' then '多选题' when 'TRUE_FALSE' then '判断题' when 'ESSAY' then '简答题' when 'FILL_BLANK' then '填空题' else type end as type_name,
     case when length(stem) > 1000 then substr(stem, 1, 1000) || '…' else stem end as stem, case when trim(answer) = '' then '（本题未提供答案）' else '答案：' || answer end as answer_note from h where place <= most""",
 )
 def r08(t: Tables) -> DataFrame:
-    words = t.read("part").select(F.col("p_partkey").alias("query_id"), F.substring("p_name", 1, 4).alias("keyword"))
-    q = t.bank.select(F.col("id").alias("query_id")).join(words, "query_id").select("query_id", "keyword", F.lit(None).cast("string").alias("bank_name"), F.when(F.col("query_id") % 4 == 1, " single ").when(F.col("query_id") % 4 == 2, "多选题").when(F.col("query_id") % 4 == 3, "no such type").alias("type"), F.when(F.col("query_id") % 3 == 1, 3).alias("limit"))
-    return R.search_questions(q, t.question, t.bank)
+    """A keyword for every customer, cut from a stem; the index is written once and read."""
+    i = F.col("query_id")
+    stems = t.question.select(F.col("id").alias("query_id"), "stem")
+    q = t.read("customer").select(F.col("c_custkey").alias("query_id")).join(stems, "query_id")
+    word = F.substring(F.col("stem"), (1 + i % 9).cast("int"), (2 + i % 7).cast("int"))
+    bank_name = F.when(i % 5 == 1, F.concat(F.lit("TION_"), (i % 10).cast("string"))).when(i % 5 == 2, " ")
+    q = q.select("query_id", F.when(i % 2 == 0, F.upper(word)).otherwise(word).alias("keyword"), bank_name.alias("bank_name"), F.when(i % 4 == 1, " single ").when(i % 4 == 2, "多选题").when(i % 4 == 3, "no such type").alias("type"), F.when(i % 3 == 1, 3).alias("limit"))
+    path = f"{I.work_dir(t.spark)}/search-index-{uuid.uuid4().hex}"
+    S8.write_search_index(t.question, path)
+    return S8.search_questions(q, t.question, t.bank, S8.read_search_index(t.spark, path))
 
 
 _TYPE_NAME = "case {0} when 'SINGLE' then '单选题' when 'MULTIPLE' then '多选题' when 'TRUE_FALSE' then '判断题' when 'ESSAY' then '简答题' when 'FILL_BLANK' then '填空题' else {0} end"
