@@ -74,6 +74,17 @@ def scratch():
             drop_saved(df)
 
 
+@contextmanager
+def collected():
+    """The list of what is saved inside: whoever opens this deletes it when it is no longer needed."""
+    saved: list[DataFrame] = []
+    _scratch.append(saved)
+    try:
+        yield saved
+    finally:
+        _scratch.pop()
+
+
 def free_name(df: DataFrame, name: str) -> str:
     """``name``, or a longer one that no column of ``df`` has."""
     taken = {c.lower() for c in df.columns}
