@@ -73,11 +73,15 @@ def grade(attempts: DataFrame, question: DataFrame) -> DataFrame:
     return attempts.join(q, "question_id").withColumn("is_correct", T.judge(F.col("type"), F.col("standard_answer"), F.col("user_answer")))
 
 
-def fold_records(graded: DataFrame) -> DataFrame:
-    """K7: one record per session and question; the last attempt wins, ``first_seq`` is its place."""
+def fold_records(graded: DataFrame, of_question: tuple[str, ...] = ()) -> DataFrame:
+    """K7: one record per session and question; the last attempt wins, ``first_seq`` is its place.
+
+    ``of_question`` names columns of the question to keep beside it, for reports that then need no join.
+    """
     last = F.max_by(F.struct("user_answer", "is_correct"), "seq")
-    return graded.groupBy("session_id", "question_id").agg(last.alias("_last"), F.min_by("ts", "seq").alias("created_at"), F.max_by("ts", "seq").alias("updated_at"), F.min("seq").alias("first_seq")).select(
-        "session_id", "question_id", "_last.user_answer", "_last.is_correct", "created_at", "updated_at", "first_seq"
+    kept = [F.any_value(c).alias(c) for c in of_question]
+    return graded.groupBy("session_id", "question_id").agg(last.alias("_last"), F.min_by("ts", "seq").alias("created_at"), F.max_by("ts", "seq").alias("updated_at"), F.min("seq").alias("first_seq"), *kept).select(
+        "session_id", "question_id", "_last.user_answer", "_last.is_correct", "created_at", "updated_at", "first_seq", *of_question
     )
 
 
@@ -135,14 +139,24 @@ def submit_results(graded: DataFrame, session: DataFrame) -> DataFrame:
 
 
 def type_stats(listed: DataFrame, question: DataFrame, record: DataFrame) -> DataFrame:
-    """Per session and type the listed questions, and how many of them are correct."""
+    """Per session and type the listed questions, and how many of them are correct.
+
+    A list that has its questions' ``type`` needs no join with them; list and records in buckets by session, no exchange.
+    """
     q = question.select(F.col("id").alias("question_id"), "type")
     r = record.select("session_id", "question_id", "is_correct")
-    return listed.join(q, "question_id").join(r, ["session_id", "question_id"], "left").groupBy("session_id", "type").agg(F.count(F.lit(1)).alias("total"), F.count_if(F.coalesce("is_correct", F.lit(False))).alias("correct"))
+    typed = listed if "type" in listed.columns else listed.join(q, "question_id")
+    return typed.join(r, ["session_id", "question_id"], "left").groupBy("session_id", "type").agg(F.count(F.lit(1)).alias("total"), F.count_if(F.coalesce("is_correct", F.lit(False))).alias("correct"))
 
 
-def session_wrong_items(record: DataFrame, question: DataFrame) -> DataFrame:
-    """The wrong records of sessions with their questions, ``place`` in the order of first attempts."""
-    q = question.select(F.col("id").alias("question_id"), "type", "stem", F.col("answer").alias("standard_answer"), "analysis")
+def session_wrong_items(record: DataFrame, question: DataFrame | None = None) -> DataFrame:
+    """The wrong records of sessions with their questions, ``place`` in the order of first attempts.
+
+    Without ``question`` the records must have ``standard_answer``, and stem, type and analysis are left out.
+    """
     w = W.Window.partitionBy("session_id").orderBy("first_seq")
-    return record.where("not is_correct").withColumn("place", F.row_number().over(w)).select("session_id", "place", "question_id", "user_answer").join(q, "question_id")
+    wrong = record.where("not is_correct").withColumn("place", F.row_number().over(w))
+    if question is None:
+        return wrong.select("session_id", "place", "question_id", "user_answer", "standard_answer")
+    q = question.select(F.col("id").alias("question_id"), "type", "stem", F.col("answer").alias("standard_answer"), "analysis")
+    return wrong.select("session_id", "place", "question_id", "user_answer").join(q, "question_id")

@@ -15,7 +15,7 @@ from pyspark.sql import window as W
 
 from quizmill.operators import practice as K
 from quizmill.schemas import OPTION
-from quizmill.sources.ingest import work_dir
+from quizmill.sources.ingest import work_dir, write_bucketed
 
 BANKS = 25
 #: Questions of a bank that make one document or one model output; their number grows with the data.
@@ -44,6 +44,10 @@ class Tables:
         df.write.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def bucketed(self, df: DataFrame, name: str, by: list[str]) -> DataFrame:
+        """The same in buckets."""
+        return write_bucketed(df, f"{work_dir(self.spark)}/{name}-{uuid.uuid4().hex}", by)
+
     @cached_property
     def bank(self) -> DataFrame:
         n = self.read("nation")
@@ -106,7 +110,11 @@ class Tables:
 
     @cached_property
     def session(self) -> DataFrame:
-        return K.build_sessions(self.requests, self.listed).where("reject_code is null").drop("reject_code").join(self.requests.select("session_id", "created_at"), "session_id")
+        return self.sessions(self.listed).join(self.requests.select("session_id", "created_at"), "session_id")
+
+    def sessions(self, listed: DataFrame) -> DataFrame:
+        """The sessions that were made with these lists."""
+        return K.build_sessions(self.requests, listed).where("reject_code is null").drop("reject_code")
 
     @cached_property
     def attempt(self) -> DataFrame:

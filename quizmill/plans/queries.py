@@ -22,6 +22,7 @@ from quizmill.plans.fixtures import GROUP, WITH, Tables
 from quizmill.schemas import schema
 from quizmill.sources import ingest as I
 from quizmill.streaming import attempts as A
+from quizmill.streaming.store import KeyedTable, upsert_stream
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -276,8 +277,11 @@ _ACC = "case when {a} > 0 then floor(({c}::float * 100::float / {a}::float)::flo
     left join (select session_id, list({{'place': place, 'question_id': question_id, 'user_answer': user_answer, 'standard_answer': standard_answer}} order by place) as wrong_items from wi group by 1) using (session_id)""",
 )
 def r12(t: Tables) -> DataFrame:
-    record = t.written(t.record, "record")  # graded once for all three parts
-    return R.session_result(K.complete_sessions(t.session, record), K.type_stats(t.listed, t.question, record), K.session_wrong_items(record, t.question))
+    """List and records are written once, in buckets by session: the three parts and the result join where they are."""
+    types = t.question.select(F.col("id").alias("question_id"), "type")
+    listed = t.bucketed(t.listed.join(types, "question_id"), "listed", ["session_id"])
+    record = t.bucketed(K.fold_records(t.graded, ("standard_answer",)), "record", ["session_id"])
+    return R.session_result(K.complete_sessions(t.sessions(listed), record), K.type_stats(listed, t.question, record), K.session_wrong_items(record))
 
 
 @query("r13_wrong_by_type", ", n as (select w.bank_id, type, count(*) as cnt from wrong w join question q on q.id = question_id where resolved = 0 group by 1, 2) select *, sum(cnt) over (partition by bank_id) as total, row_number() over (partition by bank_id order by cnt desc, type) as place from n")
@@ -812,19 +816,23 @@ class StreamRun:
         files = max(1, -(-everything.count() // 3_000_000))
         for i in range(3):
             t.spark.read.schema(schema("attempt")).parquet(f"{self.dir}/all/part={i}").repartition(files).write.parquet(f"{self.dir}/in/set{i}")
-        self.graded = A.graded_stream(A.read_attempts(t.spark, f"{self.dir}/in/*", files), t.requests, t.question, t.listed)
+        # what attempts are checked against is written once, in buckets: a batch brings its attempts there
+        put = lambda df, name, by: I.write_bucketed(df, f"{self.dir}/{name}", [by])
+        session, listed = put(t.requests, "session", "session_id"), put(t.listed, "listed", "session_id")
+        question = put(t.question.select("id", "bank_id", "type", "answer"), "question", "id")
+        self.session = put(t.sessions(listed), "totals", "session_id")
+        self.graded = A.graded_stream(A.read_attempts(t.spark, f"{self.dir}/in/*", files), session, question, listed)
 
     def updates(self, stream: DataFrame, mode: str = "update") -> DataFrame:
         """What the stream gave, with the number of the batch."""
         out = f"{self.dir}/out"
         write = lambda df, i: df.withColumn("batch", F.lit(i)).write.mode("append").parquet(out)
-        stream.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", f"{self.dir}/cp").trigger(availableNow=True).start().awaitTermination()
+        self.run(stream.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", f"{self.dir}/cp").trigger(availableNow=True))
         return self.spark.read.parquet(out)
 
-    def latest(self, stream: DataFrame, keys: list[str]) -> DataFrame:
-        rows = self.updates(stream)
-        rest = F.struct(*[c for c in rows.columns if c not in (*keys, "batch")])
-        return rows.groupBy(*keys).agg(F.max_by(rest, "batch").alias("r")).select(*keys, "r.*")
+    def run(self, query) -> None:
+        with I.settings(self.spark, I.CO_PARTITIONED):
+            query.start().awaitTermination()
 
 
 @query("t01_graded_stream", " select seq, session_id, question_id, is_correct from graded")
@@ -837,17 +845,23 @@ def t01(t: Tables) -> DataFrame:
 def t02(t: Tables) -> DataFrame:
     run = StreamRun(t)
     store = A.RecordStore(t.spark, f"{run.dir}/records")
-    A.record_stream(run.graded, store, f"{run.dir}/cp").start().awaitTermination()
+    run.run(A.record_stream(run.graded, store, f"{run.dir}/cp"))
     return store.records().drop("last_seq")
 
 
-@query("t03_progress_stream", " select session_id, answered_count, correct_count, total_count, completed_at from progress where answered_count > 0")
+@query("t03_progress_stream", " select session_id, answered_count, correct_count, total_count, completed_at, (status = 'COMPLETED')::bigint as completions from progress where answered_count > 0")
 def t03(t: Tables) -> DataFrame:
+    """The current counts, and how many events say that a session is completed."""
     run = StreamRun(t)
-    return run.latest(A.session_progress(run.graded, t.session), ["session_id"]).select("session_id", "answered_count", "correct_count", "total_count", "completed_at")
+    store = A.ProgressStore(t.spark, f"{run.dir}/progress", run.session)
+    run.run(A.progress_stream(run.graded, store, f"{run.dir}/cp"))
+    events = store.completions().groupBy("session_id").agg(F.count(F.lit(1)).alias("completions"))
+    return store.progress.rows().drop("completed_in").join(events, "session_id", "left").withColumn("completions", F.coalesce("completions", F.lit(0)))
 
 
 @query("t04_wrong_book_stream", " select * from wrong")
 def t04(t: Tables) -> DataFrame:
     run = StreamRun(t)
-    return run.latest(A.wrong_book_stream(run.graded), ["bank_id", "question_id"]).withColumnRenamed("first_wrong_seq", "id")
+    table = KeyedTable(t.spark, f"{run.dir}/wrong", A.WRONG, ["bank_id", "question_id"])
+    run.run(upsert_stream(A.wrong_book_stream(run.graded), table, f"{run.dir}/cp"))
+    return table.rows().withColumnRenamed("first_wrong_seq", "id")

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
+from contextlib import contextmanager
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
@@ -92,6 +95,33 @@ def read_table(spark: SparkSession, base: str, name: str) -> DataFrame:
     return spark.read.schema(schema(name)).parquet(f"{base}/{name}")
 
 
+#: With this setting a join on several columns uses buckets by some of them.
+CO_PARTITIONED = {"spark.sql.requireAllClusterKeysForCoPartition": "false"}
+
+
+def write_bucketed(df: DataFrame, path: str, by: list[str], buckets: int | None = None) -> DataFrame:
+    """A table in buckets by ``by``, sorted inside, under ``path`` and in the session's catalog: joins and groups on these
+    columns read it without an exchange.  ``buckets``: as many as shuffles have partitions, if not given."""
+    spark = df.sparkSession
+    n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    name = f"bucketed_{uuid.uuid4().hex}"
+    df.repartition(n, *by).write.bucketBy(n, *by).sortBy(*by).option("path", path).format("parquet").saveAsTable(name)
+    return spark.table(name)
+
+
+@contextmanager
+def settings(spark: SparkSession, values: dict[str, str]):
+    """Settings of the session for a while; afterwards they are as before."""
+    before = {k: spark.conf.get(k, None) for k in values}
+    for k, v in values.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def dedup_files(files: DataFrame) -> DataFrame:
     """Of files with equal content the one with the smallest path."""
     marked = files.withColumn("_h", F.md5("content"))
@@ -100,7 +130,6 @@ def dedup_files(files: DataFrame) -> DataFrame:
 
 
 
-
 def work_dir(spark: SparkSession) -> str:
     """The folder shared by driver and executors that ``spark.checkpoint.dir`` names; a local one in local mode only."""
     named = spark.conf.get("spark.checkpoint.dir", None)

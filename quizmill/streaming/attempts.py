@@ -6,15 +6,12 @@ keys are bounded by the sessions' questions.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from quizmill.operators import practice as K
 from quizmill.schemas import schema
+from quizmill.streaming.store import BUCKET, KeyedTable
 
 RECORDS = "session_id long, question_id long, user_answer string, is_correct boolean, created_at timestamp, updated_at timestamp, first_seq long, last_seq long"
 
@@ -42,47 +39,17 @@ def merge_records(old: DataFrame, new: DataFrame) -> DataFrame:
     return old.unionByName(new).groupBy("session_id", "question_id").agg(F.min(first).alias("f"), F.max_by(last, "last_seq").alias("l")).select("session_id", "question_id", "l.user_answer", "l.is_correct", "f.created_at", "l.updated_at", "f.first_seq", "l.last_seq")
 
 
-class RecordStore:
-    """Records in folders by batch; each batch writes only the records it touches, with what was known of them.
+class RecordStore(KeyedTable):
+    """The records, in folders by a hash of the session; a batch reads and rewrites those of its own sessions only."""
 
-    After every ``compact`` batches all records are written as one snapshot, and what is older than the snapshot before
-    is deleted; so a batch reads one snapshot and a bounded number of batches, however long the stream runs.  A batch
-    that is run again writes the same folder again, so the store is right after a restart.
-    """
+    def __init__(self, spark: SparkSession, path: str, buckets: int = 64):
+        super().__init__(spark, path, RECORDS, ["session_id", "question_id"], ["session_id"], buckets)
 
-    def __init__(self, spark: SparkSession, path: str, compact: int = 16):
-        self.spark, self.path, self.compact = spark, path, compact
-        self._path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-        self._fs = self._path(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-
-    def _folders(self, kind: str) -> list[int]:
-        """Numbers of the finished folders of a kind."""
-        done = self._fs.globStatus(self._path(f"{self.path}/{kind}=*/_SUCCESS")) or []
-        return sorted(int(f.getPath().getParent().getName().split("=")[1]) for f in done)
-
-    def records(self, before: int | None = None) -> DataFrame:
-        """The latest state of every record, or what it was before a batch."""
-        known = lambda i: before is None or i < before
-        snapshot = max(filter(known, self._folders("snapshot")), default=None)
-        batches = [i for i in self._folders("batch") if known(i) and (snapshot is None or i > snapshot)]
-        folders = [(f"snapshot={snapshot}", snapshot)] * (snapshot is not None) + [(f"batch={i}", i) for i in batches]
-        rows = self.spark.createDataFrame([], RECORDS + ", batch long")
-        for name, i in folders:
-            rows = rows.unionByName(self.spark.read.schema(RECORDS).parquet(f"{self.path}/{name}").withColumn("batch", F.lit(i).cast("long")))
-        latest = F.max_by(F.struct(*[c for c in rows.columns if c not in ("session_id", "question_id", "batch")]), "batch")
-        return rows.groupBy("session_id", "question_id").agg(latest.alias("r")).select("session_id", "question_id", "r.*")
+    def records(self) -> DataFrame:
+        return self.rows()
 
     def write_batch(self, graded: DataFrame, batch: int) -> None:
-        new = fold_batch(graded)
-        known = self.records(before=batch).join(new.select("session_id", "question_id"), ["session_id", "question_id"], "left_semi")
-        merge_records(known, new).write.mode("overwrite").parquet(f"{self.path}/batch={batch}")
-        snapshots = [i for i in self._folders("snapshot") if i < batch]
-        if batch - max(snapshots, default=-1) >= self.compact:
-            self.records(before=batch + 1).write.mode("overwrite").parquet(f"{self.path}/snapshot={batch}")
-            for kind in ("batch", "snapshot"):
-                for i in self._folders(kind):
-                    if snapshots and (i < snapshots[-1] or kind == "batch" and i == snapshots[-1]):
-                        self._fs.delete(self._path(f"{self.path}/{kind}={i}"), True)
+        self.upsert(fold_batch(graded), batch, merge_records)
 
 
 def record_stream(graded: DataFrame, store: RecordStore, checkpoint: str):
@@ -90,38 +57,43 @@ def record_stream(graded: DataFrame, store: RecordStore, checkpoint: str):
     return graded.writeStream.foreachBatch(store.write_batch).option("checkpointLocation", checkpoint).trigger(availableNow=True)
 
 
-PROGRESS = "session_id long, answered_count int, correct_count int, total_count int, completed_at timestamp, just_completed boolean"
-_STATE = "question_id array<long>, first_seq array<long>, first_ts array<timestamp>, last_seq array<long>, correct array<boolean>, completed boolean"
+PROGRESS = "session_id long, answered_count int, correct_count int, total_count int, completed_at timestamp, completed_in long"
 
 
-def session_progress(graded: DataFrame, session: DataFrame) -> DataFrame:
-    """(update mode) counts of each session that has new attempts; ``just_completed`` is true once.
+class ProgressStore:
+    """Records and the progress of their sessions, both in folders by a hash of the session.
 
-    A session's state has one entry per question of its list, so it is bounded by the list.
+    After a batch's attempts are in the records, the sessions that it touched, and no others, are counted anew from their
+    records by the closed forms of K8 and K9.  ``completed_in`` is the batch in which a session was complete for the first
+    time: its one completion event, which neither late attempts nor a batch that is run again can repeat.
     """
-    totals = session.select("session_id", "total_count")
-    rows = graded.join(totals, "session_id").select("session_id", "question_id", "seq", "ts", "is_correct", "total_count")
-
-    def update(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held = state.get if state.exists else ([], [], [], [], [], False)
-        known = {q: [a, b, c, d] for q, a, b, c, d in zip(*held[:5], strict=True)}
-        completed, total = held[5], 0
-        for pdf in batches:
-            for q, seq, ts, ok, n in pdf[["question_id", "seq", "ts", "is_correct", "total_count"]].itertuples(index=False):
-                ok = None if ok is None or pd.isna(ok) else bool(ok)
-                total = int(n)
-                old = known.setdefault(q, [seq, ts, seq, ok])
-                if seq < old[0]:
-                    old[0], old[1] = seq, ts
-                if seq >= old[2]:
-                    old[2], old[3] = seq, ok
-        done = len(known) >= total
-        columns = [list(known), *[[v[i] for v in known.values()] for i in range(4)]]
-        state.update((*columns, completed or done))
-        last = max(known.values(), key=lambda v: v[0])[1] if done else None
-        yield pd.DataFrame({"session_id": [key[0]], "answered_count": [len(known)], "correct_count": [sum(v[3] is True for v in known.values())], "total_count": [total], "completed_at": [last], "just_completed": [done and not completed]})
-
-    return rows.groupBy("session_id").applyInPandasWithState(update, PROGRESS, _STATE, "update", GroupStateTimeout.NoTimeout)
+
+    def __init__(self, spark: SparkSession, path: str, session: DataFrame, buckets: int = 64):
+        self.session = session
+        self.records = RecordStore(spark, f"{path}/records", buckets)
+        self.progress = KeyedTable(spark, f"{path}/progress", PROGRESS, ["session_id"], buckets=buckets)
+
+    def write_batch(self, graded: DataFrame, batch: int) -> None:
+        self.records.write_batch(graded, batch)
+        touched = self.records.changes(batch).select("session_id").distinct()
+        of = lambda df: df.join(touched, "session_id", "left_semi")
+        now = K.complete_sessions(of(self.session), of(self.records.touched(touched).drop(BUCKET)))
+        known = self.progress.touched(touched).select("session_id", F.col("completed_in").alias("_before"))
+        now = now.join(known, "session_id", "left").withColumn("completed_in", F.coalesce("_before", F.when(F.col("status") == "COMPLETED", F.lit(batch).cast("long"))))
+        self.progress.upsert(now, batch)
+
+    def completions(self, batch: int | None = None) -> DataFrame:
+        """(session_id, completed_at, completed_in): the completion events, of one batch or of all."""
+        events = self.progress.rows().where("completed_in is not null" if batch is None else F.col("completed_in") == batch)
+        return events.select("session_id", "completed_at", "completed_in")
+
+
+def progress_stream(graded: DataFrame, store: ProgressStore, checkpoint: str):
+    """A query that keeps ``store`` up to date."""
+    return graded.writeStream.foreachBatch(store.write_batch).option("checkpointLocation", checkpoint).trigger(availableNow=True)
+
+
+WRONG = "bank_id long, question_id long, user_answer string, wrong_count long, resolved int, first_wrong_seq long"
 
 
 def wrong_book_stream(graded: DataFrame) -> DataFrame:
