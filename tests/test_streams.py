@@ -123,8 +123,8 @@ def below_exchange(plan, name):
     """Scans of a plan with ``name`` whose rows are exchanged before anything joins, groups or numbers them."""
     out, above = [], []
     for line in plan.split("\n"):
+        depth = len(line) - len(line.lstrip(" :+-"))
         text = line.lstrip(" :+-*()0123456789")
-        depth = len(line) - len(text)
         above = [(d, kind) for d, kind in above if d < depth]
         nearest = next((kind for _, kind in reversed(above) if re.match(r"Exchange|\w*Join|\w*Aggregate|Window", kind)), "")
         if name in text and text.startswith("FileScan") and nearest.startswith("Exchange"):
