@@ -2,18 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
 from quizmill.functions import text as T
+from quizmill.sources.ingest import work_dir
 
 DEFAULT_CHAPTER = "默认章节"
 # The kinds of issues a quality check reports, in the order in which a question is checked.
 ISSUES = ["有可疑行", "无题干", "缺答案", "选项重复", "答案越界", "选项不足"]
 LEADING_SEPARATORS = ",，、/;；"
-#: Groups whose sizes are summed up together when ids are given.
-GROUPS = 4096
 
 
 def _chapter_name(c: Column) -> Column:
@@ -60,16 +61,22 @@ def import_report(raw: DataFrame, banks: DataFrame | None = None) -> DataFrame:
 
 
 def assign_ids(df: DataFrame, by: str, order: list[str], first: int = 1, name: str = "id") -> DataFrame:
-    """Ids in a stable order: numbers inside each ``by`` (a whole number), plus the sizes of the groups before it.
+    """Ids in the order of ``by`` and ``order``, without a gap: a row's place in all rows.
 
-    The groups' running total is taken inside ranges of GROUPS values, and over the ranges, which are far fewer.
+    Rows are dealt by ranges of (``by``, ``order``), so a large group spans tasks, and written with their place in their
+    part; a part's first id is the running total of the parts before it.  Ranges are sampled, which is why they are written
+    down and not made twice.  Nulls come first; rows that tie in ``order`` are numbered as they come.
     """
-    sizes = df.groupBy(by).agg(F.count(F.lit(1)).alias("_n")).withColumn("_range", F.floor(F.col(by) / GROUPS))
-    ranges = sizes.groupBy("_range").agg(F.sum("_n").alias("_all")).withColumn("_before", F.sum("_all").over(W.Window.orderBy("_range")) - F.col("_all"))
-    inside = F.sum("_n").over(W.Window.partitionBy("_range").orderBy(by)) - F.col("_n")
-    offsets = sizes.withColumn("_inside", inside).join(ranges, "_range").select(by, (F.col("_inside") + F.col("_before")).alias("_offset"))
-    w = W.Window.partitionBy(by).orderBy(*order)
-    return df.withColumn("_k", F.row_number().over(w)).join(offsets, by).withColumn(name, F.col("_offset") + F.col("_k") + F.lit(first - 1)).drop("_k", "_offset")
+    spark = df.sparkSession
+    keys = [by, *order]
+    place = F.monotonically_increasing_id()  # the part's number above 33 bits of the place in it
+    path = f"{work_dir(spark)}/numbered-{uuid.uuid4().hex}"
+    df.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("_place", place).write.parquet(path)
+    rows = spark.read.parquet(path).withColumn("_part", F.shiftright("_place", 33))
+    sizes = rows.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
+    before = sizes.select("_part", (F.sum("_n").over(W.Window.orderBy("_part")) - F.col("_n")).alias("_before"))  # a row for each part
+    inside = F.col("_place").bitwiseAND(F.lit((1 << 33) - 1))
+    return rows.join(F.broadcast(before), "_part").withColumn(name, F.col("_before") + inside + F.lit(first)).select(*df.columns, name)
 
 
 def _leading_letters(c: Column) -> Column:
