@@ -12,8 +12,14 @@ from quizmill.functions import text as T
 from quizmill.sources.ingest import work_dir
 
 DEFAULT_CHAPTER = "默认章节"
-# The kinds of issues a quality check reports, in the order in which a question is checked.
+# The kinds of issues a quality check reports, in the order in which a question is checked, and all messages.
 ISSUES = ["有可疑行", "无题干", "缺答案", "选项重复", "答案越界", "选项不足"]
+ADVICE = "（上传页可查看格式要求）"
+NOTHING_READ = f"未识别到题目，请按标准格式整理：每道题以【第 N 题】开头，并写「题目：题干」{ADVICE}"
+UNUSABLE = f"解析出 %d 题但全部无法入库（无题干 %d 题、题型无法识别 %d 题），请按标准格式整理后重新上传{ADVICE}"
+ODD_LINES = "原文第 %d 行起的这道题里，有 %d 行没被识别（可能是被截断的题干或异常选项）：%s"
+NO_STEM, NO_ANSWER, TWICE = "没有提取到题干，入库时会被跳过", "没提取到答案，不开 AI 时无法判分", "同一题里出现了重复的选项字母："
+OUTSIDE, FEW = ("答案字母 ", " 不在选项 ", " 里（多半是切题切错了）"), ("题型判定为「", "」但只有 ", " 个选项")
 LEADING_SEPARATORS = ",，、/;；"
 
 
@@ -42,22 +48,38 @@ def build_questions(raw: DataFrame, chapters: DataFrame) -> DataFrame:
     )
 
 
+def _left_out(raw: DataFrame) -> tuple[Column, Column]:
+    """Whether a typed raw question lacks a stem, and whether it lacks a type only."""
+    no_stem = T.is_blank(F.col("raw_stem"))
+    return no_stem, ~no_stem & F.col("type").isNull()
+
+
 def import_report(raw: DataFrame, banks: DataFrame | None = None) -> DataFrame:
     """Per bank how many questions were read, stored and left out, and why an import that stored none failed.
 
-    ``banks`` (bank_id) adds the banks whose file gave no question at all.
+    ``banks`` (bank_id) adds the banks whose file gave no question at all.  Which ones were left out: ``skipped_numbers``.
     """
-    no_stem = T.is_blank(F.col("raw_stem"))
-    no_type = ~no_stem & F.col("type").isNull()
-    numbers = F.array_sort(F.collect_list(F.when(no_stem | no_type, F.col("pos"))))
+    no_stem, no_type = _left_out(raw)
     counts = ["total", "inserted", "skipped_no_stem", "skipped_no_type"]
-    out = typed(raw).groupBy("bank_id").agg(F.count(F.lit(1)).alias("total"), F.count_if(~no_stem & ~no_type).alias("inserted"), F.count_if(no_stem).alias("skipped_no_stem"), F.count_if(no_type).alias("skipped_no_type"), numbers.alias("skipped"))
+    out = typed(raw).groupBy("bank_id").agg(F.count(F.lit(1)).alias("total"), F.count_if(~no_stem & ~no_type).alias("inserted"), F.count_if(no_stem).alias("skipped_no_stem"), F.count_if(no_type).alias("skipped_no_type"))
     if banks is not None:
-        out = banks.select("bank_id").join(out, "bank_id", "left").fillna(0, counts).withColumn("skipped", F.coalesce("skipped", F.array().cast("array<int>")))
-    advice = "（上传页可查看格式要求）"
-    nothing = f"未识别到题目，请按标准格式整理：每道题以【第 N 题】开头，并写「题目：题干」{advice}"
-    unusable = F.format_string(f"解析出 %d 题但全部无法入库（无题干 %d 题、题型无法识别 %d 题），请按标准格式整理后重新上传{advice}", "total", "skipped_no_stem", "skipped_no_type")
-    return out.withColumn("failed", F.col("inserted") == 0).withColumn("message", F.when(F.col("total") == 0, nothing).when(F.col("inserted") == 0, unusable))
+        out = banks.select("bank_id").join(out, "bank_id", "left").fillna(0, counts)
+    unusable = F.format_string(UNUSABLE, "total", "skipped_no_stem", "skipped_no_type")
+    return out.withColumn("failed", F.col("inserted") == 0).withColumn("message", F.when(F.col("total") == 0, NOTHING_READ).when(F.col("inserted") == 0, unusable))
+
+
+def skipped_numbers(raw: DataFrame, part: int = 4096) -> DataFrame:
+    """(bank_id, part, ranges): the numbers that were left out, as runs from ``first`` to ``last``.
+
+    A row holds the runs among ``part`` neighbouring numbers, so it is bounded, a bank of any size has as many rows as it
+    needs, and a run that crosses the border of two parts stands in both.
+    """
+    no_stem, no_type = _left_out(raw)
+    out = typed(raw).where(no_stem | no_type).select("bank_id", F.expr(f"pos div {part}").cast("int").alias("part"), "pos").distinct()
+    # numbers of one run keep their distance from their place
+    run = F.col("pos") - F.row_number().over(W.Window.partitionBy("bank_id", "part").orderBy("pos"))
+    runs = out.withColumn("_run", run).groupBy("bank_id", "part", "_run").agg(F.min("pos").alias("first"), F.max("pos").alias("last"))
+    return runs.groupBy("bank_id", "part").agg(F.array_sort(F.collect_list(F.struct("first", "last"))).alias("ranges"))
 
 
 def assign_ids(df: DataFrame, by: str, order: list[str], first: int = 1, name: str = "id") -> DataFrame:
@@ -95,12 +117,12 @@ def quality_issues(raw: DataFrame) -> DataFrame:
     odd = F.coalesce(F.size("suspicious"), F.lit(0))
     issue = lambda ok, name, detail: F.when(ok, F.struct(F.lit(name).alias("kind"), detail.alias("detail")))
     many = F.array(
-        issue(odd > 0, ISSUES[0], F.format_string("原文第 %d 行起的这道题里，有 %d 行没被识别（可能是被截断的题干或异常选项）：%s", F.col("start_line"), odd, T.brief(F.get("suspicious", F.lit(0))))),
-        issue(~stem, ISSUES[1], F.lit("没有提取到题干，入库时会被跳过")),
-        issue(stem & (answer == ""), ISSUES[2], F.lit("没提取到答案，不开 AI 时无法判分")),
-        issue(stem & (answer != "") & (n > 0) & (F.size(F.array_distinct(keys)) < n), ISSUES[3], F.concat(F.lit("同一题里出现了重复的选项字母："), listed(F.array_sort(F.array_distinct(keys))))),
-        issue(stem & (answer != "") & (n > 0) & (F.size(bad) > 0), ISSUES[4], F.concat(F.lit("答案字母 "), listed(bad), F.lit(" 不在选项 "), listed(F.array_sort(F.array_distinct(keys))), F.lit(" 里（多半是切题切错了）"))),
-        issue(stem & kind.rlike("单选|多选") & (n < 2), ISSUES[5], F.concat(F.lit("题型判定为「"), kind, F.lit("」但只有 "), n.cast("string"), F.lit(" 个选项"))),
+        issue(odd > 0, ISSUES[0], F.format_string(ODD_LINES, F.col("start_line"), odd, T.brief(F.get("suspicious", F.lit(0))))),
+        issue(~stem, ISSUES[1], F.lit(NO_STEM)),
+        issue(stem & (answer == ""), ISSUES[2], F.lit(NO_ANSWER)),
+        issue(stem & (answer != "") & (n > 0) & (F.size(F.array_distinct(keys)) < n), ISSUES[3], F.concat(F.lit(TWICE), listed(F.array_sort(F.array_distinct(keys))))),
+        issue(stem & (answer != "") & (n > 0) & (F.size(bad) > 0), ISSUES[4], F.concat(F.lit(OUTSIDE[0]), listed(bad), F.lit(OUTSIDE[1]), listed(F.array_sort(F.array_distinct(keys))), F.lit(OUTSIDE[2]))),
+        issue(stem & kind.rlike("单选|多选") & (n < 2), ISSUES[5], F.concat(F.lit(FEW[0]), kind, F.lit(FEW[1]), n.cast("string"), F.lit(FEW[2]))),
     )
     found = raw.select("bank_id", F.col("pos").alias("seq"), F.explode(F.filter(many, lambda x: x.isNotNull())).alias("i"))
     return found.select("bank_id", "seq", "i.kind", "i.detail")

@@ -21,6 +21,7 @@ from quizmill.operators import segment as S
 from quizmill.plans.fixtures import GROUP, WITH, Tables
 from quizmill.schemas import schema
 from quizmill.sources import ingest as I
+from quizmill.sources.bank_store import BankStore
 from quizmill.streaming import attempts as A
 from quizmill.streaming.store import KeyedTable, upsert_stream
 
@@ -526,13 +527,31 @@ def b02(t: Tables) -> DataFrame:
     return B.build_questions(raw, B.build_chapters(raw)).drop("ai_status", "ai_retry_count", "answer_source")
 
 
+_FEW = "bank_id % 2 = 0 or raw_stem = '' or t is null"  # every other bank keeps nothing but what is left out
+
+
 @query(
     "b03_import_report",
-    _RAW + """ select bank_id, count(*) as total, count(*) filter (raw_stem <> '' and t is not null) as inserted, count(*) filter (raw_stem = '') as skipped_no_stem, count(*) filter (raw_stem <> '' and t is null) as skipped_no_type,
-    coalesce(list(pos order by pos) filter (raw_stem = '' or t is null), []) as skipped, count(*) filter (raw_stem <> '' and t is not null) = 0 as failed from kinds group by 1""",
+    _RAW + f""", few as (select *, raw_stem <> '' and t is not null as ok from kinds where {_FEW}), r as (
+    select bank_id, count(*) as total, count(*) filter (ok) as inserted, count(*) filter (raw_stem = '') as skipped_no_stem, count(*) filter (raw_stem <> '' and t is null) as skipped_no_type from few group by 1),
+    a as (select id as bank_id, coalesce(total, 0) as total, coalesce(inserted, 0) as inserted, coalesce(skipped_no_stem, 0) as skipped_no_stem, coalesce(skipped_no_type, 0) as skipped_no_type from (select id from bank union all select 99) left join r on bank_id = id)
+    select *, inserted = 0 as failed, case when total = 0 then '{B.NOTHING_READ}' when inserted = 0 then printf('{B.UNUSABLE}', total, skipped_no_stem, skipped_no_type) end as message from a""",
 )
 def b03(t: Tables) -> DataFrame:
-    return B.import_report(raw_questions(t)).drop("message")
+    banks = t.bank.select(F.col("id").alias("bank_id")).unionByName(t.spark.createDataFrame([(99,)], "bank_id long"))
+    raw = raw_questions(t)
+    kept = B.typed(raw).where((F.col("bank_id") % 2 == 0) | T.is_blank(F.col("raw_stem")) | F.col("type").isNull()).drop("type", "answer")
+    return B.import_report(kept, banks)
+
+
+@query(
+    "b03_skipped_numbers",
+    _RAW + """, s as (select distinct bank_id, pos // 4096 as part, pos from kinds where raw_stem = '' or t is null), g as (select *, pos - row_number() over (partition by bank_id, part order by pos) as run from s),
+    r as (select bank_id, part, min(pos) as first, max(pos) as last from g group by bank_id, part, run)
+    select bank_id, part::int as part, list({'first': first, 'last': last} order by first) as ranges from r group by all""",
+)
+def b03_skipped(t: Tables) -> DataFrame:
+    return B.skipped_numbers(raw_questions(t))
 
 
 @query("b04_ids", " select bank_id, id as question_id, row_number() over (order by bank_id, id) as new_id from question")
@@ -609,15 +628,37 @@ def b10(t: Tables) -> DataFrame:
     return B.enrich_counts(t.question)
 
 
-@query(
-    "b11_delete_banks",
-    """, gone as (select id from bank where file_name like '%.pdf') select 'bank' as name, count(*) as n from bank where id not in (from gone) union all select 'question', count(*) from question where bank_id not in (from gone)
-    union all select 'practice_session', count(*) from session where bank_id not in (from gone) union all select 'practice_record', count(*) from record join session using (session_id) where bank_id not in (from gone)""",
-)
+_LEFT = """ select 'bank' as name, id as a, 0 as b from bank union all select 'chapter', id, bank_id from chapter union all select 'question', id, bank_id from question union all select 'practice_session', session_id, bank_id from session
+    union all select 'practice_session_question', session_id, question_id from listed union all select 'practice_record', session_id, question_id from record union all select 'wrong_question', bank_id, question_id from wrong"""
+_KEYS = {"bank": ("id", None), "chapter": ("id", "bank_id"), "question": ("id", "bank_id"), "practice_session": ("session_id", "bank_id"), "practice_session_question": ("session_id", "question_id"), "practice_record": ("session_id", "question_id"), "wrong_question": ("bank_id", "question_id")}
+
+
+def bank_tables(t: Tables) -> dict[str, DataFrame]:
+    return {"bank": t.bank, "chapter": t.chapter, "question": t.question, "practice_session": t.session, "practice_record": t.record, "practice_session_question": t.listed, "wrong_question": t.wrong}
+
+
+def all_keys(tables: dict[str, DataFrame]) -> DataFrame:
+    """The keys of all rows of all seven tables."""
+    return reduce(DataFrame.unionByName, [tables[n].select(F.lit(n).alias("name"), F.col(a).cast("long").alias("a"), (F.col(b) if b else F.lit(0)).cast("long").alias("b")) for n, (a, b) in _KEYS.items()])
+
+
+_GONE = ", gone as (select id from bank where file_name like '%.pdf'), keys as (" + _LEFT + ")"
+_OF_GONE = """ select * from keys where case name when 'bank' then a not in (from gone) when 'wrong_question' then a not in (from gone) when 'chapter' then b not in (from gone) when 'question' then b not in (from gone) when 'practice_session' then b not in (from gone)
+    else a not in (select session_id from session where bank_id in (from gone)) end"""
+
+
+@query("b11_delete_banks", _GONE + _OF_GONE)
 def b11(t: Tables) -> DataFrame:
-    tables = {"bank": t.bank, "chapter": t.chapter, "question": t.question, "practice_session": t.session, "practice_record": t.record, "practice_session_question": t.listed, "wrong_question": t.wrong}
-    left = B.delete_banks(tables, t.bank.where(F.col("file_name").endswith(".pdf")))
-    return reduce(DataFrame.unionByName, [left[n].agg(F.count(F.lit(1)).alias("n")).select(F.lit(n).alias("name"), "n") for n in ("bank", "question", "practice_session", "practice_record")])
+    return all_keys(B.delete_banks(bank_tables(t), t.bank.where(F.col("file_name").endswith(".pdf"))))
+
+
+@query("b11_stored_banks", _GONE + _OF_GONE)
+def b11_stored(t: Tables) -> DataFrame:
+    """The same by dropping folders."""
+    store = BankStore(t.spark, f"{I.work_dir(t.spark)}/banks-{uuid.uuid4().hex}")
+    store.write(bank_tables(t))
+    store.delete_banks([r[0] for r in t.bank.where(F.col("file_name").endswith(".pdf")).select("id").collect()])
+    return all_keys({n: store.read(n) for n in store.names()})
 
 
 @query(
@@ -629,6 +670,19 @@ def b11_chapters(t: Tables) -> DataFrame:
     return left["practice_record"].select("session_id", "question_id", "is_correct")
 
 
+@query(
+    "b11_stored_chapters",
+    ", gone as (select id from chapter where id % 20 = 1), lost as (select id from question where chapter_id in (from gone)), keys as (" + _LEFT + """)
+    select * from keys where case name when 'chapter' then a not in (from gone) when 'question' then a not in (from lost) when 'bank' then true when 'practice_session' then true else b not in (from lost) end""",
+)
+def b11_stored_chapters(t: Tables) -> DataFrame:
+    """One chapter of every other bank, in the folders of these banks."""
+    store = BankStore(t.spark, f"{I.work_dir(t.spark)}/banks-{uuid.uuid4().hex}")
+    store.write(bank_tables(t))
+    store.delete_chapters([r[0] for r in t.chapter.where("id % 20 = 1").select("id").collect()])
+    return all_keys({n: store.read(n) for n in store.names()})
+
+
 # ---- model material and results
 
 
