@@ -39,12 +39,15 @@ def bank_counts(bank: DataFrame, question: DataFrame, chapter: DataFrame) -> Dat
     return out.select("bank_id", "name", "file_name", "created_at", *[F.coalesce(n, F.lit(0)).alias(n) for n in numbers])
 
 
+def banks_found(bank: DataFrame, keyword: str | None = None) -> DataFrame:
+    """Banks with a keyword in the name or the file name; all without one."""
+    k = (keyword or "").strip()
+    return bank.where(_has("name", k) | _has("file_name", k)) if k else bank
+
+
 def bank_page(bank: DataFrame, question: DataFrame, chapter: DataFrame, keyword: str | None = None, page: int = 1, size: int | None = None) -> DataFrame:
     """One page of banks, newest first, by a keyword in the name or the file name; ``matches`` is the total."""
-    found = bank
-    if keyword and keyword.strip():
-        k = keyword.strip()
-        found = found.where(_has("name", k) | _has("file_name", k))
+    found = banks_found(bank, keyword)
     offset, size = T.page_bounds("banks", page, size)
     rows = found.orderBy(F.desc("created_at"), F.desc("id")).offset(offset).limit(size)
     total = found.agg(F.count(F.lit(1)).alias("matches"))
@@ -57,19 +60,27 @@ def bank_detail(bank: DataFrame, question: DataFrame, chapter: DataFrame, wrong:
     return bank_counts(bank, question, chapter).join(nested, "bank_id", "left").join(wrong_count(wrong), "bank_id", "left").withColumn("open_wrong", F.coalesce("open_wrong", F.lit(0)))
 
 
-def question_page(question: DataFrame, chapter: DataFrame, bank_id: int | None = None, chapter_id: int | None = None, kind: str | None = None, keyword: str | None = None, page: int = 1, size: int | None = None) -> DataFrame:
-    """One page of questions, newest first, with their chapter's name ('' if there is none)."""
+def questions_found(question: DataFrame, bank_id: int | None = None, chapter_id: int | None = None, kind: str | None = None, keyword: str | None = None) -> DataFrame:
+    """Questions of a bank, chapter or type, with a keyword in the stem; what is not given does not matter."""
     found = question
     for name, value in (("bank_id", bank_id), ("chapter_id", chapter_id), ("type", kind)):
         if value is not None:
             found = found.where(F.col(name) == value)
-    if keyword and keyword.strip():
-        found = found.where(_has("stem", keyword.strip()))
-    offset, size = T.page_bounds("questions", page, size)
+    return found.where(_has("stem", keyword.strip())) if keyword and keyword.strip() else found
+
+
+def with_chapter_name(rows: DataFrame, chapter: DataFrame) -> DataFrame:
     names = chapter.select(F.col("id").alias("chapter_id"), F.col("name").alias("chapter_name"))
+    return rows.join(names, "chapter_id", "left").withColumn("chapter_name", F.coalesce("chapter_name", F.lit("")))
+
+
+def question_page(question: DataFrame, chapter: DataFrame, bank_id: int | None = None, chapter_id: int | None = None, kind: str | None = None, keyword: str | None = None, page: int = 1, size: int | None = None) -> DataFrame:
+    """One page of questions, newest first, with their chapter's name ('' if there is none)."""
+    found = questions_found(question, bank_id, chapter_id, kind, keyword)
+    offset, size = T.page_bounds("questions", page, size)
     total = found.agg(F.count(F.lit(1)).alias("matches"))
     rows = found.orderBy(F.desc("created_at"), F.desc("id")).offset(offset).limit(size)
-    return rows.join(names, "chapter_id", "left").withColumn("chapter_name", F.coalesce("chapter_name", F.lit(""))).join(F.broadcast(total))
+    return with_chapter_name(rows, chapter).join(F.broadcast(total))
 
 
 def list_banks(bank: DataFrame, question: DataFrame) -> DataFrame:

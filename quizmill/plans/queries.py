@@ -14,6 +14,7 @@ from quizmill.functions import text as T
 from quizmill.operators import bank as B
 from quizmill.operators import chat as C
 from quizmill.operators import model_io as M
+from quizmill.operators import pages as P
 from quizmill.operators import practice as K
 from quizmill.operators import reports as R
 from quizmill.operators import search as S8
@@ -190,6 +191,15 @@ def r04(t: Tables) -> DataFrame:
     return R.bank_page(t.bank, t.question, t.chapter, keyword=" TION ", size=5)
 
 
+@query("r04_bank_seek", _COUNTS + ", f as (select * from counts where lower(name) like '%tion%') select * from f order by created_at desc, bank_id desc limit 4 offset 8")
+def r04_seek(t: Tables) -> DataFrame:
+    """The third page, from the last keys of the first two."""
+    after = None
+    for _ in range(2):
+        after = P.last_key(P.page_after(R.banks_found(t.bank, "tion"), P.NEWEST, 4, after), P.NEWEST)
+    return P.bank_page(t.bank, t.question, t.chapter, "tion", 4, after)
+
+
 @query(
     "r05_bank_detail",
     _COUNTS + """, ch as (""" + _CHAPTERS + """) select counts.*, chapter_list, coalesce(open_wrong, 0) as open_wrong from counts
@@ -208,6 +218,16 @@ def r06(t: Tables) -> DataFrame:
     return R.question_page(t.question, t.chapter, kind="SINGLE", keyword="A", page=2).select("id", "bank_id", "stem", "chapter_name", "matches")
 
 
+@query("r06_question_seek", ", f as (select * from question where bank_id % 2 = 1 and type = 'MULTIPLE') select f.id, f.bank_id, stem, coalesce(c.name, '') as chapter_name from f left join chapter c on c.id = chapter_id order by f.created_at desc, f.id desc limit 5 offset 15")
+def r06_seek(t: Tables) -> DataFrame:
+    """The fourth page of questions that were written in order."""
+    rows = P.write_for_pages(t.question.where("bank_id % 2 = 1"), P.NEWEST, f"{I.work_dir(t.spark)}/pages-{uuid.uuid4().hex}")
+    after = None
+    for _ in range(3):
+        after = P.last_key(P.page_after(R.questions_found(rows, kind="MULTIPLE"), P.NEWEST, 5, after), P.NEWEST)
+    return P.question_page(rows, t.chapter, kind="MULTIPLE", size=5, after=after).select("id", "bank_id", "stem", "chapter_name")
+
+
 @query("r07_list_banks", " select b.id, name, count(q.id) as question_count from bank b left join question q on q.bank_id = b.id group by all")
 def r07(t: Tables) -> DataFrame:
     return R.list_banks(t.bank, t.question)
@@ -830,6 +850,15 @@ def c02(t: Tables) -> DataFrame:
     return C.message_page(t.chat, 3, page=2, size=3).select("id", "role", "content", "matches")
 
 
+@query("c02_message_seek", " select id, role, content from chat where session_id = (select session_id from chat group by 1 order by count(*) desc, 1 limit 1) order by created_at, id limit 2 offset 2")
+def c02_seek(t: Tables) -> DataFrame:
+    """The second page of the longest session."""
+    longest = t.chat.groupBy("session_id").count().orderBy(F.desc("count"), "session_id").first()
+    session = longest["session_id"] if longest else -1
+    after = P.last_key(P.message_page(t.chat, session, 2), P.OLDEST)
+    return P.message_page(t.chat, session, 2, after).select("id", "role", "content")
+
+
 _CHAT_ROLL = """, u as (select session_id, count(*) as message_count, max(created_at) as updated_at, arg_min(content, id) filter (role = 'user') as first from chat group by 1),
 roll as (select session_id as id, case when session_id % 2 = 0 then 'kept ' || session_id else coalesce(substr(regexp_replace(first, '^[\\x00-\\x20]+|[\\x00-\\x20]+$', '', 'g'), 1, 20), ' ') end as title, message_count, updated_at from u)"""
 
