@@ -24,6 +24,7 @@ from quizmill.schemas import schema
 from quizmill.sources import ingest as I
 from quizmill.sources.bank_store import BankStore
 from quizmill.streaming import attempts as A
+from quizmill.streaming.counts import CountStore, chapter_counts, question_counts, signed, wrong_counts
 from quizmill.streaming.store import KeyedTable, upsert_stream
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -884,6 +885,40 @@ def c05(t: Tables) -> DataFrame:
     return C.delete_chat_sessions(chat_sessions(t), t.chat, gone)[1].select("id")
 
 
+# ---- counts that are kept
+
+
+def kept_counts(t: Tables) -> CountStore:
+    """Three batches: most questions and chapters; the rest, and questions that change type or chapter; wrong-book rows of which some are resolved."""
+    store = CountStore(t.spark, f"{I.work_dir(t.spark)}/counts-{uuid.uuid4().hex}", buckets=8)
+    q = t.written(t.question.select("id", "bank_id", "chapter_id", "type"), "question")
+    before = q.where("id % 4 <> 0").withColumn("type", F.when(F.col("id") % 5 == 1, "ESSAY").otherwise(F.col("type"))).withColumn("chapter_id", F.when(F.col("id") % 7 == 1, F.col("bank_id") * 10).otherwise(F.col("chapter_id")))
+    changed = F.col("id") % 5 == 1
+    moved = F.col("id") % 7 == 1
+    came = lambda df: df.withColumn("sign", F.lit(1))
+    store.add([question_counts(came(before)), chapter_counts(came(t.chapter))], 0)
+    store.add([question_counts(signed(before.where(changed | moved), q.where((changed | moved) & (F.col("id") % 4 != 0)).unionByName(q.where("id % 4 = 0"))))], 1)
+    wrong = t.written(t.wrong.join(q.select(F.col("id").alias("question_id"), "type", "chapter_id"), "question_id"), "wrong")
+    store.add([wrong_counts(came(wrong.withColumn("resolved", F.lit(0))))], 2)
+    store.add([wrong_counts(signed(wrong.where("resolved = 1").withColumn("resolved", F.lit(0)), wrong.where("resolved = 1")))], 3)
+    return store
+
+
+@query("r01_kept_counts", " select bank_id, type, count(*) as cnt from question where bank_id in (select id from bank where id % 3 <> 0) group by 1, 2")
+def r01_kept(t: Tables) -> DataFrame:
+    return kept_counts(t).by_bank_type(t.bank.where("id % 3 <> 0"))
+
+
+@query("r05_kept_counts", _COUNTS + " select counts.*, coalesce(open_wrong, 0) as open_wrong from counts left join (select bank_id, count(*) as open_wrong from wrong where resolved = 0 group by 1) using (bank_id)")
+def r05_kept(t: Tables) -> DataFrame:
+    return kept_counts(t).bank_counts(t.bank)
+
+
+@query("r13_kept_counts", " select w.bank_id, type, count(*) as cnt from wrong w join question q on q.id = question_id where resolved = 0 group by 1, 2")
+def r13_kept(t: Tables) -> DataFrame:
+    return kept_counts(t).wrong_by_type()
+
+
 # ---- streams, run to the end of what is there
 
 

@@ -37,10 +37,13 @@ class KeyedTable:
         """The current row of every key."""
         return self._read("rows").drop(BUCKET)
 
+    def numbers(self, changes: DataFrame) -> list[int]:
+        """The folders that the keys of ``changes`` fall in: at most ``buckets``."""
+        return sorted(r[0] for r in changes.select(self.bucket()).distinct().collect())
+
     def touched(self, changes: DataFrame) -> DataFrame:
-        """The current rows of the folders that the keys of ``changes`` fall in, with the folder's number."""
-        numbers = sorted(r[0] for r in changes.select(self.bucket()).distinct().collect())  # at most ``buckets``
-        return self._read("rows").where(F.col(BUCKET).isin(numbers))
+        """The current rows of these folders, with the folder's number."""
+        return self._read("rows").where(F.col(BUCKET).isin(self.numbers(changes)))
 
     def _batches(self, kind: str) -> list[int]:
         done = self._fs.globStatus(self._path(f"{self.path}/{kind}/batch=*/_SUCCESS")) or []
@@ -65,6 +68,9 @@ class KeyedTable:
             merged = merge(old, new) if merge else old.join(new.select(*self.keys), self.keys, "left_anti").unionByName(new)
             merged.withColumn(BUCKET, self.bucket()).repartition(BUCKET).write.mode("overwrite").partitionBy(BUCKET).parquet(f"{self.path}/staged/batch={batch}")
         self._read(f"staged/batch={batch}").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(BUCKET).parquet(f"{self.path}/rows")
+        for i in self.numbers(self.changes(batch)):
+            if not self._fs.exists(self._path(f"{self.path}/staged/batch={batch}/{BUCKET}={i}")):  # nothing is left of it
+                self._fs.delete(self._path(f"{self.path}/rows/{BUCKET}={i}"), True)
         for kind in ("staged", "changes"):
             for i in self._batches(kind):
                 if i < batch:

@@ -43,7 +43,7 @@ def test_records_are_the_batch_fold(spark, tables, tmp_path):
 def test_a_batch_reads_its_own_folders(spark, tables, tmp_path):
     store = A.RecordStore(spark, f"{tmp_path}/records", buckets=200)
     store.write_batch(tables.graded, 0)
-    files = {f.name: f.stat().st_mtime_ns for f in (tmp_path / "records/rows").rglob("*.parquet")}
+    files = {str(f): f.stat().st_mtime_ns for f in (tmp_path / "records/rows").rglob("*.parquet")}
     sessions = [r[0] for r in tables.graded.select("session_id").distinct().orderBy("session_id").limit(2).collect()]
     late = tables.graded.where(F.col("session_id").isin(sessions)).withColumn("seq", F.col("seq") + 10**9)
     old = store.touched(A.fold_batch(late))
@@ -51,7 +51,7 @@ def test_a_batch_reads_its_own_folders(spark, tables, tmp_path):
     assert re.search(rf"PartitionFilters: \[[^\]]*{BUCKET}", plan)
     assert "Exchange" not in plan and old.count() < store.records().count() / 20
     store.write_batch(late, 1)
-    now = {f.name: f.stat().st_mtime_ns for f in (tmp_path / "records/rows").rglob("*.parquet")}
+    now = {str(f): f.stat().st_mtime_ns for f in (tmp_path / "records/rows").rglob("*.parquet")}
     assert len(set(files) - set(now)) <= 2 and sum(now.get(k) == v for k, v in files.items()) >= len(files) - 2
     assert store.records().where("first_seq > 1000000000").count() == 0
 
