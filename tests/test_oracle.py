@@ -13,15 +13,10 @@ def duck(sf_dir):
 
 @pytest.mark.parametrize("name", sorted(SQL))
 def test_same_as_sql(spark, sf_dir, duck, name):
-    same(QUERIES[name](spark, sf_dir), duck, SQL[name])
-
-
-def test_plans_stay_in_the_jvm(spark, sf_dir):
-    for name in SQL:
-        if name.startswith("t0"):  # streams run when they are called
-            continue
-        plan = QUERIES[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
-        assert "Python" not in plan and "Arrow" not in plan, name
+    df = QUERIES[name](spark, sf_dir)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan  # plans stay in the JVM
+    same(df, duck, SQL[name])
 
 
 def test_entry(spark):
