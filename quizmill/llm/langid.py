@@ -8,9 +8,11 @@ from expectation-maximisation over a bounded, labelled sample.
 from __future__ import annotations
 
 import re
+import unicodedata
 import uuid
 from collections import Counter
 from functools import lru_cache
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -21,8 +23,19 @@ from pyspark.sql import types as T
 from .common import Cache, fold, sample_key, save, table, worker_cache
 from .pieces import MARK, NORMAL, default_model, piece_model
 
-#: Words are runs of letters of the lower-cased text, of any length.
-WORDS = re.compile(r"[^\W\d_]+")
+#: Combining marks, as Unicode has them.
+MARKS = frozenset(chr(c) for c in range(0x110000) if unicodedata.category(chr(c))[0] == "M")
+
+
+def ranges(characters: frozenset[str]) -> str:
+    """The inside of a character class of a regular expression that matches these characters."""
+    runs = [[c for _, c in run] for _, run in groupby(enumerate(sorted(map(ord, characters))), lambda x: x[1] - x[0])]
+    return "".join(f"\\U{run[0]:08x}-\\U{run[-1]:08x}" for run in runs)
+
+
+#: Words are runs of letters of the lower-cased text, of any length, with the marks that stand on them (none is ASCII, and
+#: to ask that first is quicker).
+WORDS = re.compile(rf"[^\W\d_]+(?:(?![\x00-\x7F])[{ranges(MARKS)}][^\W\d_]*)*")
 #: Characters of words that are scored at once, about, and bytes of word scores that a worker remembers.
 SLICE, CACHE_BYTES = 400_000, 40_000_000
 #: Sums are looked at for underflow after this many characters; those below LOW are multiplied by LIFT.
@@ -139,13 +152,13 @@ def with_none(theta: np.ndarray) -> np.ndarray:
 
 
 class Vocabulary:
-    """The lower-case letter pieces of a public model, by length, and one id for any other character."""
+    """The lower-case pieces of letters and marks of a public model, by length, and one id for any other character."""
 
     base = np.uint64(0x9E3779B97F4A7C15)
 
     def __init__(self, path: str):
         model = piece_model(path)
-        pieces = sorted({p for p, k in zip(model.pieces, model.kinds, strict=True) if k == NORMAL and p == p.lower() and (p == MARK or p.lstrip(MARK).isalpha() and p.count(MARK) <= 1)})
+        pieces = sorted({p for p, k in zip(model.pieces, model.kinds, strict=True) if k == NORMAL and p == p.lower() and (p == MARK or p.lstrip(MARK) and all(c.isalpha() or c in MARKS for c in p.lstrip(MARK)) and p.count(MARK) <= 1)})
         self.size, self.unknown, self.by_length = len(pieces) + 1, len(pieces), {}
         self.longest = max(map(len, pieces), default=1)
         for n in range(1, self.longest + 1):
@@ -186,7 +199,8 @@ def train_languages(labelled: DataFrame, model_path: str, per_language: int = 30
 
     At most about ``per_language`` documents of each language are used, chosen by a hash of their ids: a bounded,
     repeatable sample.  Their words are counted by Spark, and so are the expected piece counts of each round; what
-    reaches the driver is one number per piece and language.
+    reaches the driver is one number per piece and language.  Where every ``lang`` is null, or the table is empty, the
+    model has no language; a language whose texts hold no word (none but marks, say) has equal probabilities.
     """
     labelled = labelled.where(F.col("lang").isNotNull()).select("doc_id", "text", "lang")
     totals = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}

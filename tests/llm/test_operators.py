@@ -222,7 +222,7 @@ def piece_id(voc, piece):
 def test_forward_sums_all_segmentations():
     voc = langid.vocabulary(pieces.default_model())
     theta = np.random.default_rng(0).uniform(1e-4, 1e-2, (voc.size, 2))
-    words = ["the", "a", "zß", "bonjour", "qqqqqqqqqq", "information", "responsibilities"]
+    words = ["the", "a", "zß", "bonjour", "qqqqqqqqqq", "information", "responsibilities", "हिन्दी", "cafe\u0301"]
     lattice = langid.Lattice(voc, words)
     assert voc.longest > 7 and any(len(p) >= 8 for w in words for way in segmentations(voc, w) for p in way)
     got = lattice.log_sums(langid.with_none(theta))
@@ -238,6 +238,22 @@ def test_forward_sums_all_segmentations():
         assert np.allclose(used[k], counts)
 
 
+def test_words_keep_their_marks(spark):
+    assert langid.words_of("हिन्दी भाषा में, cafe\u0301 x_y ab12cd \u0301 หนี้") == ["हिन्दी", "भाषा", "में", "cafe\u0301", "x", "y", "ab", "cd", "หนี้"]
+    assert langid.words_of("\u0301\u093f \U0001e8d0") == [] and langid.words_of("a\U0001e8d0b") == ["a\U0001e8d0b"]
+    for text in ("Über-große Wörter, naïve 12 façades", "x" * 50, "日本語 テキスト", ""):
+        assert langid.words_of(text) == re.findall(r"[^\W\d_]+", text.lower())
+    voc = langid.vocabulary(pieces.default_model())
+    whole = [p for p in pieces.piece_model(pieces.default_model()).pieces if any(c in langid.MARKS for c in p)]
+    assert sum(piece_id(voc, p) != voc.unknown for p in whole if len(p) <= voc.longest) > 100
+    rows = [(i, "हिन्दी भाषा में लिखा" if i % 2 else "मराठी भाषेत लिहिले आहे", "hi" if i % 2 else "mr") for i in range(20)]
+    docs = spark.createDataFrame([*rows, (99, "\u0301 \u093f", None)], "doc_id long, text string, lang string")
+    got = {r.doc_id: r.lang_pred for r in langid.predict_languages(docs, langid.train_languages(docs, pieces.default_model())).collect()}
+    assert got == {i: k for i, _, k in rows} | {99: "und"}
+    none = langid.train_languages(docs.where("doc_id = 99"), pieces.default_model())
+    assert none["langs"] == [] and [r.lang_pred for r in langid.predict_languages(docs.limit(1), none).collect()] == ["und"]
+
+
 def test_long_words_are_whole_and_do_not_underflow():
     voc = langid.vocabulary(pieces.default_model())
     theta = np.stack([np.full(voc.size, 1e-9), np.random.default_rng(1).uniform(1e-6, 1e-3, voc.size)], 1)
