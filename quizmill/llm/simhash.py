@@ -27,6 +27,8 @@ BUCKET = 256
 SLAB = 1 << 15
 #: One row in so many is looked at for common shingles; how often one must stand there to count as common, and how many count.
 SAMPLE, COMMON, MOST_COMMON = 32, 4, 200_000
+#: Columns of a parity sketch, 64 bits each.
+SKETCH = ["s0", "s1", "s2", "s3"]
 
 
 def shingle_hashes(text: str | None, shingle: int) -> np.ndarray:
@@ -252,8 +254,23 @@ def common_shingles(rows: DataFrame, shingle: int) -> np.ndarray:
     return np.sort(top["h"].to_numpy(np.int64))
 
 
+def parity_sketch(hashes: np.ndarray) -> np.ndarray:
+    """Four words of 64 bits: bit k tells whether an odd number of the distinct ``hashes`` end in byte k.
+
+    A hash that two sets share changes a bit of both, so the sketches of two sets differ in no more bits than the sets have
+    hashes that the other lacks.
+    """
+    odd = np.bincount(hashes.view(np.uint8)[7::8], minlength=64 * len(SKETCH)) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view("<u8")
+
+
+def most_unshared(n: np.ndarray, m: np.ndarray, similarity: float) -> np.ndarray:
+    """How many elements of two sets of this similarity or more stand in one of them only, at most."""
+    return np.floor((1 - similarity) / (1 + similarity) * (n + m) + 1e-9).astype(np.int64)
+
+
 def describe(rows: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """``rows`` (uid, text) to uid, ``fp``, ``n`` (distinct shingles) and ``prefix``: the shingles to search with.
+    """``rows`` (uid, text) to uid, ``fp``, ``n`` (distinct shingles), a parity sketch and ``prefix``: the shingles to search with.
 
     Two sets of at least this Jaccard similarity share ``similarity`` of either one, so whatever order all shingles are put
     in, they share one of the first n - ceil(similarity n) + 1 of each: no pair is lost.  Common shingles come last, which
@@ -264,7 +281,7 @@ def describe(rows: DataFrame, shingle: int, similarity: float) -> DataFrame:
     def run(batches):
         hot = common.value
         for b in batches:
-            fps, sizes, prefixes = [], [], []
+            fps, sizes, prefixes, sketches = [], [], [], [np.zeros(0, np.uint64)]
             for t in b.column(1).to_pylist():
                 hashes = shingle_hashes(t, shingle)
                 own = np.unique(hashes).view(np.int64)
@@ -272,13 +289,16 @@ def describe(rows: DataFrame, shingle: int, similarity: float) -> DataFrame:
                     late = hot[np.minimum(np.searchsorted(hot, own), len(hot) - 1)] == own
                     own = np.concatenate([own[~late], own[late]])
                 fps.append(majority(hashes))
+                sketches.append(parity_sketch(own))
                 sizes.append(len(own))
                 prefixes.append(own[: len(own) - ceil(similarity * len(own) - 1e-9) + 1])
             ends = np.cumsum([0, *map(len, prefixes)]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.int64), *prefixes])))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(np.array(sizes, np.int32)), lists], names=["uid", "fp", "n", "prefix"])
+            parity = np.concatenate(sketches).view(np.int64).reshape(-1, len(SKETCH))
+            columns = [b.column(0), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(np.array(sizes, np.int32)), lists, *map(pa.array, parity.T.copy())]
+            yield pa.RecordBatch.from_arrays(columns, names=["uid", "fp", "n", "prefix", *SKETCH])
 
-    return rows.select("uid", "text").mapInArrow(run, "uid long, fp long, n int, prefix array<long>")
+    return rows.select("uid", "text").mapInArrow(run, "uid long, fp long, n int, prefix array<long>, " + ", ".join(f"{s} long" for s in SKETCH))
 
 
 def verified(pairs: DataFrame, rows: DataFrame, shingle: int, similarity: float) -> DataFrame:
@@ -347,23 +367,24 @@ def neighbours(rows: DataFrame, radius: int, similarity: float) -> DataFrame:
         middle = np.repeat(np.packbits(most, axis=1, bitorder="little").view("<u8")[:, 0], size)
         away = np.bitwise_count(fp.view(np.uint64) ^ middle).astype(np.int64) * len(h) + np.arange(len(h))
         centre = np.repeat(np.minimum.reduceat(away, first) % len(h), size)
-        close = (np.bitwise_count(fp ^ fp[centre]) <= radius) & (uid != uid[centre])
+        close = (np.bitwise_count((fp ^ fp[centre]).view(np.uint64)) <= radius) & (uid != uid[centre])
         close &= np.minimum(n, n[centre]) >= similarity * np.maximum(n, n[centre]) - 1e-9
         return pa.RecordBatch.from_arrays([pa.array(h), pa.array(uid), pa.array(n), pa.array(fp), pa.array(uid[centre], mask=~close)], names=["h", "uid", "n", "fp", "centre"])
 
     return rows.select("h", "uid", "n", "fp").repartition("h").sortWithinPartitions("h").mapInArrow(run, "h long, uid long, n int, fp long, centre long")
 
 
-def near_links(rows: DataFrame, shingle: int, similarity: float) -> DataFrame:
+def near_links(rows: DataFrame, shingle: int, similarity: float, radius: int) -> DataFrame:
     """(node, component) of the ``rows`` (uid, text; each with a word) that have a near duplicate.
 
     Components are those of the graph of all pairs of at least this similarity that share a search shingle, as all such
-    pairs do, and whose fingerprints lie within ``wide_radius``.  Pairs of a row and the middle of its bucket are verified
+    pairs do, and whose fingerprints lie within ``radius``.  Pairs of a row and the middle of its bucket are verified
     first.  Then fingerprints are compared bit plane by bit plane inside buckets that hold rows of more than one component,
-    and the close pairs across components are verified, all of them.
+    and the close pairs across components are verified, but for those whose parity sketches or whose number of shared search
+    shingles already show that they are less similar.
     """
-    radius = wide_radius(similarity)
-    searched = describe(rows, shingle, similarity).select(F.explode("prefix").alias("h"), "uid", "n", "fp")
+    described = save(describe(rows, shingle, similarity), "described")
+    searched = described.select(F.explode("prefix").alias("h"), "uid", "n", "fp")
     shared = save(neighbours(searched, radius, similarity), "shared")
     first = shared.where("centre is not null").groupBy("uid", "centre").agg(F.count(F.lit(1)).alias("c"), F.first("n").alias("n"))
     # pairs of one or two shingles are not worth a comparison yet; what is missed here is found below
@@ -372,7 +393,7 @@ def near_links(rows: DataFrame, shingle: int, similarity: float) -> DataFrame:
 
     placed = shared.join(named, F.col("uid") == F.col("node"), "left").select("h", "uid", "n", "fp", F.coalesce("component", "uid").alias("component"))
     open_ = placed.groupBy("h").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("size")).where("lo < hi").select("h", "size")
-    left = placed.join(open_, "h")
+    left = placed.join(open_, "h").join(described.select("uid", *SKETCH), "uid")
 
     def across(cols, groups):
         found = [(np.zeros(0, np.int64),) * 2]
@@ -380,30 +401,37 @@ def near_links(rows: DataFrame, shingle: int, similarity: float) -> DataFrame:
             n, m = cols["n"][a], cols["n"][b]
             ok = (cols["component"][a] != cols["component"][b]) & (np.minimum(n, m) >= similarity * np.maximum(n, m) - 1e-9)
             ok &= (cols["i"][a] == cols["j"][a]) | (cols["own"][a] != cols["own"][b])
+            a, b = a[ok], b[ok]
+            apart = sum(np.bitwise_count((cols[s][a] ^ cols[s][b]).view(np.uint64)).astype(np.int64) for s in SKETCH)
+            ok = apart <= most_unshared(cols["n"][a].astype(np.int64), cols["n"][b].astype(np.int64), similarity)
             found.append((a[ok], b[ok]))
         a, b = (np.concatenate(x) for x in zip(*found, strict=True))
         need = least_shared(cols["n"][a].astype(np.int64), cols["n"][b].astype(np.int64), similarity)
         return np.maximum(cols["uid"][a], cols["uid"][b]), np.minimum(cols["uid"][a], cols["uid"][b]), need
 
-    pairs = meet(left, ["h"], ["uid", "n", "fp", "component"], across, ("a", "b", "need"))
+    pairs = meet(left, ["h"], ["uid", "n", "fp", "component", *SKETCH], across, ("a", "b", "need"))
     pairs = pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("c"), F.first("need").alias("need")).where("c >= need").select("a", "b")
     more = verified(save(pairs, "pairs"), rows, shingle, similarity)
     drop_saved(shared)
+    drop_saved(described)
     return connected_components(named.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
 
 
-def drop_near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, radius: int | None = None) -> DataFrame:
     """The rows of ``docs``, with all their columns: one of each component, the one with the smallest doc_id.
 
     Rows link if the Jaccard similarity of their sets of word shingles is ``similarity`` or more (as 64-bit hashes, so but
     for colliding hashes exactly); a text shorter than a shingle is one shingle.  Texts without a word are not compared
     and stay.  A row with a null doc_id stays only if no row of its component has one; of rows with the same doc_id one
     stays, whichever was numbered first.
+
+    ``radius`` is the distance of fingerprints up to which pairs are looked at, ``wide_radius`` if not given; 64 looks at all
+    that share a search shingle, so no pair of this similarity is missed.
     """
     uid = free_name(docs, "_uid")
     held = save(docs.withColumn(uid, F.monotonically_increasing_id()), "near-rows")
     rows = held.where(F.col("text").rlike(r"[^\x20\x09-\x0D]")).select(F.col(uid).alias("uid"), F.col("text").cast("string").alias("text"))
-    named = near_links(rows, shingle, similarity)
+    named = near_links(rows, shingle, similarity, wide_radius(similarity) if radius is None else radius)
     members = held.select(F.col(uid).alias("_uid"), "doc_id").join(named, F.col("_uid") == F.col("node")).select("_uid", "component", F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_uid").alias("rank"))
     first = members.groupBy("component").agg(F.min("rank").alias("first"))
     gone = save(members.join(first, "component").where(F.col("_uid") != F.col("first._uid")).select(F.col("_uid").alias(uid)), "near-copies")

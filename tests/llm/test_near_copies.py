@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
 import pytest
 
 from quizmill.llm import simhash
@@ -39,8 +40,24 @@ def kept(texts):
     return {i for i, h in enumerate(home) if h == i}
 
 
-@pytest.mark.parametrize("common", [2, 8])
-def test_near_copies_are_those_of_brute_force(spark, monkeypatch, common):
+def test_sketches_never_differ_in_more_bits_than_sets():
+    rng = np.random.default_rng(3)
+    for n, m, both in [(0, 0, 0), (1, 0, 0), (5, 3, 40), (40, 90, 150), (2000, 1500, 9000)]:
+        h = np.unique(rng.integers(0, 2**63, n + m + both, dtype=np.uint64) * np.uint64(2) + np.uint64(1))
+        rng.shuffle(h)
+        a, b = np.sort(h[: n + both]), np.sort(np.concatenate([h[n : n + both], h[n + both :]]))
+        apart = int(np.bitwise_count(simhash.parity_sketch(a) ^ simhash.parity_sketch(b)).sum())
+        assert apart <= n + m and apart % 2 == (n + m) % 2
+    sizes = np.array([1, 10, 45, 90, 100])
+    for n in sizes:  # two sets of n and m elements that share k
+        for m in sizes:
+            for k in range(min(n, m) + 1):
+                if k * 5 >= 4 * (n + m - k):
+                    assert n + m - 2 * k <= simhash.most_unshared(np.array([n]), np.array([m]), 0.8)[0]
+
+
+@pytest.mark.parametrize("common, radius", [(2, None), (8, None), (4, 64)])
+def test_near_copies_are_those_of_brute_force(spark, monkeypatch, common, radius):
     monkeypatch.setattr(simhash, "COMMON", common)
     rng = random.Random(5)
     texts = []
@@ -55,4 +72,4 @@ def test_near_copies_are_those_of_brute_force(spark, monkeypatch, common):
     texts += [edited(rng, base, 0.81, 0.9) for _ in range(20)]
     rng.shuffle(texts)
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
-    assert {r.doc_id for r in simhash.drop_near_duplicates(docs).collect()} == kept(texts)
+    assert {r.doc_id for r in simhash.drop_near_duplicates(docs, radius=radius).collect()} == kept(texts)
