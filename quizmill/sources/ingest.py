@@ -40,14 +40,25 @@ def decode_texts(files: DataFrame) -> DataFrame:
         conf.set(flag, before)
 
 
-def read_bank_texts(spark: SparkSession, path: str) -> DataFrame:
-    """(path, ext, size, content, text) of the files that a folder, file or pattern names, empty files too."""
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
+def read_bank_texts(spark: SparkSession, path: str, recursive: bool = False) -> DataFrame:
+    """(path, ext, size, content, text) of the files that a folder, file or pattern names, empty files too.
+
+    ``recursive``: those of the folders inside as well.  As with Spark's own reader, files are listed by the driver; of the
+    listing only the names of empty files are kept.  Names that begin with a dot or an underscore are passed over.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", recursive).load(path).select("path", "content")
     # Spark's reader passes over empty files, so their names come from the file system
     place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     fs = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    found = [f for top in fs.globStatus(place) or [] for f in (fs.listStatus(top.getPath()) if top.isDirectory() else [top])]
-    empty = [(f.getPath().toString(), b"") for f in found if f.isFile() and f.getLen() == 0 and f.getPath().getName()[0] not in "._"]
+    empty = []
+    for top in fs.globStatus(place) or []:
+        inside, found = top.getPath().toString().rstrip("/"), fs.listFiles(top.getPath(), recursive)
+        while found.hasNext():
+            f = found.next()
+            name = f.getPath().toString()
+            below = name.removeprefix(inside).strip("/") or f.getPath().getName()
+            if f.getLen() == 0 and not any(part[0] in "._" for part in below.split("/")):
+                empty.append((name, b""))
     return decode_texts(files.unionByName(spark.createDataFrame(empty, "path string, content binary")) if empty else files)
 
 

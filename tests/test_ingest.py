@@ -17,6 +17,16 @@ def test_read_texts(spark, tmp_path):
     assert spark.conf.get("spark.sql.legacy.javaCharsets") == "false"
 
 
+def test_folders_inside(spark, tmp_path):
+    for name in ("a.txt", "empty.txt", "in/b.txt", "in/empty.txt", "in/deep/empty.docx", "in/_hidden/empty.txt", "in/.empty.txt", "_empty.txt"):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text("" if "empty" in name else name)
+    read = lambda path, **how: {r.path.split(f"{tmp_path}/")[1]: r.text for r in I.read_bank_texts(spark, path, **how).collect()}
+    assert read(str(tmp_path)) == {"a.txt": "a.txt", "empty.txt": ""}
+    assert read(str(tmp_path), recursive=True) == {"a.txt": "a.txt", "empty.txt": "", "in/b.txt": "in/b.txt", "in/empty.txt": "", "in/deep/empty.docx": ""}
+    assert read(f"{tmp_path}/empty.txt") == {"empty.txt": ""}
+
+
 def test_gate(spark):
     files = spark.createDataFrame([("a.txt", 0), ("a.PDF", 5), ("noext", 5), (None, 5), ("a.docx", I.MAX_FILE), ("a.docx", I.MAX_FILE + 1)], "file_name string, size long")
     assert [r.reject_code for r in I.gate_uploads(files).coalesce(1).collect()] == [40001, None, 40002, 40002, None, 40003]
