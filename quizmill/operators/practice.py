@@ -36,6 +36,20 @@ def draw_questions(requests: DataFrame, question: DataFrame, seed: int = 0) -> D
     return drawn.select("session_id", "question_id", F.row_number().over(w).alias("sort"))
 
 
+def count_drawable(requests: DataFrame, question: DataFrame) -> DataFrame:
+    """K4: (session_id, total_count) of requests that can draw a question, without drawing any.
+
+    Questions are counted once for each bank, type and chapter, and these counts are added up for "ALL" types and for any
+    chapter; a request then meets one count, however many questions its bank has.
+    """
+    counts = question.groupBy("bank_id", "type", "chapter_id").agg(F.count(F.lit(1)).alias("n"))
+    chapters = F.array(F.struct(F.lit(True).alias("any"), F.lit(0).cast("long").alias("chapter")), F.struct(F.lit(False).alias("any"), F.col("chapter_id").cast("long").alias("chapter")))
+    sums = counts.withColumn("question_type", F.explode(F.array_distinct(F.array("type", F.lit("ALL"))))).withColumn("_c", F.explode(chapters))
+    sums = sums.groupBy("bank_id", "question_type", F.col("_c.any").alias("_any"), F.col("_c.chapter").alias("_chapter")).agg(F.sum("n").cast("int").alias("total_count"))
+    asked = requests.select("session_id", "bank_id", "question_type", F.col("chapter_id").isNull().alias("_any"), F.coalesce("chapter_id", F.lit(0)).cast("long").alias("_chapter"))
+    return asked.join(sums, ["bank_id", "question_type", "_any", "_chapter"]).select("session_id", "total_count")
+
+
 def draw_wrong_questions(requests: DataFrame, wrong: DataFrame, seed: int = 0) -> DataFrame:
     """K3: open wrong questions of the bank, shuffled unless the mode is SEQUENTIAL (wrong-book order)."""
     open_ones = wrong.where("resolved = 0").select("bank_id", "question_id", F.col("id").alias("_wrong"))
@@ -44,9 +58,12 @@ def draw_wrong_questions(requests: DataFrame, wrong: DataFrame, seed: int = 0) -
 
 
 def build_sessions(requests: DataFrame, drawn: DataFrame, source: str = "NORMAL") -> DataFrame:
-    """K4: new session rows; ``reject_code`` 40011 (or 40012 for wrong-book sessions) where nothing was drawn."""
+    """K4: new session rows; ``reject_code`` 40011 (or 40012 for wrong-book sessions) where nothing was drawn.
+
+    ``drawn`` holds the questions drawn, or their number by session (``count_drawable``).
+    """
     wrong = source == "WRONG"
-    counts = drawn.groupBy("session_id").agg(F.count(F.lit(1)).cast("int").alias("total_count"))
+    counts = drawn if "total_count" in drawn.columns else drawn.groupBy("session_id").agg(F.count(F.lit(1)).cast("int").alias("total_count"))
     return requests.join(counts, "session_id", "left").select(
         "session_id", "bank_id", F.coalesce("mode", F.lit("RANDOM")).alias("mode"),
         (F.lit("ALL") if wrong else F.col("question_type")).alias("question_type"),

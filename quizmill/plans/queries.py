@@ -97,6 +97,23 @@ def k04(t: Tables) -> DataFrame:
     return K.build_sessions(r, K.draw_questions(r, t.question, seed=7))
 
 
+@query(
+    "k04_order_sessions",
+    """, r as (select o_orderkey as session_id, case when o_orderkey % 11 = 0 then 99 else o_custkey % 25 end as bank_id, case when o_orderkey % 2 = 0 then 'SEQUENTIAL' else 'RANDOM' end as mode,
+       case o_orderkey % 4 when 0 then 'SINGLE' when 1 then 'TRUE_FALSE' else 'ALL' end as question_type, case when o_orderkey % 5 = 0 then (o_custkey % 25) * 10 + o_orderkey % 9 end as chapter_id from orders),
+    n as (select session_id, count(q.id) as n from r left join question q on q.bank_id = r.bank_id and (question_type = 'ALL' or question_type = type) and (r.chapter_id is null or r.chapter_id = q.chapter_id) group by 1)
+    select session_id, bank_id, mode, question_type, chapter_id, 'IN_PROGRESS' as status, n as total_count, 0 as answered_count, 0 as correct_count, 'NORMAL' as session_source, case when n = 0 then 40011 end as reject_code from r join n using (session_id)""",
+)
+def k04_orders(t: Tables) -> DataFrame:
+    """A session for every order."""
+    o, key, bank = t.read("orders"), F.col("o_orderkey"), F.col("o_custkey") % 25
+    r = o.select(
+        key.alias("session_id"), F.when(key % 11 == 0, 99).otherwise(bank).alias("bank_id"), F.when(key % 2 == 0, "SEQUENTIAL").otherwise("RANDOM").alias("mode"),
+        F.when(key % 4 == 0, "SINGLE").when(key % 4 == 1, "TRUE_FALSE").otherwise("ALL").alias("question_type"), F.when(key % 5 == 0, bank * 10 + key % 9).alias("chapter_id"),
+    )
+    return K.build_sessions(r, K.count_drawable(r, t.question))
+
+
 @query("k05_check_attempts", " select * from checked")
 def k05(t: Tables) -> DataFrame:
     return t.checked
@@ -809,6 +826,44 @@ def m06(t: Tables) -> DataFrame:
     return M.chunk_status(chunks, parsed, M.validate_model_questions(parsed)).select("id", "reason")
 
 
+#: Model outputs of eight questions of a bank each: an object, an array, none, a cut one, an object without array, an empty array.
+_FORMS = ", c as (select id // 200 * 25 + bank_id as id, bank_id as doc_id, min(id // 200) as place, count(*) as n, (id // 200 + bank_id) % 6 as form from question group by 1, 2, 5)"
+_NO_ARRAY = "'AI 返回的 JSON 里没有题目数组：{\"note\": \"none\", \"n\": ' || id || '}'"
+
+
+def model_chunks(t: Tables) -> tuple[DataFrame, DataFrame]:
+    """Chunks of eight questions, and what a model returned for them."""
+    q = F.struct(F.lit("单选题").alias("type"), "stem", F.lit("A").alias("answer"))
+    rows = t.question.groupBy(F.expr("id div 200 * 25 + bank_id").alias("id"), F.col("bank_id").alias("doc_id"), F.expr("id div 200").alias("place")).agg(F.to_json(F.array_sort(F.collect_list(q))).alias("array"))
+    form = (F.col("place") + F.col("doc_id")) % 6
+    head = F.when(F.col("id") % 2 == 1, "1. a question\n").otherwise("no question here\n")
+    chunks = rows.select("id", "doc_id", (F.col("place") * 10 + 1).cast("int").alias("start_line"), (F.col("place") * 10 + 10).cast("int").alias("end_line"), head.alias("text"))
+    raw = (
+        F.when(form == 0, F.concat(F.lit('```json\n{"note": "x", "items": '), "array", F.lit("}\n```")))
+        .when(form == 4, F.concat(F.lit('So:\n{"note": "none", "n": '), F.col("id").cast("string"), F.lit("}")))
+        .when(form == 5, " [] ")
+        .otherwise(F.concat(F.lit("Here they are: "), "array"))
+    )
+    outputs = rows.where(form != 2).select("id", raw.alias("raw_text"), F.when(form == 3, "Length").otherwise("stop").alias("finish_reason"))
+    return chunks, outputs
+
+
+@query("m04_model_arrays", _FORMS + f" select id, case when form = 4 then null when form = 5 then 0 else n end as questions, case when form = 4 then {_NO_ARRAY} end as error from c where form <> 2")
+def m04(t: Tables) -> DataFrame:
+    return M.parse_model_questions(model_chunks(t)[1]).select("id", F.when(F.col("questions").isNotNull(), F.size("questions")).cast("long").alias("questions"), "error")
+
+
+@query(
+    "m06_chunk_failures",
+    _FORMS + f""", r as (select *, case when form = 2 then 'AI 返回了空内容' when form = 3 then 'AI 输出被截断' when form = 4 then {_NO_ARRAY} when form = 5 and id % 2 = 1 then '这一块原文里有题号，但 AI 没抽出任何题目' end as reason from c)
+    select id, doc_id, (place * 10 + 1)::int as start_line, (place * 10 + 10)::int as end_line, reason, 'AI 抽取题目失败（原文第 ' || (place * 10 + 1) || '~' || (place * 10 + 10) || ' 行）：' || reason as message, bool_or(reason is not null) over (partition by doc_id) as doc_failed from r""",
+)
+def m06_failures(t: Tables) -> DataFrame:
+    chunks, outputs = model_chunks(t)
+    parsed = M.parse_model_questions(outputs)
+    return M.chunk_status(chunks, parsed, M.validate_model_questions(parsed))
+
+
 @query(
     "m10_summary_plan",
     """, r as (select case when id = 3 then 99 else id end as bank_id, id % 4 = 0 as force, id from bank) select bank_id, force, case when bank_id = 99 then 40401 end as reject_code, bank_id <> 99 and bank_id % 2 = 0 and not force as from_cache, bank_id <> 99 and not (bank_id % 2 = 0 and not force) as needs_model from r""",
