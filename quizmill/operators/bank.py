@@ -134,8 +134,12 @@ def quality_summary(issues: DataFrame) -> DataFrame:
 
 
 def dedup_questions(df: DataFrame, order: str = "pos") -> DataFrame:
-    """The first of questions with the same fingerprint (stem, options and answer); texts are not shuffled to find it."""
-    marked = df.withColumn("_f", T.fingerprint(F.col("stem"), F.col("options"), F.col("answer")))
+    """The first of questions with the same fingerprint (stem, options and answer) and the same blanks of the answer;
+    texts are not shuffled to find it.
+
+    A fingerprint has no punctuation, so "1；12" and "11；2" look alike in it: the answer's blanks are compared one by one.
+    """
+    marked = df.withColumn("_f", F.sha2(F.concat_ws("||", T.fingerprint(F.col("stem"), F.col("options"), F.col("answer")), T.flat_blanks(F.col("answer"))), 256))
     first = marked.groupBy("_f").agg(F.min(order).alias(order))
     return marked.join(first, ["_f", order], "left_semi").drop("_f")
 
