@@ -40,6 +40,7 @@ def test_copies_have_the_same_blanks(spark):
     answers = ["Brand#1；12", "Brand#11；2", " brand#1 ; 12；", "Brand 1；1；2", "A,D", "ad", None, ""]
     df = spark.createDataFrame(list(enumerate(answers)), "pos int, answer string").withColumn("stem", F.lit("Stem, 1")).withColumn("options", F.expr("array(named_struct('key', 'A', 'text', 'x'))"))
     assert sorted(r.pos for r in B.dedup_questions(df).collect()) == [0, 1, 3, 4, 6]
+    assert sorted(r.pos for r in B.merge_corpora(df.where("pos <> 0"), df.where("pos = 0")).collect()) == [1, 2, 3, 4, 6]
 
 
 def files(base):
