@@ -14,7 +14,8 @@ from quizmill.schemas import OPTION
 
 # The patterns by which lines of question banks are told apart.
 PREFIX = r"(?:>\s*)?(?:#{1,6}\s*)?(?:[-*+]\s+)?(?:\*\*\s*)?"
-QUESTION_HEADER = rf"^\s*{PREFIX}(?:【\s*第\s*\d+\s*题\s*】|【\s*\d+\s*】|\[\s*\d+\s*\]|第\s*\d+\s*题|[（(]\s*\d+\s*[）)]|[①-⑳]\s*[、.．]?\s*\S|\d+\s*[、.．)）]\s*\S)"
+ADDRESS = r"\d{1,3}(?:\.\d{1,3}){3}(?![.\d])"  # four numbers, as of a host: no question's number
+QUESTION_HEADER = rf"^\s*{PREFIX}(?:【\s*第\s*\d+\s*题\s*】|【\s*\d+\s*】|\[\s*\d+\s*\]|第\s*\d+\s*题|[（(]\s*\d+\s*[）)]|[①-⑳]\s*[、.．]?\s*\S|(?!{ADDRESS})\d+\s*[、.．)）]\s*\S)"
 NUMBERED_STEM = rf"^\s*{PREFIX}(?:[（(]\s*\d+\s*[）)]|\d+\s*[、.．)）]|第\s*\d+\s*题|【\s*第\s*\d+\s*题\s*】|【\s*\d+\s*】|\[\s*\d+\s*\]|[①-⑳]|[一二三四五六七八九十百]+\s*[、.．])\s*[、.．:：]?\s*\*{{0,2}}\s*(.+?)\s*$"
 SECTION = r"^\s*(?:\d+|[一二三四五六七八九十]+)\s*[、.．]?\s*(选择题|单项选择题|多项选择题|单选题|多选题|判断题|填空题|简答题|简述题|论述题|计算题|分析题|应用题|名词解释题?|综合题|材料题|编程题|程序设计题|阅读程序题?|操作题)(?:\s*[（(][^）)]*[）)])?\s*$"
 CHINESE_HEADER = r"^\s*([一二三四五六七八九十百]{1,3})\s*[、.．]\s*(\S.*)$"

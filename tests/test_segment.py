@@ -33,6 +33,13 @@ CASES = {
 }
 
 
+def test_an_address_is_no_question(spark):
+    texts = ["48.167.189.142 Oring thed", "ok\n> 20.118.157.107 Betz +1", "10.0.0.1", "1.192.168.1.1 属于哪类地址", "1. 10.0.0.1 属于哪类地址", "1.5 倍", "12．甲"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    routed = {r.doc_id: (r.questions, r.usable) for r in S.route_documents(docs, S.parse_documents(docs)).collect()}
+    assert [routed[i] for i in range(len(texts))] == [(0, False)] * 3 + [(1, True)] * 4
+
+
 @pytest.fixture(scope="module")
 def parsed(spark):
     docs = spark.createDataFrame([*enumerate(CASES), (99, None), (98, "")], "doc_id long, text string")
