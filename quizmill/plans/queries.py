@@ -151,7 +151,7 @@ def k10(t: Tables) -> DataFrame:
     left join (select session_id, list({'first_seq': first_seq, 'question_id': question_id, 'user_answer': user_answer, 'is_correct': is_correct} order by first_seq) as records from record group by 1) r using (session_id)""",
 )
 def k11(t: Tables) -> DataFrame:
-    return K.session_detail(t.progress.select("session_id", "bank_id"), t.listed, t.question, t.chapter, t.record)
+    return K.session_detail(t.session.select("session_id", "bank_id"), t.listed, t.question, t.chapter, t.record)
 
 
 @query(
