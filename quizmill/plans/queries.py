@@ -318,7 +318,7 @@ _ACC = "case when {a} > 0 then floor(({c}::float * 100::float / {a}::float)::flo
 def r12(t: Tables) -> DataFrame:
     """List and records are written once, in buckets by session: the three parts and the result join where they are."""
     types = t.question.select(F.col("id").alias("question_id"), "type")
-    listed = t.bucketed(t.listed.join(types, "question_id"), "listed", ["session_id"])
+    listed = t.bucketed(t.listed.select("session_id", "question_id").join(types, "question_id"), "listed", ["session_id"])
     record = t.bucketed(K.fold_records(t.graded, ("standard_answer",)), "record", ["session_id"])
     return R.session_result(K.complete_sessions(t.sessions(listed), record), K.type_stats(listed, t.question, record), K.session_wrong_items(record))
 
