@@ -671,6 +671,8 @@ _LEFT = """ select 'bank' as name, id as a, 0 as b from bank union all select 'c
 _KEYS = {"bank": ("id", None), "chapter": ("id", "bank_id"), "question": ("id", "bank_id"), "practice_session": ("session_id", "bank_id"), "practice_session_question": ("session_id", "question_id"), "practice_record": ("session_id", "question_id"), "wrong_question": ("bank_id", "question_id")}
 
 
+    """All tables; attempts are graded once, and records and the wrong book are folded from what was written of them."""
+    t.__dict__["graded"] = t.written(t.graded.drop("type", "standard_answer"), "graded")
 def bank_tables(t: Tables) -> dict[str, DataFrame]:
     return {"bank": t.bank, "chapter": t.chapter, "question": t.question, "practice_session": t.session, "practice_record": t.record, "practice_session_question": t.listed, "wrong_question": t.wrong}
 

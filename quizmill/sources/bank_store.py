@@ -34,7 +34,7 @@ class BankStore:
                 self._put(tables[name].withColumn(HOME, F.col("bank_id")), name)
         for name in BY_SESSION:
             if name in tables:
-                home = tables["practice_session"].select("session_id", F.col("bank_id").alias(HOME))
+                home = self.read("practice_session").select("session_id", F.col("bank_id").alias(HOME))  # as they were written
                 self._put(tables[name].join(home, "session_id", "left"), name)
 
     def _put(self, df: DataFrame, name: str) -> None:

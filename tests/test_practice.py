@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from quizmill.operators import practice as K
+from quizmill.plans import queries as Q
 from quizmill.plans.fixtures import Tables
 from quizmill.sources import ingest as I
+from quizmill.streaming import attempts as A
 from tests.compare import rows_of
 
 ATTEMPT = "seq long, session_id long, question_id long, user_answer string"
@@ -28,3 +32,16 @@ def test_records_fold_where_graded_attempts_lie(spark, sf_dir):
     travels = [x for x in lines if x.startswith("Exchange hashpartitioning(")]
     assert len(travels) == 10  # the rows of attempts: to their session, their question, the question asked, the list
     assert sum(x.startswith("FileScan") and "/part.parquet" in x for x in lines) == 2
+
+
+def test_a_batch_is_grouped_once(spark):
+    graded = spark.createDataFrame([(3, 1, 10, "a", True), (5, 1, 10, "b", False)], "seq long, session_id long, question_id long, user_answer string, is_correct boolean").withColumn("ts", F.timestamp_seconds("seq"))
+    out = A.fold_batch(graded)
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("Join") == 0
+    assert [(r.first_seq, r.last_seq, r.user_answer, r.is_correct) for r in out.collect()] == [(3, 5, "b", False)]
+
+
+def test_bank_tables_are_graded_once(spark, sf_dir):
+    tables = Q.bank_tables(Tables(spark, sf_dir))
+    for name in ("practice_record", "wrong_question"):
+        assert "lineitem" not in tables[name]._jdf.queryExecution().executedPlan().toString()
