@@ -20,7 +20,6 @@ from quizmill.operators import reports as R
 from quizmill.operators import search as S8
 from quizmill.operators import segment as S
 from quizmill.plans.fixtures import GROUP, WITH, Tables
-from quizmill.schemas import schema
 from quizmill.sources import ingest as I
 from quizmill.sources.bank_store import BankStore
 from quizmill.streaming import attempts as A
@@ -671,9 +670,9 @@ _LEFT = """ select 'bank' as name, id as a, 0 as b from bank union all select 'c
 _KEYS = {"bank": ("id", None), "chapter": ("id", "bank_id"), "question": ("id", "bank_id"), "practice_session": ("session_id", "bank_id"), "practice_session_question": ("session_id", "question_id"), "practice_record": ("session_id", "question_id"), "wrong_question": ("bank_id", "question_id")}
 
 
+def bank_tables(t: Tables) -> dict[str, DataFrame]:
     """All tables; attempts are graded once, and records and the wrong book are folded from what was written of them."""
     t.__dict__["graded"] = t.written(t.graded.drop("type", "standard_answer"), "graded")
-def bank_tables(t: Tables) -> dict[str, DataFrame]:
     return {"bank": t.bank, "chapter": t.chapter, "question": t.question, "practice_session": t.session, "practice_record": t.record, "practice_session_question": t.listed, "wrong_question": t.wrong}
 
 
@@ -980,23 +979,20 @@ def r13_kept(t: Tables) -> DataFrame:
 
 
 class StreamRun:
-    """The attempts in three sets of files, one after another, read as a stream of three batches, and folders for its
-    results.  A session's attempts are spread over all sets, so later batches bring earlier attempts of known sessions."""
+    """The attempts in three times as many files as a batch takes, read as a stream of three batches, and folders for its
+    results.  A session's attempts are spread over all files, so later batches bring earlier attempts of known sessions."""
 
     def __init__(self, t: Tables):
         self.t, self.spark = t, t.spark
         self.dir = f"{I.work_dir(t.spark)}/stream-{uuid.uuid4().hex}"
-        t.attempt.withColumn("part", F.col("seq") * 7 % 3).write.partitionBy("part").parquet(f"{self.dir}/all")
-        everything = t.spark.read.schema(schema("attempt")).parquet(f"{self.dir}/all/part=*")
-        files = max(1, -(-everything.count() // 3_000_000))
-        for i in range(3):
-            t.spark.read.schema(schema("attempt")).parquet(f"{self.dir}/all/part={i}").repartition(files).write.parquet(f"{self.dir}/in/set{i}")
+        files = max(1, -(-t.read("lineitem").count() // 3_000_000))
+        t.attempt.repartition(3 * files, "seq").write.parquet(f"{self.dir}/in")
         # what attempts are checked against is written once, in buckets: a batch brings its attempts there
         put = lambda df, name, by: I.write_bucketed(df, f"{self.dir}/{name}", [by])
-        session, listed = put(t.requests, "session", "session_id"), put(t.listed, "listed", "session_id")
+        session, listed = put(t.requests.select("session_id"), "session", "session_id"), put(t.listed.select("session_id", "question_id"), "listed", "session_id")
         question = put(t.question.select("id", "bank_id", "type", "answer"), "question", "id")
         self.session = put(t.sessions(listed), "totals", "session_id")
-        self.graded = A.graded_stream(A.read_attempts(t.spark, f"{self.dir}/in/*", files), session, question, listed)
+        self.graded = A.graded_stream(A.read_attempts(t.spark, f"{self.dir}/in", files), session, question, listed)
 
     def updates(self, stream: DataFrame, mode: str = "update") -> DataFrame:
         """What the stream gave, with the number of the batch."""

@@ -27,9 +27,8 @@ def graded_stream(attempts: DataFrame, session: DataFrame, question: DataFrame,
 
 
 def fold_batch(graded: DataFrame) -> DataFrame:
-    """Records of one batch, with the order of their first and last attempts."""
-    last = graded.groupBy("session_id", "question_id").agg(F.max("seq").alias("last_seq"))
-    return K.fold_records(graded).join(last, ["session_id", "question_id"])
+    """Records of one batch, with the order of their first and last attempts; the batch is graded and grouped once."""
+    return K.fold_records(graded, last_seq=True)
 
 
 def merge_records(old: DataFrame, new: DataFrame) -> DataFrame:
