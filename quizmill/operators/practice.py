@@ -74,16 +74,43 @@ def build_sessions(requests: DataFrame, drawn: DataFrame, source: str = "NORMAL"
     )
 
 
-def check_attempts(attempts: DataFrame, session: DataFrame, question: DataFrame, listed: DataFrame) -> DataFrame:
-    """K5: ``reject_code`` of each attempt: blank 40010, session 40402, question 40403, not in the session 40013."""
+def _no_attempt() -> Column:
+    return T.is_blank(F.col("user_answer")) | F.col("session_id").isNull() | F.col("question_id").isNull()
+
+
+def _unknown(attempts: DataFrame, session: DataFrame, question: DataFrame) -> tuple[DataFrame, Column]:
+    """Attempts with what is known of their session and question, and the code if one is not."""
     s = session.select("session_id", F.lit(True).alias("_s"))
     q = question.select(F.col("id").alias("question_id"), F.lit(True).alias("_q"))
+    return attempts.join(s, "session_id", "left").join(q, "question_id", "left"), F.when(F.col("_s").isNull(), 40402).when(F.col("_q").isNull(), 40403)
+
+
+def check_attempts(attempts: DataFrame, session: DataFrame, question: DataFrame, listed: DataFrame) -> DataFrame:
+    """K5: ``reject_code`` of each attempt: blank 40010, session 40402, question 40403, not in the session 40013.
+
+    Attempts go to the tables, one after the other, and the tables stay where they are: for batches, and tables in buckets.
+    """
     pairs = listed.select("session_id", "question_id", F.lit(True).alias("_l"))
-    code = F.when(T.is_blank(F.col("user_answer")) | F.col("session_id").isNull() | F.col("question_id").isNull(), 40010).when(F.col("_s").isNull(), 40402).when(F.col("_q").isNull(), 40403).when(F.col("_l").isNull(), 40013)
-    joined = attempts.join(pairs, ["session_id", "question_id"], "left").join(s, "session_id", "left").join(q, "question_id", "left")
+    joined, unknown = _unknown(attempts.join(pairs, ["session_id", "question_id"], "left"), session, question)
+    code = F.when(_no_attempt(), 40010).otherwise(F.coalesce(unknown, F.when(F.col("_l").isNull(), 40013)))
     return joined.select(*attempts.columns, code.alias("reject_code"))
 
 
+def check_table(attempts: DataFrame, session: DataFrame, question: DataFrame, listed: DataFrame) -> DataFrame:
+    """K5 for a whole table of attempts, with keys that are unique: the codes of ``check_attempts``.
+
+    The list meets sessions and questions first, so attempts travel once, to their session and question; only those that are
+    not found there go on to the sessions and to the questions for their code.
+    """
+    known = listed.select("session_id", "question_id").join(session.select("session_id"), "session_id").join(question.select(F.col("id").alias("question_id")), "question_id")
+    met = attempts.join(known.withColumn("_l", F.lit(True)), ["session_id", "question_id"], "left")
+    # a sum, so that no part of it moves below the join: both halves then read the same exchanges
+    settled = _no_attempt().cast("int") + F.col("_l").isNotNull().cast("int")
+    rest, unknown = _unknown(met.where(settled == 0).select(*attempts.columns), session, question)
+    rest = rest.select(*attempts.columns, F.coalesce(unknown, F.lit(40013)).alias("reject_code"))
+    return met.where(settled > 0).select(*attempts.columns, F.when(_no_attempt(), 40010).alias("reject_code")).unionByName(rest)
+
+
 def grade(attempts: DataFrame, question: DataFrame) -> DataFrame:
     """K6: attempts with the question's bank, type and answer, and ``is_correct`` (null: not graded)."""
     q = question.select(F.col("id").alias("question_id"), "bank_id", "type", F.col("answer").alias("standard_answer"))

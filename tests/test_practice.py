@@ -45,3 +45,21 @@ def test_bank_tables_are_graded_once(spark, sf_dir):
     tables = Q.bank_tables(Tables(spark, sf_dir))
     for name in ("practice_record", "wrong_question"):
         assert "lineitem" not in tables[name]._jdf.queryExecution().executedPlan().toString()
+
+
+def plan_of(df):
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return plan, [x.lstrip(" :+-*()0123456789") for x in plan.split("\n")]
+
+
+def test_a_table_is_checked_with_the_codes_of_a_batch(spark, sf_dir):
+    session = spark.createDataFrame([(1,), (2,), (3,)], "session_id long")
+    question = spark.createDataFrame([(10,), (11,), (12,)], "id long")
+    listed = spark.createDataFrame([(1, 10), (1, 11), (2, 12), (9, 10), (3, 99), (3, None)], "session_id long, question_id long")
+    said = [(s, q, a) for s in (1, 2, 3, 9, -1, None) for q in (10, 11, 12, 99, -1, None) for a in ("A", " ", None)]
+    attempts = spark.createDataFrame([(i, *a) for i, a in enumerate(said)], ATTEMPT)
+    assert rows_of(K.check_table(attempts, session, question, listed)) == rows_of(K.check_attempts(attempts, session, question, listed))
+    with I.settings(spark, {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false"}):
+        plan, lines = plan_of(Tables(spark, sf_dir).checked)
+    # those that are not found read the attempts where they lie, and no line travels with its prices
+    assert sum(x.startswith("ReusedExchange [seq") for x in lines) == 1 and "l_extendedprice" not in plan
