@@ -130,7 +130,7 @@ def k07(t: Tables) -> DataFrame:
 
 @query("k08_session_counts", " select session_id, answered_count, correct_count from progress")
 def k08(t: Tables) -> DataFrame:
-    return K.refresh_counts(t.session, t.record).select("session_id", "answered_count", "correct_count")
+    return K.refresh_counts(t.session, t.record_by_session).select("session_id", "answered_count", "correct_count")
 
 
 @query("k09_completion", " select session_id, total_count, answered_count, correct_count, status, completed_at from progress")
@@ -150,7 +150,7 @@ def k10(t: Tables) -> DataFrame:
     left join (select session_id, list({'first_seq': first_seq, 'question_id': question_id, 'user_answer': user_answer, 'is_correct': is_correct} order by first_seq) as records from record group by 1) r using (session_id)""",
 )
 def k11(t: Tables) -> DataFrame:
-    return K.session_detail(t.session.select("session_id", "bank_id"), t.listed, t.question, t.chapter, t.record)
+    return K.session_detail(t.session.select("session_id", "bank_id"), t.listed, t.question, t.chapter, t.record_by_session)
 
 
 @query(
@@ -160,7 +160,7 @@ def k11(t: Tables) -> DataFrame:
     select seq, session_id, question_id, is_correct, standard_answer, answered_count, correct_count, total_count, case when answered_count >= total_count then 'COMPLETED' else 'IN_PROGRESS' end as status from running join session using (session_id)""",
 )
 def k12(t: Tables) -> DataFrame:
-    return K.submit_results(t.graded, t.session).select("seq", "session_id", "question_id", "is_correct", "standard_answer", "answered_count", "correct_count", "total_count", "status")
+    return K.submit_results(t.graded_by_session, t.session).select("seq", "session_id", "question_id", "is_correct", "standard_answer", "answered_count", "correct_count", "total_count", "status")
 
 
 _STATS = "select session_id, type, count(*) as total, count(*) filter (is_correct) as correct from listed l join question q on q.id = question_id left join record r using (session_id, question_id) group by 1, 2"
@@ -174,7 +174,7 @@ def k13(t: Tables) -> DataFrame:
 
 @query("k14_wrong_items", " " + _WRONG_ITEMS)
 def k14(t: Tables) -> DataFrame:
-    return K.session_wrong_items(t.record, t.question)
+    return K.session_wrong_items(t.record_by_session, t.question)
 
 
 # ---- reports
@@ -318,7 +318,7 @@ def r12(t: Tables) -> DataFrame:
     """List and records are written once, in buckets by session: the three parts and the result join where they are."""
     types = t.question.select(F.col("id").alias("question_id"), "type")
     listed = t.bucketed(t.listed.select("session_id", "question_id").join(types, "question_id"), "listed", ["session_id"])
-    record = t.bucketed(K.fold_records(t.graded, ("standard_answer",)), "record", ["session_id"])
+    record = t.bucketed(K.fold_records(t.graded_by_session, ("standard_answer",)), "record", ["session_id"])
     return R.session_result(K.complete_sessions(t.sessions(listed), record), K.type_stats(listed, t.question, record), K.session_wrong_items(record))
 
 

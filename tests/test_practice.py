@@ -74,3 +74,21 @@ def test_attempts_meet_their_question_once_to_be_graded(spark, sf_dir):
 def test_attempts_that_have_their_question_are_graded_without_it(spark):
     attempts = spark.createDataFrame([(1, 1, 10, "a", 5, "SINGLE", "A"), (2, 1, 99, "a", None, None, None)], f"{ATTEMPT}, bank_id long, type string, standard_answer string")
     assert [(r.seq, r.is_correct) for r in K.grade(attempts).collect()] == [(1, True)]
+
+
+def test_attempts_that_lie_by_session_are_the_same_and_do_not_travel_again(spark, sf_dir):
+    session = spark.createDataFrame([(1,), (2,), (3,), (7,)], "session_id long")
+    question = spark.createDataFrame([(10, 5, "SINGLE", "A"), (11, 5, "ESSAY", "x"), (12, 5, "TRUE_FALSE", "B")], "id long, bank_id long, type string, answer string")
+    listed = spark.createDataFrame([(1, 10), (1, 11), (2, 12), (4, 10), (7, 12), (-1, 10), (3, 99), (3, None), (None, 10)], "session_id long, question_id long")
+    said = [(s, q, a) for s in (1, 2, 3, 4, 7, 9, -1, None) for q in (10, 11, 12, 99, -1, None) for a in ("a", "B", " ", None)]
+    attempts = spark.createDataFrame([(i, *a) for i, a in enumerate(said)], ATTEMPT)
+    by_pair, by_session = (K.grade_accepted(attempts, session, question, listed, by_session=x) for x in (False, True))
+    assert by_session.columns == by_pair.columns and rows_of(by_session) == rows_of(by_pair) and by_pair.count() == 8
+    assert K.grade_accepted(attempts, session.where("false"), question, listed, by_session=True).count() == 0
+    t = Tables(spark, sf_dir)
+    assert rows_of(t.record_by_session) == rows_of(t.record)
+    with I.settings(spark, {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false"}):
+        plan, lines = plan_of(Q.QUERIES["k09_completion"](spark, sf_dir))
+    # the attempts and the sessions; neither the list nor the records, and no answers where only counts are asked for
+    assert sum(x.startswith("Exchange hashpartitioning(session_id#") for x in lines) == 2
+    assert "max_by(struct(is_correct" in plan and "max_by(struct(user_answer" not in plan
