@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pytest
 from pyspark.sql import functions as F
 
 from quizmill.operators import practice as K
@@ -92,3 +93,12 @@ def test_attempts_that_lie_by_session_are_the_same_and_do_not_travel_again(spark
     # the attempts and the sessions; neither the list nor the records, and no answers where only counts are asked for
     assert sum(x.startswith("Exchange hashpartitioning(session_id#") for x in lines) == 2
     assert "max_by(struct(is_correct" in plan and "max_by(struct(user_answer" not in plan
+
+
+@pytest.mark.parametrize("name", ["k08_session_counts"])
+def test_lists_and_records_do_not_travel_where_a_query_goes_on_by_session(spark, sf_dir, name):
+    with I.settings(spark, {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false"}):
+        _, lines = plan_of(Q.QUERIES[name](spark, sf_dir))
+    # of rows made on the way only the attempts are dealt out by session
+    assert sum(x.startswith("Exchange hashpartitioning(session_id#") and "REPARTITION_BY_COL" in x for x in lines) == 1
+    assert not any("hashpartitioning(session_id#" in x and "question_id#" in x.split("),")[0] for x in lines if x.startswith("Exchange"))
