@@ -95,7 +95,7 @@ def test_attempts_that_lie_by_session_are_the_same_and_do_not_travel_again(spark
     assert "max_by(struct(is_correct" in plan and "max_by(struct(user_answer" not in plan
 
 
-@pytest.mark.parametrize("name", ["k08_session_counts", "r16_study_stats"])
+@pytest.mark.parametrize("name", ["k08_session_counts", "r16_study_stats", "k14_wrong_items"])
 def test_lists_and_records_do_not_travel_where_a_query_goes_on_by_session(spark, sf_dir, name):
     with I.settings(spark, {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false"}):
         _, lines = plan_of(Q.QUERIES[name](spark, sf_dir))
