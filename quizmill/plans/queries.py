@@ -985,14 +985,19 @@ class StreamRun:
     def __init__(self, t: Tables):
         self.t, self.spark = t, t.spark
         self.dir = f"{I.work_dir(t.spark)}/stream-{uuid.uuid4().hex}"
-        files = max(1, -(-t.read("lineitem").count() // 3_000_000))
-        t.attempt.repartition(3 * files, "seq").write.parquet(f"{self.dir}/in")
+        self.buckets = int(t.spark.conf.get("spark.sql.shuffle.partitions"))
+        # each task deals its attempts to three files, so they need not travel for it
+        t.attempt.withColumn("part", F.pmod(F.xxhash64("seq"), F.lit(3))).write.partitionBy("part").parquet(f"{self.dir}/in")
+        files = -(-len(t.spark.read.parquet(f"{self.dir}/in").inputFiles()) // 3)
         # what attempts are checked against is written once, in buckets: a batch brings its attempts there
-        put = lambda df, name, by: I.write_bucketed(df, f"{self.dir}/{name}", [by])
-        session, listed = put(t.requests.select("session_id"), "session", "session_id"), put(t.listed.select("session_id", "question_id"), "listed", "session_id")
-        question = put(t.question.select("id", "bank_id", "type", "answer"), "question", "id")
-        self.session = put(t.sessions(listed), "totals", "session_id")
-        self.graded = A.graded_stream(A.read_attempts(t.spark, f"{self.dir}/in", files), session, question, listed)
+        session, self.listed = self.put(t.requests.select("session_id"), "session", "session_id"), self.put(t.listed.select("session_id", "question_id"), "listed", "session_id")
+        question = self.put(t.question.select("id", "bank_id", "type", "answer"), "question", "id")
+        self.attempts = A.read_attempts(t.spark, f"{self.dir}/in", max(1, files))
+        self.graded = A.graded_stream(self.attempts, session, question, self.listed)
+        self.grade = lambda df: K.grade_batch(df, session, question, self.listed)
+
+    def put(self, df: DataFrame, name: str, by: str) -> DataFrame:
+        return I.write_bucketed(df, f"{self.dir}/{name}", [by], self.buckets)
 
     def updates(self, stream: DataFrame, mode: str = "update") -> DataFrame:
         """What the stream gave, with the number of the batch."""
@@ -1015,8 +1020,8 @@ def t01(t: Tables) -> DataFrame:
 @query("t02_record_stream", " select * from record")
 def t02(t: Tables) -> DataFrame:
     run = StreamRun(t)
-    store = A.RecordStore(t.spark, f"{run.dir}/records")
-    run.run(A.record_stream(run.graded, store, f"{run.dir}/cp"))
+    store = A.RecordStore(t.spark, f"{run.dir}/records", run.buckets)
+    run.run(A.record_stream(run.attempts, store, f"{run.dir}/cp", run.grade))
     return store.records().drop("last_seq")
 
 
@@ -1024,8 +1029,8 @@ def t02(t: Tables) -> DataFrame:
 def t03(t: Tables) -> DataFrame:
     """The current counts, and how many events say that a session is completed."""
     run = StreamRun(t)
-    store = A.ProgressStore(t.spark, f"{run.dir}/progress", run.session)
-    run.run(A.progress_stream(run.graded, store, f"{run.dir}/cp"))
+    store = A.ProgressStore(t.spark, f"{run.dir}/progress", run.put(t.sessions(run.listed), "totals", "session_id"), run.buckets)
+    run.run(A.progress_stream(run.attempts, store, f"{run.dir}/cp", run.grade))
     events = store.completions().groupBy("session_id").agg(F.count(F.lit(1)).alias("completions"))
     return store.progress.rows().drop("completed_in").join(events, "session_id", "left").withColumn("completions", F.coalesce("completions", F.lit(0)))
 

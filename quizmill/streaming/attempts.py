@@ -6,6 +6,8 @@ keys are bounded by the sessions' questions.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,8 +19,8 @@ RECORDS = "session_id long, question_id long, user_answer string, is_correct boo
 
 
 def read_attempts(spark: SparkSession, path: str, files_per_batch: int = 100) -> DataFrame:
-    """Attempt files as a stream, with the declared columns."""
-    return spark.readStream.schema(schema("attempt")).option("maxFilesPerTrigger", files_per_batch).parquet(path)
+    """Attempt files, also those of folders inside, as a stream, with the declared columns."""
+    return spark.readStream.schema(schema("attempt")).option("maxFilesPerTrigger", files_per_batch).option("recursiveFileLookup", True).parquet(path)
 
 
 def graded_stream(attempts: DataFrame, session: DataFrame, question: DataFrame, listed: DataFrame) -> DataFrame:
@@ -31,11 +33,12 @@ def fold_batch(graded: DataFrame) -> DataFrame:
     return K.fold_records(graded, last_seq=True)
 
 
-def merge_records(old: DataFrame, new: DataFrame) -> DataFrame:
-    """Both sets of records as one: first and last attempts over both."""
-    first = F.struct("first_seq", "created_at")
-    last = F.struct("last_seq", "user_answer", "is_correct", "updated_at")
-    return old.unionByName(new).groupBy("session_id", "question_id").agg(F.min(first).alias("f"), F.max_by(last, "last_seq").alias("l")).select("session_id", "question_id", "l.user_answer", "l.is_correct", "f.created_at", "l.updated_at", "f.first_seq", "l.last_seq")
+def merge_records(both: DataFrame) -> DataFrame:
+    """Records of which there is an ``old`` and a ``new`` one, or one of them: the first and the last attempts of both."""
+    first = F.when(F.col("old.first_seq").isNull() | (F.col("new.first_seq") < F.col("old.first_seq")), F.col("new")).otherwise(F.col("old"))
+    last = F.when(F.col("old.last_seq").isNull() | (F.col("new.last_seq") >= F.col("old.last_seq")), F.col("new")).otherwise(F.col("old"))
+    met = both.select("session_id", "question_id", first.alias("f"), last.alias("l"))
+    return met.select("session_id", "question_id", "l.user_answer", "l.is_correct", "f.created_at", "l.updated_at", "f.first_seq", "l.last_seq")
 
 
 class RecordStore(KeyedTable):
@@ -51,9 +54,18 @@ class RecordStore(KeyedTable):
         self.upsert(fold_batch(graded), batch, merge_records)
 
 
-def record_stream(graded: DataFrame, store: RecordStore, checkpoint: str):
+def _kept(stream: DataFrame, write: Callable[[DataFrame, int], None], grade: Callable[[DataFrame], DataFrame] | None, checkpoint: str):
+    """A query that writes a stream of graded attempts, or of attempts that ``grade`` grades batch by batch.
+
+    A batch's plan begins with the rows that its stream brings, and how they lie is not known; what is graded inside the
+    batch is folded and written where it lies.
+    """
+    return stream.writeStream.foreachBatch(lambda df, i: write(grade(df) if grade else df, i)).option("checkpointLocation", checkpoint).trigger(availableNow=True)
+
+
+def record_stream(stream: DataFrame, store: RecordStore, checkpoint: str, grade: Callable[[DataFrame], DataFrame] | None = None):
     """A query that keeps ``store`` up to date."""
-    return graded.writeStream.foreachBatch(store.write_batch).option("checkpointLocation", checkpoint).trigger(availableNow=True)
+    return _kept(stream, store.write_batch, grade, checkpoint)
 
 
 PROGRESS = "session_id long, answered_count int, correct_count int, total_count int, completed_at timestamp, completed_in long"
@@ -87,9 +99,9 @@ class ProgressStore:
         return events.select("session_id", "completed_at", "completed_in")
 
 
-def progress_stream(graded: DataFrame, store: ProgressStore, checkpoint: str):
+def progress_stream(stream: DataFrame, store: ProgressStore, checkpoint: str, grade: Callable[[DataFrame], DataFrame] | None = None):
     """A query that keeps ``store`` up to date."""
-    return graded.writeStream.foreachBatch(store.write_batch).option("checkpointLocation", checkpoint).trigger(availableNow=True)
+    return _kept(stream, store.write_batch, grade, checkpoint)
 
 
 WRONG = "bank_id long, question_id long, user_answer string, wrong_count long, resolved int, first_wrong_seq long"

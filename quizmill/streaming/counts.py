@@ -47,7 +47,7 @@ class CountStore(KeyedTable):
         changes = counts[0]
         for c in counts[1:]:
             changes = changes.unionByName(c)
-        self.upsert(_sums(changes), batch, lambda old, new: _sums(old.unionByName(new)))
+        self.upsert(_sums(changes), batch, _added)
 
     def _of(self, kind: str) -> DataFrame:
         return self.rows().where(F.col("kind") == kind)
@@ -79,3 +79,9 @@ class CountStore(KeyedTable):
 def _sums(counts: DataFrame) -> DataFrame:
     """One row a key (a null name is a name of its own), without zeros."""
     return counts.groupBy("bank_id", "kind", "name").agg(F.sum("n").alias("n")).where("n <> 0")
+
+
+def _added(both: DataFrame) -> DataFrame:
+    """Counts of which there is an ``old`` and a ``new`` one, or one of them, added up."""
+    n = F.coalesce("old.n", F.lit(0)) + F.coalesce("new.n", F.lit(0))
+    return both.select("bank_id", "kind", "name", n.alias("n")).where("n <> 0")

@@ -84,6 +84,58 @@ def test_broken_off_batches_are_put_in_place_again(spark, tmp_path):
     assert sorted(tuple(r) for r in table.rows().collect()) == [(1, 1), (2, 3)]
 
 
+def shuffled(spark):
+    """The rows that all stages so far gave to exchanges."""
+    sc = spark.sparkContext
+    sc._jsc.sc().listenerBus().waitUntilEmpty()
+    stages = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), sc._jvm.java.util.ArrayList())
+    return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+
+def test_kept_records_do_not_travel(spark, tables, tmp_path):
+    late = tables.graded.where("seq % 10 = 3").withColumn("seq", F.col("seq") + 10**9)
+    late = tables.written(late, "late")
+    store = A.RecordStore(spark, f"{tmp_path}/records", buckets=4)
+    with I.settings(spark, {"spark.sql.autoBroadcastJoinThreshold": "-1"}):
+        store.write_batch(tables.graded, 0)
+        kept, before = store.records().count(), shuffled(spark)
+        store.write_batch(late, 1)
+        assert shuffled(spark) - before < kept / 2
+    assert rows_of(store.records().drop("last_seq")) == rows_of(K.fold_records(tables.graded.unionByName(late)))
+    assert not spark.catalog.listTables(pattern="keyed_*")
+
+
+def test_lines_of_the_record_stream_travel_few_times(spark, sf_dir):
+    lines, before = Tables(spark, sf_dir).read("lineitem").count(), shuffled(spark)
+    with I.settings(spark, {"spark.sql.autoBroadcastJoinThreshold": "-1"}):
+        Q.QUERIES["t02_record_stream"](spark, sf_dir)
+    assert shuffled(spark) - before < 7 * lines
+
+
+def test_a_batch_that_broke_off_between_folders_is_added_once(spark, tmp_path, monkeypatch):
+    kind, added = "a long, v int", lambda both: both.select("a", (F.coalesce("old.v", F.lit(0)) + F.coalesce("new.v", F.lit(0))).alias("v")).where("v <> 0")
+    table = KeyedTable(spark, f"{tmp_path}/t", kind, ["a"], buckets=4)
+    put = lambda t, rows, i: t.upsert(spark.createDataFrame(rows, kind), i, added)
+    put(table, [(i, 1) for i in range(20)] + [(None, 1)], 0)
+    changes, done, move = [(i, 10) for i in range(10, 30)] + [(0, -1), (None, 10)], [], table._move
+    assert len(table.numbers(spark.createDataFrame(changes, kind))) > 2
+
+    def break_off(source, target):
+        done.append(target)
+        if len(done) == 3:
+            raise OSError("broken off")
+        move(source, target)
+
+    monkeypatch.setattr(table, "_move", break_off)
+    with pytest.raises(OSError):
+        put(table, changes, 1)
+    again = KeyedTable(spark, f"{tmp_path}/t", kind, ["a"], buckets=4)
+    expected = {**{i: 1 for i in range(1, 10)}, **{i: 11 for i in range(10, 20)}, **{i: 10 for i in range(20, 30)}, None: 11}
+    for _ in range(2):
+        put(again, changes, 1)
+        assert {r.a: r.v for r in again.rows().collect()} == expected and again.rows().count() == len(expected)
+
+
 def test_one_completion_event_a_session(spark, tables, tmp_path):
     t = tables
     store = A.ProgressStore(spark, f"{tmp_path}/p", t.session, buckets=4)
