@@ -134,17 +134,17 @@ def grade_accepted(attempts: DataFrame, session: DataFrame, question: DataFrame
     pairs = listed.select("session_id", "question_id").join(session.select("session_id"), "session_id")
     if not by_session:
         return graded.join(pairs, ["session_id", "question_id"]).select(*graded.columns)
-    asked = _in_range(graded, session).select(*graded.columns, F.lit(False).alias("_l"))
+    asked = _in_range(graded.where("question_id is not null"), session, "session_id").select(*graded.columns, F.lit(False).alias("_l"))
     # a join on both columns would deal its sides anew by both, so attempts look for their pair among the rows beside them
     both = asked.repartition("session_id").unionByName(pairs.withColumn("_l", F.lit(True)).repartition("session_id"), allowMissingColumns=True)
     met = both.withColumn("_met", F.max("_l").over(W.Window.partitionBy("session_id", "question_id")))
     return met.where("_met and not _l").select(*graded.columns)
 
 
-def _in_range(attempts: DataFrame, session: DataFrame) -> DataFrame:
-    """Attempts that may be accepted: an id that stands for no session (-1) repeats, and all its attempts would go to one task."""
-    ids = session.agg(F.min("session_id").alias("_least"), F.max("session_id").alias("_most"))
-    return attempts.where("question_id is not null").join(F.broadcast(ids), F.col("session_id").between(F.col("_least"), F.col("_most"))).select(*attempts.columns)
+def _in_range(attempts: DataFrame, known: DataFrame, column: str) -> DataFrame:
+    """Attempts that ``known`` may have: an id that stands for nothing (-1) repeats, and all its attempts would go to one task."""
+    ids = known.agg(F.min(column).alias("_least"), F.max(column).alias("_most"))
+    return attempts.join(F.broadcast(ids), F.col(column).between(F.col("_least"), F.col("_most"))).select(*attempts.columns)
 
 
 def grade_batch(attempts: DataFrame, session: DataFrame, question: DataFrame, listed: DataFrame) -> DataFrame:
@@ -153,7 +153,8 @@ def grade_batch(attempts: DataFrame, session: DataFrame, question: DataFrame, li
     Attempts go to their questions and then to their sessions; the tables stay where they are, with ``CO_PARTITIONED``. What
     is folded by session then, as records are, does not travel again.
     """
-    graded = grade(_in_range(attempts.where(~T.is_blank(F.col("user_answer"))), session), question)
+    said = _in_range(attempts.where(~T.is_blank(F.col("user_answer"))), session, "session_id")
+    graded = grade(_in_range(said, question.select(F.col("id").alias("question_id")), "question_id"), question)
     pairs = listed.select("session_id", "question_id").join(session.select("session_id"), "session_id")
     return graded.repartition("session_id").join(pairs, ["session_id", "question_id"]).select(*graded.columns)
 

@@ -112,6 +112,19 @@ def test_lines_of_the_record_stream_travel_few_times(spark, sf_dir):
     assert shuffled(spark) - before < 7 * lines
 
 
+def test_a_batch_is_graded_without_ids_of_nothing(spark, tables):
+    t = tables
+    attempts = t.written(t.attempt, "attempt")
+    session, listed = t.bucketed(t.requests.select("session_id"), "session", ["session_id"]), t.bucketed(t.listed, "listed", ["session_id"])
+    question = t.bucketed(t.question.select("id", "bank_id", "type", "answer"), "question", ["id"])
+    with I.settings(spark, {"spark.sql.autoBroadcastJoinThreshold": "-1", **I.CO_PARTITIONED}):
+        assert rows_of(K.grade_batch(attempts, session, question, listed)) == rows_of(t.graded)
+        for column in ("session_id", "question_id"):
+            before = shuffled(spark)
+            assert K.grade_batch(attempts.withColumn(column, F.lit(-1).cast("long")), session, question, listed).collect() == []
+            assert shuffled(spark) - before < attempts.count() / 10
+
+
 def test_a_batch_that_broke_off_between_folders_is_added_once(spark, tmp_path, monkeypatch):
     kind, added = "a long, v int", lambda both: both.select("a", (F.coalesce("old.v", F.lit(0)) + F.coalesce("new.v", F.lit(0))).alias("v")).where("v <> 0")
     table = KeyedTable(spark, f"{tmp_path}/t", kind, ["a"], buckets=4)
